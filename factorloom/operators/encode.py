@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,8 +18,8 @@ _BUCKET_DIGITS = 2
 
 def number_keys(entries: DataFrame, offset: int = 0) -> DataFrame:
     """Give the distinct (block, cat, key) of `entries` gap-free columns from `offset`, block by block."""
-    bucketed = (entries.select("block", "cat", "key").distinct()
-                .withColumn("bucket", F.substring(F.md5("key"), 1, _BUCKET_DIGITS)))
+    keys = cut_lineage(entries.select("block", "cat", "key").distinct())
+    bucketed = keys.withColumn("bucket", F.substring(F.md5("key"), 1, _BUCKET_DIGITS))
     within = Window.partitionBy("block", "bucket").orderBy("key")
     numbered = bucketed.withColumn("pos", F.row_number().over(within).cast("bigint"))
     # At most 256 rows per block, whatever the number of keys.
@@ -74,32 +76,64 @@ def target_cells(df: DataFrame, row_id: str, target: str, width: int) -> DataFra
                      F.col(target).cast("double").alias("val")).filter(F.col("val").isNotNull())
 
 
-def build_cells(df: DataFrame, row_id: str, users=(), items=(), ctx_num=(), ctx_cat=(), ctx_set=None,
-                target: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Encode a raw table into one dense, gap-free layout: (cells, dictionary(cat, key, col)).
-
-    `ctx_set` maps a name to a long table (row, key, weight) given as (members, row, key, weight).
-    The table is scanned once: every row gives all its entries, and one join numbers them."""
-    plan = [(schema.USER, c) for c in users] + [(schema.ITEM, c) for c in items]
-    plan += [(schema.NUMERICAL, c) for c in ctx_num] + [(schema.CATEGORICAL, c) for c in ctx_cat]
-    set_start = len(plan)
-    label_block = set_start + len(ctx_set or {})
-
-    made = []
-    for block, (cat, name) in enumerate(plan):
-        numeric = cat == schema.NUMERICAL
+@dataclass(frozen=True)
+class Layout:
+    """Which columns of a raw table make which blocks. The order of the blocks is fixed."""
+
+    users: tuple = ()
+    items: tuple = ()
+    ctx_num: tuple = ()
+    ctx_cat: tuple = ()
+    ctx_set: tuple = ()
+    target: str | None = None
+
+    def blocks(self) -> list[tuple[int, str, str]]:
+        """(block number, category, column)"""
+        named = [(schema.USER, c) for c in self.users] + [(schema.ITEM, c) for c in self.items]
+        named += [(schema.NUMERICAL, c) for c in self.ctx_num] + [(schema.CATEGORICAL, c) for c in self.ctx_cat]
+        named += [(schema.CATEGORICAL_SET, c) for c in self.ctx_set]
+        named += [(schema.LABEL, self.target)] if self.target is not None else []
+        return [(number, cat, name) for number, (cat, name) in enumerate(named)]
+
+
+def _entries(df: DataFrame, row_id: str, layout: Layout, ctx_set: dict, only: list[str] | None) -> DataFrame:
+    """(row_id, block, cat, key, val): all entries of a raw row from one scan, plus the set members."""
+    made, sets = [], []
+    for block, cat, name in layout.blocks():
+        if only is not None and name not in only:
+            continue
+        if cat == schema.CATEGORICAL_SET:
+            members, member_row, key, weight = ctx_set[name]
+            sets.append(set_weights(members, member_row, key, weight).select(
+                "row_id", F.lit(block).alias("block"), F.lit(cat).alias("cat"), "key", "val"))
+            continue
+        one_column = cat in (schema.NUMERICAL, schema.LABEL)
         made.append(F.struct(
             F.lit(block).alias("block"), F.lit(cat).alias("cat"),
-            (F.lit(name) if numeric else F.col(name).cast("string")).alias("key"),
-            (F.col(name).cast("double") if numeric else F.lit(1.0)).alias("val")))
-    if target is not None:
-        made.append(F.struct(F.lit(label_block).alias("block"), F.lit(schema.LABEL).alias("cat"),
-                             F.lit(target).alias("key"), F.col(target).cast("double").alias("val")))
+            (F.lit(name) if one_column else F.col(name).cast("string")).alias("key"),
+            (F.col(name).cast("double") if one_column else F.lit(1.0)).alias("val")))
     entries = (df.select(F.col(row_id).cast("bigint").alias("row_id"), F.explode(F.array(*made)).alias("e"))
                .select("row_id", "e.block", "e.cat", "e.key", "e.val")
-               .filter(F.col("key").isNotNull() & F.col("val").isNotNull()))
-    for block, (members, member_row, key, weight) in enumerate((ctx_set or {}).values(), set_start):
-        entries = entries.unionByName(set_weights(members, member_row, key, weight).select(
-            "row_id", F.lit(block).alias("block"), F.lit(schema.CATEGORICAL_SET).alias("cat"), "key", "val"))
+               .filter(F.col("key").isNotNull() & F.col("val").isNotNull())) if made else None
+    for part in sets:
+        entries = part if entries is None else entries.unionByName(part)
+    return entries
+
+
+def build_cells(df: DataFrame, row_id: str, users=(), items=(), ctx_num=(), ctx_cat=(), ctx_set=None,
+                target: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Encode a raw table into one dense, gap-free layout: (cells, dictionary(block, cat, key, col)).
+
+    `ctx_set` maps a name to a long table (members, row, key, weight). The raw table is scanned once
+    for the cells: every row gives all its entries, and one join numbers them."""
+    layout = Layout(tuple(users), tuple(items), tuple(ctx_num), tuple(ctx_cat), tuple(ctx_set or {}), target)
+    entries = _entries(df, row_id, layout, ctx_set or {}, None)
     dictionary = cut_lineage(number_keys(entries))
-    return _encode(entries.drop("cat"), dictionary), dictionary.select("cat", "key", "col")
+    return _encode(entries.drop("cat"), dictionary), dictionary
+
+
+def encode_rows(df: DataFrame, row_id: str, layout: Layout, dictionary: DataFrame, only: list[str] | None = None,
+                ctx_set: dict | None = None) -> DataFrame:
+    """Encode new raw rows with an existing dictionary. `only` names the columns to use. Keys the
+    dictionary does not know make no cell."""
+    return _encode(_entries(df, row_id, layout, ctx_set or {}, only).drop("cat"), dictionary)

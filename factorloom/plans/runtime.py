@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship_with_tasks(module_name: str) -> None:
+    """Send a module's functions along with the tasks that use them, so executors need no copy of
+    this package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module_name])
+
+
 def local_session(cores: str = "*", app: str = "factorloom", **conf) -> SparkSession:
     """A session for tests and benches. Clusters bring their own."""
     builder = (

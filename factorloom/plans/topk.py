@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from factorloom.plans.runtime import ship_with_tasks
+
+ship_with_tasks(__name__)
+
 # Spark prunes every map task to k rows per key before the shuffle for ranks up to this value
 # (spark.sql.optimizer.windowGroupLimitThreshold, default 1000).
 _PRUNED_RANK = 1000
@@ -39,7 +41,7 @@ def _scores(q: np.ndarray, vecs: np.ndarray, how: str) -> np.ndarray:
     return -np.sqrt(((q[:, None, :] - vecs[None, :, :]) ** 2).sum(axis=2))
 
 
-def _blocks(queries: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+def _blocks(queries: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Cut both sides into bounded chunks and copy each chunk once per chunk of the other side."""
     spark = queries.sparkSession
     cores = spark.sparkContext.defaultParallelism
@@ -52,7 +54,7 @@ def _blocks(queries: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame,
     right = (items.withColumn("_ic", F.pmod(F.xxhash64("item"), F.lit(item_chunks)))
              .withColumn("_qc", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(query_chunks - 1).cast("bigint")))))
     # The explicit width keeps small inputs from being merged into one task.
-    return left.repartition(groups, "_qc", "_ic"), right.repartition(groups, "_qc", "_ic"), groups
+    return left.repartition(groups, "_qc", "_ic"), right.repartition(groups, "_qc", "_ic")
 
 
 def best_matches(queries: DataFrame, items: DataFrame, k: int, how: str = "dot",
@@ -75,19 +77,25 @@ def best_matches(queries: DataFrame, items: DataFrame, k: int, how: str = "dot",
         ids = i["item"].to_numpy()
         vecs, bias = _matrix(i["vec"]), i["bias"].to_numpy()
         out: list[pd.DataFrame] = []
-        for start in range(0, len(q), 64):
-            part = q.iloc[start:start + 64]
+        step = 256 if how == "dot" else 8
+        for start in range(0, len(q), step):
+            part = q.iloc[start:start + step]
             scores = np.round(_scores(_matrix(part["qvec"]), vecs, how)
                               + bias[None, :] + part["base"].to_numpy()[:, None], digits) + 0.0
-            for qid, extra, line in zip(part["qid"], part["extra"], scores):
-                take = min(int(k + extra), len(ids))
-                floor = -np.partition(-line, take - 1)[take - 1]
-                kept = np.flatnonzero(line >= floor)
-                kept = kept[np.argsort(-line[kept], kind="stable")][:take]
-                out.append(pd.DataFrame({"qid": qid, "item": ids[kept], "score": line[kept], "extra": extra}))
+            extra = part["extra"].to_numpy()
+            take = np.minimum(k + extra, len(ids))
+            most = int(take.max())
+            floor = -np.partition(-scores, most - 1, axis=1)[:, most - 1]
+            line, at = np.nonzero(scores >= floor[:, None])
+            order = np.lexsort((at, -scores[line, at], line))
+            line, at = line[order], at[order]
+            rank = np.arange(len(line)) - np.searchsorted(line, np.arange(len(part)))[line]
+            line, at = line[rank < take[line]], at[rank < take[line]]
+            out.append(pd.DataFrame({"qid": part["qid"].to_numpy()[line], "item": ids[at],
+                                     "score": scores[line, at], "extra": extra[line]}))
         return pd.concat(out)
 
-    left, right, _ = _blocks(queries.select("qid", "qvec", "base", "extra"), items.select("item", "vec", "bias"))
+    left, right = _blocks(queries.select("qid", "qvec", "base", "extra"), items.select("item", "vec", "bias"))
     found = (left.groupBy("_qc", "_ic").cogroup(right.groupBy("_qc", "_ic"))
              .applyInPandas(kernel, "qid bigint, item bigint, score double, extra bigint"))
     return found
@@ -116,6 +124,6 @@ def pair_scores(vectors: DataFrame, threshold: float | None = None, digits: int
                              "j": np.concatenate(rights) if rights else np.zeros(0, "int64"),
                              "score": np.concatenate(scores) if scores else np.zeros(0)})
 
-    left, right, _ = _blocks(vectors.select(F.col("item").alias("qid"), F.col("vec").alias("qvec")), vectors)
+    left, right = _blocks(vectors.select(F.col("item").alias("qid"), F.col("vec").alias("qvec")), vectors)
     return (left.groupBy("_qc", "_ic").cogroup(right.groupBy("_qc", "_ic"))
             .applyInPandas(kernel, "i bigint, j bigint, score double"))

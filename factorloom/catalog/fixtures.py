@@ -64,11 +64,12 @@ def width(dictionary: DataFrame) -> int:
 
 
 def lattice_model(spark: SparkSession, num_attribute: int, num_factor: int = 2) -> Model:
-    """A fixed model any SQL engine can compute as well: weights from integer arithmetic on the column."""
+    """A fixed model any SQL engine can compute as well: weights from integer arithmetic on the column.
+    The odd divisors keep results away from decimal ties, where engines round differently."""
     col = F.col("col")
-    ms = [((((col * 7919 + 104729 * f + 13) % 101) - 50) / F.lit(100.0)).alias(f"m{f}") for f in range(num_factor)]
+    ms = [((((col * 7919 + 104729 * f + 13) % 101) - 50) / F.lit(103.0)).alias(f"m{f}") for f in range(num_factor)]
     wide = spark.range(num_attribute).withColumnRenamed("id", "col").select(
-        "col", (((col * 31) % 17 - 8) / F.lit(100.0)).alias("v"), *ms)
+        "col", (((col * 31) % 17 - 8) / F.lit(97.0)).alias("v"), *ms)
     return Model(0.1, pack(wide, num_factor), num_attribute, num_factor, params={"k0": "true", "k1": "true"})
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from factorloom.model import Model, pack
 from factorloom.operators.encode import Layout, build_cells
 from factorloom.params import FMParams
+from factorloom.plans.runtime import stage
 
 EVENTS = Layout(users=("user_id",), items=("event_type",), ctx_num=("k",), ctx_cat=("hour",), target="y")
 RATINGS = Layout(users=("o_custkey",), items=("l_partkey",), ctx_num=("discount",),
@@ -42,7 +43,8 @@ def rating_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rating_cells(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return build_cells(rating_rows(spark, sf_dir), "row_id", **_args(RATINGS))
+    """The join and the grouping run once; the keys and the cells are read from their result."""
+    return build_cells(stage(rating_rows(spark, sf_dir), "ratings"), "row_id", **_args(RATINGS))
 
 
 def profile_cells(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:

@@ -49,7 +49,7 @@ entries AS (
 
 DICT = """dict AS (
   SELECT block, cat, key,
-         row_number() OVER (ORDER BY block, substr(md5(key), 1, 2), key) - 1 AS col
+         row_number() OVER (ORDER BY block, substr(md5(key), 1, 3), key) - 1 AS col
   FROM (SELECT DISTINCT block, cat, key FROM entries WHERE key IS NOT NULL AND val IS NOT NULL)),
 cells AS (
   SELECT row_id, d.col, e.cat, e.val

@@ -47,13 +47,14 @@ def feature_dim(cells: DataFrame) -> DataFrame:
     return cells.agg(F.max("col").alias("num_attribute"))
 
 
-def num_attribute(cells: DataFrame, given: int | None = None) -> int:
-    found = feature_dim(cells).first()["num_attribute"]
-    if found is None:
+def num_attribute(cells: DataFrame, given: int | None = None, with_size: bool = False):
+    """The vector length as a number, checked against a given one; on request with the cell count."""
+    found = cells.agg(F.max("col").alias("top"), F.count(F.lit(1)).alias("size")).first()
+    if found["top"] is None:
         raise ValueError("The cell table is empty.")
-    if given is not None and int(given) != found:
-        raise ValueError(f"num_attribute is {given}, but the highest column is {found}.")
-    return int(found)
+    if given is not None and int(given) != found["top"]:
+        raise ValueError(f"num_attribute is {given}, but the highest column is {found['top']}.")
+    return (int(found["top"]), int(found["size"])) if with_size else int(found["top"])
 
 
 def split_target(cells: DataFrame) -> DataFrame:

@@ -11,9 +11,9 @@ from factorloom import schema
 from factorloom.plans.joins import lookup_join, measured_bytes
 from factorloom.plans.runtime import cut_lineage
 
-# Keys are numbered inside 256 buckets (two hex digits of the key's md5), then each bucket gets its
+# Keys are numbered inside 4096 buckets (three hex digits of the key's md5), then each bucket gets its
 # offset. No task ever numbers all keys, and the numbers do not depend on partitioning or retries.
-_BUCKET_DIGITS = 2
+_BUCKET_DIGITS = 3
 
 
 def number_keys(entries: DataFrame, offset: int = 0) -> DataFrame:
@@ -22,7 +22,7 @@ def number_keys(entries: DataFrame, offset: int = 0) -> DataFrame:
     bucketed = keys.withColumn("bucket", F.substring(F.md5("key"), 1, _BUCKET_DIGITS))
     within = Window.partitionBy("block", "bucket").orderBy("key")
     numbered = bucketed.withColumn("pos", F.row_number().over(within).cast("bigint"))
-    # At most 256 rows per block, whatever the number of keys.
+    # At most 4096 rows per block, whatever the number of keys.
     sizes = bucketed.groupBy("block", "bucket").agg(F.count(F.lit(1)).alias("size"))
     before = Window.orderBy("block", "bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select("block", "bucket", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factorloom.plans.runtime import cut_lineage, shuffle_width
+from factorloom.plans.runtime import cut_lineage
 
 _UNITS = {"": 1, "b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20,
           "g": 1 << 30, "gb": 1 << 30}
@@ -34,15 +34,16 @@ def measured_bytes(df: DataFrame) -> int:
     return row["rows"] * fixed + row["texts"]
 
 
-def heavy_keys(facts: DataFrame, on: list[str], share: int | None = None,
-               floor: int = 10_000) -> DataFrame:
-    """Keys holding more than 1/share of the rows. There are fewer than `share` of them, so the
-    result is always small enough to broadcast. Counting pre-aggregates before its shuffle."""
-    spark = facts.sparkSession
-    share = share or 4 * shuffle_width(spark)
-    counts = facts.groupBy(*on).agg(F.count(F.lit(1)).alias("rows"))
-    limit = max(floor, facts.count() // share)
-    return cut_lineage(counts.filter(F.col("rows") > limit).select(*on))
+# Never more than this many keys are treated as hot. A key that is not among the heaviest 4096 holds
+# less than 1/4096 of the rows, which a plain shuffle can carry.
+_HOT_KEYS = 4096
+
+
+def heavy_keys(facts: DataFrame, on: list[str], floor: int = 10_000) -> DataFrame:
+    """The heaviest keys with more than `floor` rows, at most 4096, so always small enough to
+    broadcast. One pass; counts are combined before their shuffle."""
+    counts = facts.groupBy(*on).agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > floor)
+    return cut_lineage(counts.orderBy(F.desc("rows")).limit(_HOT_KEYS).select(*on))
 
 
 def lookup_join(facts: DataFrame, table: DataFrame, on: list[str], table_bytes: int,

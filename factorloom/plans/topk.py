@@ -15,8 +15,9 @@ ship_with_tasks(__name__)
 # (spark.sql.optimizer.windowGroupLimitThreshold, default 1000).
 _PRUNED_RANK = 1000
 _SALTS = 64
-_QUERY_CHUNK = 2048
-_ITEM_CHUNK = 4096
+# Vectors of one chunk, and the scores computed at a time, in bytes.
+_CHUNK_BYTES = 16 << 20
+_SCORE_BYTES = 32 << 20
 
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int | Column, tie: str) -> DataFrame:
@@ -42,21 +43,33 @@ def _scores(q: np.ndarray, vecs: np.ndarray, how: str) -> np.ndarray:
 
 
 def _blocks(queries: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Cut both sides into bounded chunks and copy each chunk once per chunk of the other side."""
-    spark = queries.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    n_items, n_queries = items.count(), queries.count()
-    item_chunks = max(1, -(-n_items // _ITEM_CHUNK))
-    query_chunks = max(1, -(-n_queries // _QUERY_CHUNK), min(-(-n_queries // 256), -(-cores // item_chunks)))
+    """Cut both sides into chunks of bounded bytes and copy each chunk once per chunk of the other
+    side. Chunks are big, so there are few copies."""
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    sizes = items.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dims")).first()
+    n_items, n_queries, rows = sizes["n"], queries.count(), _CHUNK_BYTES // (8 * ((sizes["dims"] or 1) + 3))
+    item_chunks = max(1, -(-n_items // rows))
+    # Small inputs are cut finer, to give every core something to do.
+    query_chunks = max(1, -(-n_queries // rows), min(-(-n_queries // 64), -(-2 * cores // item_chunks)))
     groups = item_chunks * query_chunks
+
+    def copies(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+
     left = (queries.withColumn("_qc", F.pmod(F.xxhash64("qid"), F.lit(query_chunks)))
-            .withColumn("_ic", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(item_chunks - 1).cast("bigint")))))
+            .withColumn("_ic", copies(item_chunks)))
     right = (items.withColumn("_ic", F.pmod(F.xxhash64("item"), F.lit(item_chunks)))
-             .withColumn("_qc", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(query_chunks - 1).cast("bigint")))))
+             .withColumn("_qc", copies(query_chunks)))
     # The explicit width keeps small inputs from being merged into one task.
     return left.repartition(groups, "_qc", "_ic"), right.repartition(groups, "_qc", "_ic")
 
 
+def _slice(n_items: int, dims: int, how: str) -> int:
+    """How many queries to score at a time."""
+    per_query = 8 * n_items * (dims if how == "distance" else 1)
+    return max(1, _SCORE_BYTES // max(1, per_query))
+
+
 def best_matches(queries: DataFrame, items: DataFrame, k: int, how: str = "dot",
                  digits: int = 9) -> DataFrame:
     """For every query the k best items by base + bias + <qvec, vec> (how="dot") or by minus the
@@ -77,7 +90,7 @@ def best_matches(queries: DataFrame, items: DataFrame, k: int, how: str = "dot",
         ids = i["item"].to_numpy()
         vecs, bias = _matrix(i["vec"]), i["bias"].to_numpy()
         out: list[pd.DataFrame] = []
-        step = 256 if how == "dot" else 8
+        step = _slice(len(ids), vecs.shape[1], how)
         for start in range(0, len(q), step):
             part = q.iloc[start:start + step]
             scores = np.round(_scores(_matrix(part["qvec"]), vecs, how)
@@ -110,8 +123,9 @@ def pair_scores(vectors: DataFrame, threshold: float | None = None, digits: int
         lefts, rights, scores = [], [], []
         if len(q) and len(i):
             ids, vecs = i["item"].to_numpy(), _matrix(i["vec"])
-            for start in range(0, len(q), 64):
-                part = q.iloc[start:start + 64]
+            step = _slice(len(ids), vecs.shape[1], "dot")
+            for start in range(0, len(q), step):
+                part = q.iloc[start:start + step]
                 table = np.round(_matrix(part["qvec"]) @ vecs.T, digits) + 0.0
                 keep = part["qid"].to_numpy()[:, None] < ids[None, :]
                 if threshold is not None:

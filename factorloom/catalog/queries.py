@@ -159,9 +159,9 @@ def _cell_sums(cells: DataFrame) -> DataFrame:
 def append_cells(spark, sf_dir):
     cells, _ = fx.event_cells(spark, sf_dir)
     path = work_path(spark, "cells")
-    early = F.col("row_id") % 2 == 0
-    tables.append_cells(cells.filter(early), path)
-    tables.append_cells(cells.filter(~early), path)
+    label = F.col("cat") == schema.LABEL
+    tables.append_cells(cells.filter(~label), path)
+    tables.append_cells(cells.filter(label), path)
     return _cell_sums(spark.read.parquet(path))
 
 
@@ -514,13 +514,16 @@ def sample_gradient(spark, sf_dir):
         near(F.col("gm")[0]).alias("g0"), near(F.col("gm")[1]).alias("g1"))
 
 
-@query(f"{sql.RATINGS_BASE}, {sql.factors()}, moved AS (SELECT col, CASE WHEN col % 2 = 0 THEN v + 0.5e0 ELSE v END AS v, "
-       "CASE WHEN col % 2 = 0 THEN m0 + 1 ELSE m0 END AS m0, CASE WHEN col % 2 = 0 THEN m1 - 1 ELSE m1 END AS m1 FROM factors)"
+_IS_ITEM = "col IN (SELECT col FROM dict WHERE cat = 'item')"
+
+
+@query(f"{sql.RATINGS_BASE}, {sql.factors()}, moved AS (SELECT col, CASE WHEN {_IS_ITEM} THEN v + 0.5e0 ELSE v END AS v, "
+       f"CASE WHEN {_IS_ITEM} THEN m0 + 1 ELSE m0 END AS m0, CASE WHEN {_IS_ITEM} THEN m1 - 1 ELSE m1 END AS m1 FROM factors)"
        + sql.weight_lines("moved", "0.35e0"))
 def apply_update(spark, sf_dir):
-    """Element by element: the even columns move, the odd ones have no delta."""
-    _, _, model = rating_setup(spark, sf_dir)
-    delta = model.factors.filter(F.col("col") % 2 == 0).select(
+    """Element by element: the item columns move, the others have no delta."""
+    _, dictionary, model = rating_setup(spark, sf_dir)
+    delta = dictionary.filter(F.col("cat") == schema.ITEM).select(
         "col", F.lit(0.5).alias("v"), F.array(F.lit(1.0), F.lit(-1.0)).alias("m"))
     return weight_lines(gr.add_delta(model, delta, 0.25))
 
@@ -906,11 +909,15 @@ def mat_dims(spark, sf_dir):
     return mx.mat_dims(_matrix(spark, sf_dir, "l_quantity"))
 
 
-@query(_MATRICES + """ SELECT a.i, a.j, round(CASE WHEN a.i % 3 = 0 THEN b.value ELSE a.value END, 6) + 0.0 AS value FROM a JOIN b ON a.i = b.i AND a.j = b.j""")
+@query(_MATRICES + """, r AS (SELECT l_suppkey AS i, CAST(l_linenumber AS BIGINT) AS j, sum(l_quantity) AS value
+FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2)
+SELECT a.i, a.j, round(coalesce(r.value, b.value), 6) + 0.0 AS value FROM a JOIN b USING (i, j) LEFT JOIN r ON a.i = r.i AND a.j = r.j""")
 def mat_patch(spark, sf_dir):
-    """Every third row is overwritten."""
-    patch = _matrix(spark, sf_dir, "l_tax").filter(F.col("i") % 3 == 0)
-    return _entries(mx.mat_patch(_matrix(spark, sf_dir, "l_quantity"), patch))
+    """Cells with returned lines are overwritten by the returned quantity."""
+    lines = fx.read(spark, sf_dir, "lineitem").filter(F.col("l_returnflag") == "R")
+    patch = lines.groupBy(F.col("l_suppkey").alias("i"), F.col("l_linenumber").cast("bigint").alias("j")).agg(
+        F.sum("l_quantity").alias("value"))
+    return _entries(mx.mat_patch(_matrix(spark, sf_dir, "l_tax"), patch))
 
 
 # --- random columns ------------------------------------------------------------------------------

@@ -53,12 +53,13 @@ def numeric_block(df: DataFrame, row_id: str, value: str, offset: int = 0) -> Da
 
 
 def set_weights(members: DataFrame, row_id: str, key: str, weight: str) -> DataFrame:
-    """Add up the weights per (row, key), then scale every row to sum 1."""
+    """Add up the weights per (row, key), then scale every row to sum 1. The totals come by a join, not
+    by a window, so that the members of one huge row can be split over tasks."""
     summed = (members.filter(F.col(key).isNotNull())
               .groupBy(F.col(row_id).cast("bigint").alias("row_id"), F.col(key).cast("string").alias("key"))
               .agg(F.sum(F.col(weight).cast("double")).alias("weight")))
-    total = F.sum("weight").over(Window.partitionBy("row_id"))
-    return summed.select("row_id", "key", (F.col("weight") / total).alias("val"))
+    totals = summed.groupBy("row_id").agg(F.sum("weight").alias("total"))
+    return summed.join(totals, "row_id").select("row_id", "key", (F.col("weight") / F.col("total")).alias("val"))
 
 
 def set_block(members: DataFrame, row_id: str, key: str, weight: str, offset: int = 0) -> tuple[DataFrame, DataFrame]:

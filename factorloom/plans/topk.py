@@ -42,12 +42,18 @@ def _scores(q: np.ndarray, vecs: np.ndarray, how: str) -> np.ndarray:
     return -np.sqrt(((q[:, None, :] - vecs[None, :, :]) ** 2).sum(axis=2))
 
 
+def _chunk_rows(vectors: DataFrame) -> tuple[int, int]:
+    """Number of vectors, and how many of them fit into one chunk."""
+    sizes = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dims")).first()
+    return sizes["n"], max(1, _CHUNK_BYTES // (8 * ((sizes["dims"] or 1) + 3)))
+
+
 def _blocks(queries: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Cut both sides into chunks of bounded bytes and copy each chunk once per chunk of the other
     side. Chunks are big, so there are few copies."""
     cores = queries.sparkSession.sparkContext.defaultParallelism
-    sizes = items.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dims")).first()
-    n_items, n_queries, rows = sizes["n"], queries.count(), _CHUNK_BYTES // (8 * ((sizes["dims"] or 1) + 3))
+    n_items, rows = _chunk_rows(items)
+    n_queries = queries.count()
     item_chunks = max(1, -(-n_items // rows))
     # Small inputs are cut finer, to give every core something to do.
     query_chunks = max(1, -(-n_queries // rows), min(-(-n_queries // 64), -(-2 * cores // item_chunks)))
@@ -116,28 +122,37 @@ def best_matches(queries: DataFrame, items: DataFrame, k: int, how: str = "dot",
 
 def pair_scores(vectors: DataFrame, threshold: float | None = None, digits: int = 9) -> DataFrame:
     """Dot products of all pairs i < j of vectors(item, vec); with a threshold only those at or
-    above it. Chunk against chunk, so memory per task is bounded; the full result has N(N-1)/2
-    rows by definition, so give a threshold when there are many vectors."""
-
-    def kernel(q: pd.DataFrame, i: pd.DataFrame) -> pd.DataFrame:
-        lefts, rights, scores = [], [], []
-        if len(q) and len(i):
-            ids, vecs = i["item"].to_numpy(), _matrix(i["vec"])
+    above it. Every two chunks meet once, in one task. The full result has N(N-1)/2 rows by
+    definition, so give a threshold when there are many vectors."""
+
+    def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        firsts, seconds, scores = [np.zeros(0, "int64")], [np.zeros(0, "int64")], [np.zeros(0)]
+        if len(left) and len(right):
+            same = left["_a"].iloc[0] == left["_b"].iloc[0]
+            ids, vecs = right["item"].to_numpy(), _matrix(right["vec"])
             step = _slice(len(ids), vecs.shape[1], "dot")
-            for start in range(0, len(q), step):
-                part = q.iloc[start:start + step]
-                table = np.round(_matrix(part["qvec"]) @ vecs.T, digits) + 0.0
-                keep = part["qid"].to_numpy()[:, None] < ids[None, :]
+            for start in range(0, len(left), step):
+                part = left.iloc[start:start + step]
+                mine = part["item"].to_numpy()
+                table = np.round(_matrix(part["vec"]) @ vecs.T, digits) + 0.0
+                keep = mine[:, None] < ids[None, :] if same else np.ones(table.shape, bool)
                 if threshold is not None:
                     keep &= table >= threshold
-                at_q, at_i = np.nonzero(keep)
-                lefts.append(part["qid"].to_numpy()[at_q])
-                rights.append(ids[at_i])
-                scores.append(table[at_q, at_i])
-        return pd.DataFrame({"i": np.concatenate(lefts) if lefts else np.zeros(0, "int64"),
-                             "j": np.concatenate(rights) if rights else np.zeros(0, "int64"),
-                             "score": np.concatenate(scores) if scores else np.zeros(0)})
-
-    left, right = _blocks(vectors.select(F.col("item").alias("qid"), F.col("vec").alias("qvec")), vectors)
-    return (left.groupBy("_qc", "_ic").cogroup(right.groupBy("_qc", "_ic"))
+                at_mine, at_ids = np.nonzero(keep)
+                firsts.append(np.minimum(mine[at_mine], ids[at_ids]))
+                seconds.append(np.maximum(mine[at_mine], ids[at_ids]))
+                scores.append(table[at_mine, at_ids])
+        return pd.DataFrame({"i": np.concatenate(firsts), "j": np.concatenate(seconds), "score": np.concatenate(scores)})
+
+    n, rows = _chunk_rows(vectors)
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    # Small inputs are cut finer, to give every core something to do.
+    chunks = max(1, -(-n // rows), min(-(-n // 64), int((4 * cores) ** 0.5)))
+    groups = chunks * (chunks + 1) // 2
+    chunk = F.pmod(F.xxhash64("item"), F.lit(chunks))
+    first, last = F.lit(0).cast("bigint"), F.lit(chunks - 1).cast("bigint")
+    left = vectors.select("item", "vec", chunk.alias("_a")).withColumn("_b", F.explode(F.sequence("_a", last)))
+    right = vectors.select("item", "vec", chunk.alias("_b")).withColumn("_a", F.explode(F.sequence(first, "_b")))
+    return (left.repartition(groups, "_a", "_b").groupBy("_a", "_b")
+            .cogroup(right.repartition(groups, "_a", "_b").groupBy("_a", "_b"))
             .applyInPandas(kernel, "i bigint, j bigint, score double"))

@@ -129,7 +129,7 @@ def pair_scores(vectors: DataFrame, threshold: float | None = None, digits: int
         firsts, seconds, scores = [np.zeros(0, "int64")], [np.zeros(0, "int64")], [np.zeros(0)]
         if len(left) and len(right):
             same = left["_a"].iloc[0] == left["_b"].iloc[0]
-            ids, vecs = right["item"].to_numpy(), _matrix(right["vec"])
+            ids, vecs = right["other"].to_numpy(), _matrix(right["other_vec"])
             step = _slice(len(ids), vecs.shape[1], "dot")
             for start in range(0, len(left), step):
                 part = left.iloc[start:start + step]
@@ -152,7 +152,9 @@ def pair_scores(vectors: DataFrame, threshold: float | None = None, digits: int
     chunk = F.pmod(F.xxhash64("item"), F.lit(chunks))
     first, last = F.lit(0).cast("bigint"), F.lit(chunks - 1).cast("bigint")
     left = vectors.select("item", "vec", chunk.alias("_a")).withColumn("_b", F.explode(F.sequence("_a", last)))
-    right = vectors.select("item", "vec", chunk.alias("_b")).withColumn("_a", F.explode(F.sequence(first, "_b")))
+    # The second side gets names of its own, so that no column stands for both sides.
+    right = (vectors.select(F.col("item").alias("other"), F.col("vec").alias("other_vec"), chunk.alias("_b"))
+             .withColumn("_a", F.explode(F.sequence(first, "_b"))))
     return (left.repartition(groups, "_a", "_b").groupBy("_a", "_b")
             .cogroup(right.repartition(groups, "_a", "_b").groupBy("_a", "_b"))
             .applyInPandas(kernel, "i bigint, j bigint, score double"))

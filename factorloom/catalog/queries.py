@@ -558,15 +558,21 @@ def train_ml(spark, sf_dir):
     return weight_lines(tr.train_ml(cells, fx.params(num_iter=3)))
 
 
-@query()
+@query(sql.descent(sql.EVENTS_BASE, 2) + sql.weight_lines("w1", "(SELECT c FROM c1)")
+       + " UNION ALL SELECT CAST(-2 AS BIGINT), 'rmse', round(sqrt(avg(e * e)), 6) FROM e1"
+       + " UNION ALL SELECT CAST(-3 AS BIGINT), 'pairs', (n * (n - 1) / 2) + 0e0 FROM dim")
 def train_model(spark, sf_dir):
-    """The whole pipeline: train, measure, store, register; then what the store says."""
-    cells, _ = fx.event_cells(spark, sf_dir)
+    """The whole pipeline: train, measure, store, register; then what the store gives back."""
+    cells, _, start = event_setup(spark, sf_dir)
     base = work_path(spark, "store")
-    pipeline.train_model(spark, cells, fx.params(name="events", num_iter=2), base, "u1", seed=5)
+    pipeline.train_model(spark, cells, fx.params(name="events"), base, "u1", start=start)
     stored = stores.load_model(spark, stores.resolve(spark, base, "u1", "events", stores.MODEL))
     sim = stores.load_similarity(spark, stores.resolve(spark, base, "u1", "events", stores.MATRIX))
-    return sim.select("i", "j", "score", F.lit(stored.rmse).alias("rmse"))
+    pairs = sim.agg(F.lit(-3).cast("bigint").alias("col"), F.lit("pairs").alias("part"),
+                    F.count(F.lit(1)).cast("double").alias("value"))
+    error = spark.range(1).select(F.lit(-2).cast("bigint").alias("col"), F.lit("rmse").alias("part"),
+                                  near(F.lit(stored.rmse)).alias("value"))
+    return weight_lines(stored).unionByName(error).unionByName(pairs)
 
 
 @query(f"{_RATED} SELECT row_id, round({sql.equation()}, 6) + 0.0 AS prediction FROM parts")

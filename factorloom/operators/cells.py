@@ -12,11 +12,12 @@ _ONE_HOT = [schema.USER, schema.ITEM, schema.CATEGORICAL]
 
 
 def kept(val: Column, keep: str = "positive") -> Column:
-    """Which values count as features: "positive" (the default) or "nonzero"."""
+    """Which values count as features: "positive" (the default) or "nonzero". NaN never does; Spark
+    would order it above all numbers."""
     if keep == "positive":
-        return val > 0
+        return (val > 0) & ~F.isnan(val)
     if keep == "nonzero":
-        return val != 0
+        return (val != 0) & ~F.isnan(val)
     raise ValueError(f"keep must be 'positive' or 'nonzero', not {keep!r}")
 
 
@@ -30,16 +31,20 @@ def sparsify(values: Column, keep: str = "positive") -> Column:
     return F.filter(entries, lambda e: kept(e["val"], keep))
 
 
-def select_columns(columns: DataFrame, explicit: list[int] | None = None, start: int | None = None,
+def choose_columns(columns: DataFrame, explicit: list[int] | None = None, start: int | None = None,
                    end: int | None = None) -> DataFrame:
-    """Rows of a table with a `col`, chosen by list or by inclusive range, in ascending order."""
+    """Rows of a table with a `col`, chosen by list or by inclusive range, in no order."""
     if explicit is not None:
-        chosen = columns.filter(F.col("col").isin([int(c) for c in explicit]))
-    elif start is not None and end is not None:
-        chosen = columns.filter(F.col("col").between(int(start), int(end)))
-    else:
-        raise ValueError("Provided parameters do not permit any data processing: give columns, or start and end.")
-    return chosen.orderBy("col")
+        return columns.filter(F.col("col").isin([int(c) for c in explicit]))
+    if start is not None and end is not None:
+        return columns.filter(F.col("col").between(int(start), int(end)))
+    raise ValueError("No columns are selected: give a list of columns, or start and end.")
+
+
+def select_columns(columns: DataFrame, explicit: list[int] | None = None, start: int | None = None,
+                   end: int | None = None) -> DataFrame:
+    """The chosen rows in ascending order."""
+    return choose_columns(columns, explicit, start, end).orderBy("col")
 
 
 def feature_dim(cells: DataFrame) -> DataFrame:

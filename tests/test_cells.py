@@ -37,6 +37,12 @@ def test_positive_and_nonzero(make_cells):
     assert (4, -0.5) in [(e["col"], e["val"]) for e in kept]
 
 
+def test_nan_is_no_feature(make_cells):
+    cells = make_cells({(1, 4): float("nan")})
+    assert cx.positive_only(cells).count() == 11
+    assert cx.positive_only(cells, "nonzero").count() == 11
+
+
 def test_select_columns(model):
     assert [r["col"] for r in cx.select_columns(model.factors, [3, 0]).collect()] == [0, 3]
     assert [r["col"] for r in cx.select_columns(model.factors, start=1, end=3).collect()] == [1, 2, 3]

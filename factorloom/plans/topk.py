@@ -18,6 +18,7 @@ _SALTS = 64
 # Vectors of one chunk, and the scores computed at a time, in bytes.
 _CHUNK_BYTES = 16 << 20
 _SCORE_BYTES = 32 << 20
+_SLAB = 4096
 
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int | Column, tie: str) -> DataFrame:
@@ -42,6 +43,37 @@ def _scores(q: np.ndarray, vecs: np.ndarray, how: str) -> np.ndarray:
     return -np.sqrt(((q[:, None, :] - vecs[None, :, :]) ** 2).sum(axis=2))
 
 
+def _best_in_chunk(q, base, take, ids, vecs, bias, how, digits):
+    """(query line, item, score) of the best `take` items per query, among items sorted by falling
+    length. A query is done when no item that is left can reach its last place: a dot product is at
+    most the product of the lengths."""
+    lengths, reach = np.linalg.norm(q, axis=1), np.linalg.norm(vecs, axis=1)
+    most = int(take.max())
+    best = np.full((len(q), most), -np.inf)
+    alive = np.arange(len(q))
+    lines, items, scores = [], [], []
+    for at in range(0, len(ids), _SLAB):
+        if at and how == "dot":
+            limit = base[alive] + lengths[alive] * reach[at] + bias[at:].max()
+            alive = alive[limit + 1e-8 * (1 + np.abs(limit)) >= best[alive].min(axis=1)]
+        if not len(alive):
+            break
+        slab = slice(at, at + _SLAB)
+        table = np.round(_scores(q[alive], vecs[slab], how) + bias[slab] + base[alive][:, None], digits) + 0.0
+        both = np.concatenate([best[alive], table], axis=1)
+        best[alive] = -np.partition(-both, most - 1, axis=1)[:, :most]
+        line, col = np.nonzero(table >= best[alive].min(axis=1)[:, None])
+        lines.append(alive[line])
+        items.append(ids[slab][col])
+        scores.append(table[line, col])
+    line, item, score = np.concatenate(lines), np.concatenate(items), np.concatenate(scores)
+    order = np.lexsort((item, -score, line))
+    line, item, score = line[order], item[order], score[order]
+    rank = np.arange(len(line)) - np.searchsorted(line, np.arange(len(q)))[line]
+    first = rank < take[line]
+    return line[first], item[first], score[first]
+
+
 def _chunk_rows(vectors: DataFrame) -> tuple[int, int]:
     """Number of vectors, and how many of them fit into one chunk."""
     sizes = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dims")).first()
@@ -83,35 +115,27 @@ def best_matches(queries: DataFrame, items: DataFrame, k: int, how: str = "dot",
 
     queries(qid, qvec, base [, extra]) and items(item, vec, bias). Both sides are cut into chunks of
     bounded size; a task meets one chunk of each, and keeps only the best k (+ extra) per query, so
-    pairs are never written out. Scores are rounded to `digits`, ties go to the smaller item."""
+    pairs are never written out. Items too short to reach a query's last place are not scored. Scores are rounded to `digits`, ties go to the smaller item."""
     if "extra" not in queries.columns:
         queries = queries.withColumn("extra", F.lit(0).cast("bigint"))
 
     def kernel(q: pd.DataFrame, i: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"qid": pd.Series(dtype="int64"), "item": pd.Series(dtype="int64"),
-                              "score": pd.Series(dtype="float64"), "extra": pd.Series(dtype="int64")})
-        if not len(q) or not len(i):
-            return empty
-        i = i.sort_values("item")
-        ids = i["item"].to_numpy()
-        vecs, bias = _matrix(i["vec"]), i["bias"].to_numpy()
-        out: list[pd.DataFrame] = []
-        step = _slice(len(ids), vecs.shape[1], how)
-        for start in range(0, len(q), step):
-            part = q.iloc[start:start + step]
-            scores = np.round(_scores(_matrix(part["qvec"]), vecs, how)
-                              + bias[None, :] + part["base"].to_numpy()[:, None], digits) + 0.0
-            extra = part["extra"].to_numpy()
-            take = np.minimum(k + extra, len(ids))
-            most = int(take.max())
-            floor = -np.partition(-scores, most - 1, axis=1)[:, most - 1]
-            line, at = np.nonzero(scores >= floor[:, None])
-            order = np.lexsort((at, -scores[line, at], line))
-            line, at = line[order], at[order]
-            rank = np.arange(len(line)) - np.searchsorted(line, np.arange(len(part)))[line]
-            line, at = line[rank < take[line]], at[rank < take[line]]
-            out.append(pd.DataFrame({"qid": part["qid"].to_numpy()[line], "item": ids[at],
-                                     "score": scores[line, at], "extra": extra[line]}))
+        out = [pd.DataFrame({"qid": np.zeros(0, "int64"), "item": np.zeros(0, "int64"), "score": np.zeros(0),
+                             "extra": np.zeros(0, "int64")})]
+        if len(q) and len(i):
+            ids, vecs, bias = i["item"].to_numpy(), _matrix(i["vec"]), i["bias"].to_numpy()
+            # Long vectors first: what is left can then be bounded.
+            order = np.argsort(-np.linalg.norm(vecs, axis=1))
+            chunk = ids[order], vecs[order], bias[order]
+            most = int(min(k + q["extra"].max(), len(ids)))
+            step = _slice(min(_SLAB, len(ids)) + most, vecs.shape[1], how)
+            for start in range(0, len(q), step):
+                part = q.iloc[start:start + step]
+                extra = part["extra"].to_numpy()
+                line, item, score = _best_in_chunk(_matrix(part["qvec"]), part["base"].to_numpy(),
+                                                   np.minimum(k + extra, len(ids)), *chunk, how, digits)
+                out.append(pd.DataFrame({"qid": part["qid"].to_numpy()[line], "item": item, "score": score,
+                                         "extra": extra[line]}))
         return pd.concat(out)
 
     left, right = _blocks(queries.select("qid", "qvec", "base", "extra"), items.select("item", "vec", "bias"))

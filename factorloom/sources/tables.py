@@ -31,7 +31,7 @@ def field_spec(spark: SparkSession, spec_path: str | None = None) -> DataFrame:
 
 
 def merge_spec(default: DataFrame, given: DataFrame) -> DataFrame:
-    lines = given.collect()
+    lines = given.limit(len(_LOGICAL) + 1).collect()
     names = [r["name"] for r in lines]
     bad = [r["name"] for r in lines
            if r["name"] not in _LOGICAL or (r["datatype"] is not None and r["datatype"] not in _TYPES)]

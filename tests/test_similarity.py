@@ -88,6 +88,7 @@ def test_best_matches_against_brute_force(spark, how, monkeypatch):
     """Chunks small enough that queries and items meet in many tasks; many exact ties."""
     monkeypatch.setattr(topk, "_CHUNK_BYTES", 8 * 6 * 7)
     monkeypatch.setattr(topk, "_SCORE_BYTES", 8 * 20)
+    monkeypatch.setattr(topk, "_SLAB", 3)
     rng = np.random.default_rng(5)
     q, items = rng.integers(-2, 3, (23, 3)).astype(float), rng.integers(-2, 3, (41, 3)).astype(float)
     left = spark.createDataFrame([(i, v.tolist(), 0.0) for i, v in enumerate(q)], "qid bigint, qvec array<double>, base double")
@@ -99,6 +100,27 @@ def test_best_matches_against_brute_force(spark, how, monkeypatch):
     assert got == brute(q, items, 4, measure)
 
 
+@pytest.mark.parametrize("how", ["dot", "distance"])
+def test_early_end_of_a_chunk_changes_nothing(how, monkeypatch):
+    monkeypatch.setattr(topk, "_SLAB", 5)
+    rng = np.random.default_rng(7)
+    for trial in range(40):
+        n, nq = int(rng.integers(1, 60)), int(rng.integers(1, 8))
+        vecs = rng.integers(-3, 4, (n, 2)) * rng.choice([0.1, 1.0, 10.0], (n, 1))
+        bias, ids = rng.integers(-2, 3, n).astype(float), rng.permutation(n)
+        q, base = rng.integers(-2, 3, (nq, 2)).astype(float), rng.normal(size=nq)
+        take = np.minimum(rng.integers(1, 9, nq), n)
+        order = np.argsort(-np.linalg.norm(vecs, axis=1))
+        got = list(zip(*topk._best_in_chunk(q, base, take, ids[order], vecs[order], bias[order], how, 9)))
+        want = []
+        for j in range(nq):
+            raw = vecs @ q[j] if how == "dot" else -np.sqrt(((vecs - q[j]) ** 2).sum(axis=1))
+            total = np.round(raw + bias + base[j], 9) + 0.0
+            want += [(j, ids[x], total[x]) for x in sorted(range(n), key=lambda x: (-total[x], ids[x]))[:take[j]]]
+        assert [g[:2] for g in got] == [w[:2] for w in want]
+        assert np.allclose([g[2] for g in got], [w[2] for w in want])
+
+
 def test_pairs_over_many_chunks(spark, monkeypatch):
     monkeypatch.setattr(topk, "_CHUNK_BYTES", 8 * 5 * 4)
     rng = np.random.default_rng(6)

@@ -151,8 +151,12 @@ def test_without_any_broadcast_by_size(spark, cells, model, monkeypatch):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     real = joins.heavy_keys
-    monkeypatch.setattr(joins, "heavy_keys", lambda facts, on, floor=1: real(facts, on, 1))
-    monkeypatch.setattr(gr, "heavy_keys", lambda facts, on, floor=1: real(facts, on, 1))
+
+    def from_two(facts, on, floor=1):
+        return real(facts, on, floor if on == ["row_id"] else 1)
+
+    monkeypatch.setattr(joins, "heavy_keys", from_two)
+    monkeypatch.setattr(gr, "heavy_keys", from_two)
     try:
         assert predictions(pr.predict(cells, model)) == pytest.approx([0.155, 0.5525, 0.325], abs=1e-12)
         assert_weights(tr.train_gd(cells, PARAMS, model), *BATCH)
@@ -203,6 +207,13 @@ def test_duplicates(make_cells, model):
     assert_weights(tr.train_gd(cells, PARAMS, model, on_duplicate="max"), *BATCH)
 
 
+def test_a_row_of_many_copies_is_found_before_the_shuffle(spark, cells, model):
+    copies = spark.range(5000).selectExpr("2 as row_id", "0 as col", "'user' as cat", "1.0D as val")
+    with pytest.raises(ValueError, match="Duplicate"):
+        gr.prepare(cells.unionByName(copies.select(*[F.col(c).cast(f.dataType).alias(c) for c, f in
+                                                     zip(copies.columns, schema.CELLS)])))
+
+
 def test_wrong_width_is_an_error(cells):
     with pytest.raises(ValueError, match="num_attribute"):
         gr.prepare(cells, 6)

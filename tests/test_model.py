@@ -165,6 +165,23 @@ def test_without_any_broadcast_by_size(spark, cells, model, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+@pytest.mark.parametrize("batch", [1, 2, 3, 5])
+def test_rows_that_span_arrow_batches(spark, cells, model, batch):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        assert_weights(tr.train_psgd(cells, PARAMS, model), *EPOCH)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_psgd_on_a_set_prepared_for_other_parts(cells, model):
+    data = gr.prepare(cells, 5)
+    assert data.width != PARAMS.num_partitions
+    assert_weights(tr.train_psgd(data, PARAMS, model), *EPOCH)
+    data.release()
+
+
 def test_wide_rows_take_another_way_to_the_same_result(make_cells, model, monkeypatch):
     extra = [(1, 1, "user", 0.0), (1, 3, "item", 0.0)]
     cells = make_cells({}, extra)

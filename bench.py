@@ -52,6 +52,9 @@ def main() -> None:
         counts["cells"] = cells.count()
         return cells, dictionary
 
+    # Once for the engine to compile its code, once for the figure; both are reported.
+    cells, dictionary = timed("build_cells_first", build)
+    cells.unpersist()
     cells, dictionary = timed("build_cells", build)
     timed("check_cells", lambda: cx.check_cells(cells).collect())
     timed("assemble_points", lambda: drain(cx.assemble_points(cells)))
@@ -84,7 +87,8 @@ def main() -> None:
     counts["predict_rows_per_sec"] = round(counts["rows"] / times["predict"])
     counts["gd_sec_per_step"] = round((times[f"train_gd_{STEPS}"] - times["train_gd_1"]) / (STEPS - 1), 3)
     print(json.dumps({"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec",
-                      "queries": times, "sf": os.path.basename(sf_dir.rstrip("/")).replace("sf", ""), "details": counts}))
+                      "queries": times,
+                      "sf": os.path.basename(sf_dir.rstrip("/")).replace("sf", ""), "details": counts}))
 
 
 if __name__ == "__main__":

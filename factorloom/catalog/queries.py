@@ -22,7 +22,7 @@ from factorloom.operators import recommend as rc
 from factorloom.operators import similarity as si
 from factorloom.operators import train as tr
 from factorloom.plans import pipeline
-from factorloom.plans.runtime import work_path
+from factorloom.plans.runtime import shuffle_width, work_path
 from factorloom.plans.topk import top_k
 from factorloom.sources import stores, tables
 from factorloom.streaming import jobs
@@ -105,7 +105,7 @@ UNION ALL SELECT 'cat', 'string', 'l_returnflag', count(l_returnflag) FROM linei
 def field_spec(spark, sf_dir):
     """A registered spec over the default one, and how many rows fill each mapped column."""
     path = work_path(spark, "spec")
-    _line_spec(spark).write.json(path)
+    tables.register_fields(spark, _LINE_SPEC, path)
     spec = tables.field_spec(spark, path)
     lines = fx.read(spark, sf_dir, "lineitem")
     names = [value for value, _ in tables.mapping_of(spec).values()]
@@ -548,7 +548,7 @@ def train_gd_minibatch(spark, sf_dir):
 @query()
 def train_psgd(spark, sf_dir):
     cells, _, model = rating_setup(spark, sf_dir)
-    return weight_lines(tr.train_psgd(cells, fx.params(num_partitions=8), model))
+    return weight_lines(tr.train_psgd(cells, fx.params(num_partitions=shuffle_width(spark)), model))
 
 
 @query()

@@ -30,13 +30,21 @@ def field_spec(spark: SparkSession, spec_path: str | None = None) -> DataFrame:
     return merge_spec(default, given)
 
 
-def merge_spec(default: DataFrame, given: DataFrame) -> DataFrame:
-    lines = given.limit(len(_LOGICAL) + 1).collect()
-    names = [r["name"] for r in lines]
-    bad = [r["name"] for r in lines
-           if r["name"] not in _LOGICAL or (r["datatype"] is not None and r["datatype"] not in _TYPES)]
+def _checked(lines: list) -> list:
+    names = [r[0] for r in lines]
+    bad = [name for name, datatype, _ in lines if name not in _LOGICAL or datatype not in (None, *_TYPES)]
     if bad or len(set(names)) != len(names):
         raise ValueError(f"Bad field spec: {names}")
+    return lines
+
+
+def register_fields(spark: SparkSession, fields: list[tuple[str, str, str]], path: str) -> None:
+    """Store a spec: (logical name, type, physical name) for some or all of row, col, val, cat."""
+    spark.createDataFrame(_checked(fields), _SPEC_SCHEMA).coalesce(1).write.json(path)
+
+
+def merge_spec(default: DataFrame, given: DataFrame) -> DataFrame:
+    _checked([tuple(r) for r in given.limit(len(_LOGICAL) + 1).collect()])
     chosen = given.select("name", F.col("datatype").alias("_t"), F.col("value").alias("_v"))
     return default.join(F.broadcast(chosen), "name", "left").select(
         "name", F.coalesce("_t", "datatype").alias("datatype"), F.coalesce("_v", "value").alias("value"))

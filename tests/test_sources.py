@@ -43,6 +43,11 @@ def test_field_spec(spark, tmp_path):
     assert tables.mapping_of(tables.field_spec(spark))["val"] == ("value", "double")
     assert tables.mapping_of(spec([("val", "double", "rating")])) == {
         "row": ("row", "long"), "col": ("col", "long"), "val": ("rating", "double"), "cat": ("type", "string")}
+    path = str(tmp_path / "registered")
+    tables.register_fields(spark, [("cat", "string", "kind"), ("row", "long", "id")], path)
+    assert tables.mapping_of(tables.field_spec(spark, path))["cat"] == ("kind", "string")
+    with pytest.raises(ValueError, match="Bad field spec"):
+        tables.register_fields(spark, [("label", "long", "x")], path)
     for bad in ([("value", "double", "x")], [("val", "date", "x")], [("val", "double", "x"), ("val", "double", "y")]):
         with pytest.raises(ValueError, match="Bad field spec"):
             spec(bad)

@@ -22,7 +22,7 @@ from factorloom.operators import recommend as rc
 from factorloom.operators import similarity as si
 from factorloom.operators import train as tr
 from factorloom.plans import pipeline
-from factorloom.plans.runtime import shuffle_width, work_path
+from factorloom.plans.runtime import work_path
 from factorloom.plans.topk import top_k
 from factorloom.sources import stores, tables
 from factorloom.streaming import jobs
@@ -548,7 +548,7 @@ def train_gd_minibatch(spark, sf_dir):
 @query()
 def train_psgd(spark, sf_dir):
     cells, _, model = rating_setup(spark, sf_dir)
-    return weight_lines(tr.train_psgd(cells, fx.params(num_partitions=shuffle_width(spark)), model))
+    return weight_lines(tr.train_psgd(cells, fx.params(num_partitions=spark.sparkContext.defaultParallelism), model))
 
 
 @query()

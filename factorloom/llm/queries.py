@@ -7,13 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorloom.llm import sharding, simhash
+from factorloom.llm import line_rules, sharding, simhash, url_cascade
 from factorloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+# The rules of the url query, and the domains it takes as listed.
+URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"),
+             ("net/fr/", "block")]
+BLOCKED_SITES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+BLOCKED_ENDS = ("example.com", "example.net", "example.org")
+
+
 def query(run):
     QUERIES[run.__name__] = run
     return run
@@ -30,3 +37,56 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sharding.shard(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                         F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op6_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.judge(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op6_line_rules"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+win AS (SELECT r, i, ws[i] || chr(32) || ws[i + 1] || chr(32) || ws[i + 2] AS g
+        FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+dup AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM win) WHERE n > 1),
+rep AS (SELECT r, count(DISTINCT i + k) AS n FROM dup, (SELECT unnest([0, 1, 2]) AS k) GROUP BY r),
+ln AS (SELECT r, source, t, pos, line, words, lag(line) OVER o AS prev, lead(line) OVER o AS next
+       FROM (SELECT r, source, t, pos, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS words,
+                    array_to_string(list_transform(regexp_extract_all(x, '[^\x20\x09-\x0D]+'),
+                        lambda y: translate(y, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')), chr(32)) AS line
+             FROM (SELECT r, source, t, unnest(string_split(t, chr(10))) AS x,
+                          generate_subscripts(string_split(t, chr(10)), 1) AS pos FROM d))
+       WHERE words > 0 WINDOW o AS (PARTITION BY r ORDER BY pos)),
+pairs AS (SELECT source, line, t, arg_min(coalesce('=' || prev, '-') || chr(10) || coalesce('=' || next, '-'), pos) AS c
+          FROM ln GROUP BY source, line, t),
+bad AS (SELECT source, line FROM pairs GROUP BY source, line
+        HAVING count(*) >= 20 AND 100 * count(DISTINCT c) >= 50 * count(*)),
+gone AS (SELECT r, sum(words) AS g FROM ln JOIN bad ON ln.source IS NOT DISTINCT FROM bad.source AND ln.line = bad.line GROUP BY r),
+b AS (SELECT w.r, doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
+             length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols,
+             len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(g, 0) AS g
+      FROM w LEFT JOIN rep USING (r) LEFT JOIN gone USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * (n_words - g) >= 30 * n_words AS kept
+FROM b"""
+
+
+@query
+def op2_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = [(f"{site}.{end}",) for site in BLOCKED_SITES for end in BLOCKED_ENDS]
+    return url_cascade.judge(table(spark, sf_dir, "pages"), URL_RULES, spark.createDataFrame(keys, "key string"))
+
+
+ORACLE["op2_url_cascade"] = f"""
+WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                  'abcdefghijklmnopqrstuvwxyz') AS host,
+                  regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+r(rule, says, h, pre) AS (VALUES {', '.join(f"('{r}', '{v}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}')" for r, v in URL_RULES)}),
+b(key) AS (VALUES {', '.join(f"('{s}.{e}')" for s in BLOCKED_SITES for e in BLOCKED_ENDS)}),
+f AS (SELECT page_id, host, path, (SELECT max(struct_pack(n := length(rule), rule := rule, says := says)) FROM r
+             WHERE (host = h OR host LIKE '%.' || h) AND starts_with(path, pre)) AS best,
+             EXISTS (SELECT 1 FROM b WHERE host = key OR host LIKE '%.' || key) AS listed FROM p)
+SELECT page_id, host, path, best.rule AS rule, coalesce(best.says, CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict FROM f"""

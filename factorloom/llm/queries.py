@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorloom.llm import line_rules, sharding, simhash, url_cascade
+from factorloom.llm import decontaminate, line_rules, packing, sharding, simhash, url_cascade
 from factorloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,14 @@ f AS (SELECT page_id, host, path, (SELECT max(struct_pack(n := length(rule), rul
              WHERE (host = h OR host LIKE '%.' || h) AND starts_with(path, pre)) AS best,
              EXISTS (SELECT 1 FROM b WHERE host = key OR host LIKE '%.' || key) AS listed FROM p)
 SELECT page_id, host, path, best.rule AS rule, coalesce(best.says, CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict FROM f"""
+
+
+@query
+def op4_edit_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op5_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorloom.llm import decontaminate, line_rules, packing, sharding, simhash, url_cascade
+from factorloom.llm import decontaminate, html_main, line_rules, packing, sharding, simhash, url_cascade
 from factorloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +101,9 @@ def op4_edit_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op1_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_main.extract(table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))

@@ -57,31 +57,33 @@ def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id", wo
 
 
 def _signatures(fps: DataFrame) -> DataFrame:
-    """(pos, rest, fp): the 64 signatures of each fingerprint; pos also tells the segment."""
-    segment = "fp & (CASE WHEN pos < 32 THEN 4294967295L ELSE -4294967296L END)"
+    """(sig, fp): the 64 signatures of each fingerprint, dealt by signature. Bits of sig: which position is left out
+    (this tells the segment too) below the segment without it."""
+    segment = "(CASE WHEN pos < 32 THEN fp & 4294967295L ELSE shiftrightunsigned(fp, 32) END)"
     return (fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("pos"))
-            .selectExpr("pos", f"{segment} & ~shiftleft(1L, pos) AS rest", "fp"))
+            .selectExpr(f"shiftleft({segment} & ~shiftleft(1L, pos % 32), 6) | pos AS sig", "fp").repartition("sig"))
 
 
 def links(fps: DataFrame, bucket_limit: int = 256) -> DataFrame:
     """Edges (a, b), a < b, that connect all distinct values of `fp` within two bits of each other. Edges beyond
     `bucket_limit` are stars with the same components."""
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2
-    buckets = (_signatures(fps).groupBy("pos", "rest")
-               .agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).filter("n > 1"))
-    buckets = stage(buckets, "buckets")
-    twos = buckets.filter("n = 2").select("a", "b").filter(close)
-    shared = _signatures(fps).join(buckets.filter("n > 2").select("pos", "rest", "n"), ["pos", "rest"])
-    shared = stage(shared, "shared")
-    left = shared.filter(F.col("n") <= bucket_limit).select("pos", "rest", F.col("fp").alias("a"))
-    right = left.withColumnRenamed("a", "b")
-    some = left.join(right, ["pos", "rest"]).filter("a < b").filter(close).select("a", "b")
+    # The signatures are shuffled once: counting them and looking up the shared ones read the same exchange.
+    sigs = _signatures(fps)
+    buckets = (sigs.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
+               .filter("n > 1"))
+    members = sigs.join(buckets.filter("n > 2").select("sig", "n"), "sig").select("sig", "n", F.col("fp").alias("a"))
+    twos = buckets.filter("n = 2").filter(close)
+    found = stage(twos.unionByName(members.withColumn("b", F.lit(None).cast("long"))), "signatures")
+    shared = found.filter("n > 2").select("sig", "n", F.col("a").alias("fp"))
+    left = shared.filter(F.col("n") <= bucket_limit).select("sig", F.col("fp").alias("a"))
+    some = left.join(left.withColumnRenamed("a", "b"), "sig").filter("a < b").filter(close).select("a", "b")
     crowded = shared.filter(F.col("n") > bucket_limit).select("fp").distinct()
     around = crowded.selectExpr("fp", "explode(concat(array(fp), transform(sequence(0, 63), p -> fp ^ shiftleft(1L, p))))"
                                 " AS ball")
     centre = around.groupBy("ball").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     stars = around.join(centre.select("ball", "a"), "ball").select("a", F.col("fp").alias("b")).filter("a < b")
-    return twos.unionByName(some).unionByName(stars).distinct()
+    return found.filter("n = 2").select("a", "b").unionByName(some).unionByName(stars).distinct()
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorloom.llm import decontaminate, html_main, line_rules, packing, sharding, simhash, url_cascade
-from factorloom.llm.common import table
+from factorloom.llm import decontaminate, html_main, line_rules, packing, sharding, simhash, toxicity, url_cascade
+from factorloom.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -107,3 +107,11 @@ def op5_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html_main.extract(table(spark, sf_dir, "pages"))
     return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -74,9 +74,10 @@ def document_lines(docs: DataFrame, text: str = "text", host: str = "source", id
     df = df.drop("_n").withColumn("_p", F.expr(
         "transform(_h, (x, i) -> struct(x.pos AS pos, x.line AS line, x.words AS words, "
         "xxhash64(get(_h, i - 1).line, get(_h, i + 1).line) AS context))"))
-    n_words = F.expr("aggregate(_h, 0, (s, x) -> s + x.words)").alias("n_words")
-    return df.select("key", "host", "copy", n_words, F.explode("_p").alias("p")).select(
-        "key", "host", "copy", "n_words", "p.*")
+    df = df.withColumn("n_words", F.expr("aggregate(_h, 0, (s, x) -> s + x.words)")).drop("_h")
+    # Outer, so that no filter on the array's size makes the scan compute it all a second time, inside out.
+    lines = df.select("key", "host", "copy", "n_words", F.explode_outer("_p").alias("p"))
+    return lines.filter("p IS NOT NULL").select("key", "host", "copy", "n_words", "p.*")
 
 
 def frequent_lines(lines: DataFrame, min_documents: int = 20, min_contexts: int = 50) -> DataFrame:

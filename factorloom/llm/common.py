@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,3 +44,19 @@ def training_labels(labels: DataFrame, label: str, limit: int) -> DataFrame:
     open_rows = labels.filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col(label).isNotNull())
     one = open_rows.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+
+
+#: Runs of letters, of digits and of signs; line feeds part the tokens that are split together.
+_PARTS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+|\n")
+
+
+def split_tokens(tokens: list[str]) -> list[str]:
+    """The parts of all tokens, "\\n" between one token and the next. Tokens hold no white space."""
+    return _PARTS.findall("\n".join(tokens))
+
+
+def cut_at_zeros(ids: np.ndarray) -> list[bytes]:
+    """The bytes of the stretches between zeros."""
+    ends, width, raw = np.flatnonzero(ids == 0) * ids.itemsize, ids.itemsize, ids.tobytes()
+    starts = [0, *(ends + width).tolist()]
+    return [raw[a:b] for a, b in zip(starts, [*ends.tolist(), len(raw)])]

@@ -9,7 +9,6 @@ fitted on documents it was not trained on makes its scores probabilities.
 from __future__ import annotations
 
 import math
-import re
 import zlib
 from dataclasses import dataclass
 
@@ -18,14 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factorloom.llm.common import training_labels
+from factorloom.llm.common import cut_at_zeros, split_tokens, training_labels
 from factorloom.plans.runtime import ship_with_tasks, stage
 
 #: Word buckets (16-bit ids, 0 stands between documents), dimensions, and entries that are not 0 in an index vector.
 BUCKETS, DIMS, ONES = 1 << 15, 32, 4
 #: Words on each side that count as context.
 WINDOW = 2
-_PARTS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 
 
 def index_vectors(seed: int = 7) -> np.ndarray:
@@ -50,23 +48,25 @@ class Words:
         self.known: dict[str, bytes] = {}
         self.keep = keep
 
-    @staticmethod
-    def _ids(token: str) -> bytes:
-        out = []
-        for part in _PARTS.findall(token):
-            out.append(_bucket(part.lower()))
-            if part.isupper() and len(part) > 1:
-                out.append(_bucket("\x01capitals"))
-        return np.array(out, np.uint16).tobytes()
+    def _learn(self, tokens: list[str]) -> None:
+        capitals, ids = _bucket("\x01capitals"), []
+        for part in split_tokens(tokens):
+            if part == "\n":
+                ids.append(0)
+            else:
+                ids.append(_bucket(part.lower()))
+                if part.isupper() and len(part) > 1:
+                    ids.append(capitals)
+        self.known.update(zip(tokens, cut_at_zeros(np.array(ids, np.uint16))))
 
     def ids(self, text: str | None) -> np.ndarray:
         tokens = (text or "").split()
         if len(self.known) > self.keep:
             self.known = {}
-        known = self.known
-        for token in set(tokens).difference(known):
-            known[token] = self._ids(token)
-        return np.frombuffer(b"".join(map(known.__getitem__, tokens)), np.uint16)
+        new = list(set(tokens).difference(self.known))
+        if new:
+            self._learn(new)
+        return np.frombuffer(b"".join(map(self.known.__getitem__, tokens)), np.uint16)
 
 
 def context_sums(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorloom.llm import decontaminate, html_main, line_rules, packing, quality, sharding, simhash, toxicity, url_cascade
+from factorloom.llm import decontaminate, html_main, line_rules, masked_lm, packing, quality, sharding, simhash, toxicity, url_cascade
 from factorloom.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +123,9 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
                          (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op8_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return masked_lm.score(docs, masked_lm.fit(docs))

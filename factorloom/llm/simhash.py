@@ -124,22 +124,106 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     return rows.join(named, "fp").select(id_col, "fp", "component_id")
 
 
-def first_of_each(docs: DataFrame, text: str = "text", id_col: str = "doc_id", words_per_shingle: int = 3) -> DataFrame:
-    """The rows of `docs`, one for each component: that of the smallest id. Where several rows have that id the one
-    with the smallest text stays, and of equal rows one. Rows of a component without any id: the smallest text."""
-    groups = near_duplicates(docs, text, id_col, words_per_shingle)
-    winners = groups.filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    kept = docs.join(winners, id_col, "left_semi")
-    nameless = docs.filter(F.col(id_col).isNull())
-    columns = [c for c in docs.columns if c not in (id_col, text)]
-    order = F.struct(F.col(text), *columns)
-    one = kept.groupBy(id_col).agg(F.min(order).alias("row"))
-    alone = groups.filter(F.col("component_id").isNull()).select("fp").distinct()
-    rest = _with_fp(nameless, text, words_per_shingle).join(alone, "fp").groupBy("fp").agg(F.min(order).alias("row"))
-    rest = rest.select(F.lit(None).cast(docs.schema[id_col].dataType).alias(id_col), "row")
-    return one.unionByName(rest).select(id_col, "row.*").select(*docs.columns)
-
-
-def _with_fp(docs: DataFrame, text: str, words_per_shingle: int) -> DataFrame:
+def _shingles(text: str | None, width: int) -> set[bytes]:
+    words = _WORDS.findall((text or "").encode("utf-8", "surrogatepass").translate(_LOWER))
+    return set(map(b" ".join, zip(*(words[k:] for k in range(width))))) or {b" ".join(words)}
+
+
+def similarity_of(a: str | None, b: str | None, width: int = 5) -> float:
+    """Jaccard similarity of the distinct word shingles; shorter texts are one shingle."""
+    x, y = _shingles(a, width), _shingles(b, width)
+    return len(x & y) / len(x | y)
+
+
+class _WordBits:
+    """Wide fingerprints of a text's distinct words, with a bounded memory of words."""
+
+    def __init__(self, keep: int = 300_000):
+        self.known: dict[bytes, bytes] = {}
+        self.keep = keep
+
+    def of(self, words: list[bytes]) -> list[int]:
+        distinct = set(words) or {b""}
+        if len(self.known) > self.keep:
+            self.known = {}
+        digest = xxhash.xxh64_digest
+        for w in distinct.difference(self.known):
+            self.known[w] = b"".join(digest(w, seed) for seed in range(4))
+        ones, chunk = np.zeros(256, np.int64), list(map(self.known.__getitem__, distinct))
+        for at in range(0, len(chunk), 4096):
+            block = np.frombuffer(b"".join(chunk[at:at + 4096]), np.uint8).reshape(-1, 32)
+            ones += np.unpackbits(block, axis=1).sum(0, dtype=np.int64)
+        return np.packbits(2 * ones > len(chunk)).view(">i8").tolist()
+
+
+def _sketches(docs: DataFrame, text: str) -> DataFrame:
+    """(num, key, f0 .. f3): the words' digest and the wide fingerprint of every row."""
+    names = ["num", "key", "f0", "f1", "f2", "f3"]
+
+    def run(batches):
+        bits = _WordBits()
+        for batch in batches:
+            keys, prints = [], []
+            for t in batch.column(1).to_pylist():
+                words = _WORDS.findall((t or "").encode("utf-8", "surrogatepass").translate(_LOWER))
+                keys.append(xxhash.xxh3_128_digest(b" ".join(words)))
+                prints.append(bits.of(words))
+            columns = [pa.array(c, pa.int64()) for c in zip(*prints)] if prints else [pa.array([], pa.int64())] * 4
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), *columns], names=names)
+
+    ship_with_tasks(__name__)
+    return docs.select("num", text).mapInArrow(run, "num bigint, key binary, f0 bigint, f1 bigint, f2 bigint, f3 bigint")
+
+
+def _candidates(nodes: DataFrame) -> DataFrame:
+    """(a, b), a < b: nodes that share a deletion-variant signature: eight segments of 32 bits, one bit left out. In a
+    signature's list each node meets the first node and the one before it; similar texts share many signatures in
+    ever different company, so their links come about without the square of a list."""
+    seg = [f"shiftright(f{k // 2}, {32 * (1 - k % 2)}) & 4294967295L" for k in range(8)]
+    long = nodes.selectExpr("node", f"posexplode(array({', '.join(seg)})) AS (s, v)")
+    long = long.select("node", "s", "v", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("p"))
+    sigs = long.selectExpr("node", "shiftleft(v & ~shiftleft(1L, p), 8) | shiftleft(s, 5) | p AS sig")
+    met = sigs.selectExpr("node AS b", "lag(node) OVER (PARTITION BY sig ORDER BY node) AS before",
+                          "first(node) OVER (PARTITION BY sig ORDER BY node) AS first").filter("before IS NOT NULL")
+    pairs = met.select(F.col("first").alias("a"), "b").unionByName(met.select(F.col("before").alias("a"), "b"))
+    return pairs.distinct()
+
+
+def similar_groups(docs: DataFrame, text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(num, root) for every row of `docs`, which has a unique long column num: rows whose texts are linked by
+    similarities of at least `similarity` have one root. Texts of the same words in any case of A-Z are one text;
+    texts without a word are all the same. Signatures find the candidates, whole texts decide."""
+    rows = stage(_sketches(docs, text), "sketches")
+    nodes = stage(rows.groupBy("key").agg(F.min("num").alias("node"), *(F.first(f"f{k}").alias(f"f{k}") for k in range(4))), "nodes")
+    pairs = stage(_candidates(nodes), "candidates")
+    needed = pairs.selectExpr("explode(array(a, b)) AS num").distinct()
+    texts = stage(docs.select("num", text).join(needed, "num", "left_semi").toDF("num", "t"), "texts")
+    both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
+
+    def verify(batches):
+        for batch in batches:
+            near = [similarity_of(x, y, width) >= similarity
+                    for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
     ship_with_tasks(__name__)
-    return docs.withColumn("fp", F.udf(lambda t: fingerprint_of(t, words_per_shingle), "bigint")(F.col(text)))
+    edges = both.select("a", "b", "ta", "tb").mapInArrow(verify, "a bigint, b bigint")
+    found = components(edges)
+    rooted = nodes.select("key", "node").join(found, "node", "left").select("key", F.coalesce("root", "node").alias("root"))
+    return rows.select("num", "key").join(rooted, "key").select("num", "root")
+
+
+def first_of_each(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of `docs`, all columns, one for each group of near copies: that of the smallest id (a null id comes
+    last; of rows with one id, the first in the table). `docs` must be a stored table, as rows are told by their
+    place in it. An empty table gives no rows."""
+    kept = docs.columns
+    numbered = docs.withColumn("num", F.monotonically_increasing_id()) if "num" not in kept else None
+    if numbered is None:
+        return first_of_each(docs.withColumnRenamed("num", "_num"), text, id_col, width, similarity).withColumnRenamed("_num", "num")
+    groups = stage(similar_groups(numbered, text, width, similarity), "groups")
+    ranked = groups.join(numbered.select("num", id_col), "num")
+    order = F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("num"))
+    first = ranked.groupBy("root").agg(F.min(order).getField("num").alias("winner"))
+    losers = groups.join(first, "root").filter("num <> winner").select("num")
+    return numbered.join(losers, "num", "left_anti").select(*kept)

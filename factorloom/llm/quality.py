@@ -217,7 +217,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "d
     rows = rows.join(F.broadcast(sample), "doc_id").groupBy("text").agg(F.max("label").alias("label"), F.min("doc_id").alias("at"))
     found = _features(stage(rows, "labelled"), vectors, "text", ["label", "at"], lambda x: pa.array(list(x), pa.list_(pa.float32())),
                       "label int, at bigint, found array<float>").orderBy("at").collect()
-    x = np.array([r["found"] for r in found], np.float64).reshape(len(found), -1)
+    x = np.array([r["found"] for r in found], np.float64)
     y = np.array([float(r["label"] > 0) for r in found])
     if len(set(y.tolist())) < 2:  # nothing to tell apart: every document gets the share of label 1
         width = 2 * vectors.shape[1] + 3

@@ -41,7 +41,7 @@ def _sizes(prefix: str = "") -> list[Column]:
     return [F.sum(c).alias(prefix + c) for c in DIMS]
 
 
-def shard(docs: DataFrame, shards: int = 8, text: str = "text", id_col: str = "doc_id", max_group: float = 0.125,
+def shard(docs: DataFrame, shards: int = 8, text: str = "text", id_col: str = "doc_id", max_group: float = 0.5,
           heavy: float = 1 / 256, groups_per_bucket: int = 20_000) -> DataFrame:
     """(id_col, size, text_crc32, shard, slot) for every row of `docs`; other columns are not read.
 

@@ -25,8 +25,9 @@ from factorloom.plans.runtime import ship_with_tasks, stage
 # Signs and the letters they stand for.
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a",
               "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "<": "c", "¡": "i", "§": "s"}
-#: Costs (negative log probabilities) of the channel.
-SWAP, DROP, REPEAT, KEEP_REPEAT = 1.0, 1.5, 0.7, 2.0
+#: Costs (negative log probabilities) of the channel: a look-alike, a sign between letters, a look-alike that is just a
+#: sign (more than the letter it would spare), a run read as one letter, as two.
+SWAP, DROP, NO_LETTER, REPEAT, KEEP_REPEAT = 1.0, 0.5, 7.0, 0.7, 2.0
 #: Letters up to here count as themselves in the character model, others as one class; so it has at most 592^2 entries.
 LETTERS, OTHER = 0x250, "￿"
 
@@ -83,7 +84,7 @@ def arcs(token: str) -> list[list[tuple[int, str, float]]]:
     for i, c in enumerate(token):
         end = ends[i]
         options = [(c, 0.0)] if c.isalpha() else [(x, SWAP) for x in LOOKALIKES.get(c, "")]
-        here = [] if c.isalpha() else [(end, "", DROP)]
+        here = [] if c.isalpha() else [(end, "", NO_LETTER if options else DROP)]
         for letter, cost in options:
             here.append((end, letter, cost + (REPEAT if end > i + 1 else 0.0)))
             if end > i + 1:

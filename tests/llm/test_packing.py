@@ -1,0 +1,104 @@
+"""Token ids against the tokenizer itself, and the exact round trip of packing."""
+
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from factorloom.llm.packing import Packer, pack
+from factorloom.llm.tokens import Encoder
+
+LINES = ["", " ", "a", "The  two", "x \ny", "é ñ", "\n\n a", "don't 's 12ab!!", "a\t b", "end ", "<|endoftext|> x", "\0a b", "日本 😀"]
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    found = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    found.encode_special_tokens = True
+    return found
+
+
+def ids_of(tokenizer, text):
+    return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_ids_are_the_tokenizers(tokenizer):
+    encoder = Encoder(keep=20)  # forgets again and again
+    for _ in range(2):
+        assert encoder.encode(LINES) == [ids_of(tokenizer, t) for t in LINES]
+
+
+@settings(max_examples=150, deadline=None)
+@given(text=st.text(st.sampled_from("ab .,\n\t'sé1 \xa0\x00"), max_size=20))
+def test_any_text(text):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")) if not hasattr(test_any_text, "t") else test_any_text.t
+    test_any_text.t, test_any_text.e = tokenizer, getattr(test_any_text, "e", None) or Encoder()
+    assert test_any_text.e.encode([text])[0] == ids_of(tokenizer, text)
+
+
+def check_round_trip(rows, docs, length=1024):
+    """docs: doc_id to ids with the end id, one row an id."""
+    pieces, sequences = defaultdict(list), defaultdict(list)
+    for r in rows:
+        assert docs[r["doc_id"]][r["start"] * 4:(r["start"] + r["length"]) * 4] == bytes(r["ids"])
+        assert r["length"] > 0 and r["doc_tokens"] * 4 == len(docs[r["doc_id"]])
+        pieces[r["doc_id"]].append((r["start"], r["length"]))
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert set(pieces) == set(docs)
+    for i, found in pieces.items():
+        at = 0
+        for start, n in sorted(found):
+            assert start == at
+            at += n
+        assert at * 4 == len(docs[i])
+    sizes = []
+    for found in sequences.values():
+        at = 0
+        for offset, n in sorted(found):
+            assert offset == at
+            at += n
+        sizes.append(at)
+    assert all(s == length or s & (s - 1) == 0 for s in sizes)
+    assert len(set(sizes)) == len([s for s in sizes if s < length]) + (length in sizes)
+
+
+def test_round_trip(spark, tokenizer):
+    texts = {i: "word " * (i * 37 % 900) + f"ñ{i}" for i in range(120)} | {500: None, 501: "", 502: "a b c " * 3000}
+    docs = spark.createDataFrame([(i, t, "x") for i, t in texts.items()], "doc_id long, text string, offset string").repartition(5)
+    rows = pack(docs).collect()
+    check_round_trip(rows, {i: ids_of(tokenizer, t or "") + b"\0\0\0\0" for i, t in texts.items()})
+
+
+def test_repeated_rows_and_null_ids(spark):
+    docs = spark.createDataFrame([(None, "same text"), (None, "same text"), (1, "same text")], "doc_id long, text string")
+    rows = pack(docs).collect()
+    assert sum(r["length"] for r in rows) == 3 * rows[0]["doc_tokens"]
+
+
+def test_empty_table(spark):
+    assert pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_windows_are_bounded_and_best_fit():
+    packer = Packer(8, 2, 0)
+    out = []
+    for doc, n in enumerate([5, 6, 2, 7, 3]):
+        out += packer.add(doc, bytes(4 * n))
+        assert len(packer.open) <= 2
+    # 2 tokens go to the window of 6, which they fill; 7 open the second window; 3 fill the window of 5.
+    assert [(r[0], r[5]) for r in out] == [(1, 0), (2, 0), (0, 1), (4, 1)]
+    assert [(r[0], r[7]) for r in packer.rest()] == [(3, True)]
+
+
+def test_query_matches_ids(spark, sf_dir, tokenizer):
+    from factorloom.llm.queries import QUERIES
+
+    texts = {r["doc_id"]: ids_of(tokenizer, r["text"] or "") + b"\0\0\0\0"
+             for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    for r in QUERIES["op5_online_packing"](spark, sf_dir).collect():
+        assert r["ids_crc32"] == zlib.crc32(texts[r["doc_id"]][r["start"] * 4:(r["start"] + r["length"]) * 4])

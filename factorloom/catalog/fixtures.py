@@ -89,8 +89,8 @@ def latest_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, term, weight): every word of the whole text counts once per occurrence."""
-    words = F.explode(F.split(F.lower("text"), "[^a-z]+"))
+    """(doc_id, term, weight): every word of the whole text, in letters of any script, counts once per occurrence."""
+    words = F.explode(F.split(F.lower("text"), r"[^\p{L}]+"))
     return (read(spark, sf_dir, "documents").select("doc_id", words.alias("term"))
             .filter(F.col("term") != "").withColumn("weight", F.lit(1.0)))
 

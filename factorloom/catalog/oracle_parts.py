@@ -38,7 +38,7 @@ PROFILE_ENTRIES = SET_WEIGHTS + """, entries AS (
   UNION ALL SELECT c_custkey, 3, 'label', 'y', c_acctbal / 10000 FROM customer)"""
 
 TERM_ENTRIES = """words AS (
-  SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS term FROM documents),
+  SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}]+')) AS term FROM documents),
 tw AS (
   SELECT doc_id AS row_id, term AS key,
          count(*) / CAST(sum(count(*)) OVER (PARTITION BY doc_id) AS DOUBLE) AS val

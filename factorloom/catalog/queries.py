@@ -207,7 +207,8 @@ def save_similarity(spark, sf_dir):
     return spark.read.parquet(path).groupBy("i").agg(F.count(F.lit(1)).alias("others"), near(F.sum("score")).alias("total"))
 
 
-@query(_EVENT_PAIRS + " SELECT i, j, round(score, 6) + 0.0 AS score FROM sim WHERE i IN (0, 3, 64, 100)")
+@query(_EVENT_PAIRS + " SELECT i, j, round(score, 6) + 0.0 AS score FROM sim WHERE i IN (0, 3, 64, 100)"
+       + " UNION ALL SELECT j, i, round(score, 6) + 0.0 FROM sim WHERE j IN (0, 3, 64, 100)")
 def load_similarity(spark, sf_dir):
     _, _, model = event_setup(spark, sf_dir)
     path = stores.save_similarity(si.column_similarities(model.factors), work_path(spark, "store"), "events", 1)
@@ -367,7 +368,8 @@ SELECT 'num_attribute' AS rule, CAST(CASE WHEN (SELECT n FROM top) <> 6 THEN 1 E
 UNION ALL SELECT 'binary_values', count(*) FROM raw WHERE cat IN ('user', 'item', 'context_categorical') AND val NOT IN (0, 1)
 UNION ALL SELECT 'negative_lost', count(*) FROM raw WHERE val < 0 AND col < (SELECT n FROM top)
 UNION ALL SELECT 'missing_target', count(*) FROM per_row WHERE top < (SELECT n FROM top)
-UNION ALL SELECT 'set_sum', count(*) FROM per_row WHERE abs(s - 1) > 1e-6
+UNION ALL SELECT 'not_a_number', count(*) FROM raw WHERE isnan(val)
+UNION ALL SELECT 'set_sum', count(*) FROM per_row WHERE abs(s - round(s)) > 1e-6 OR s < 0.5
 UNION ALL SELECT 'duplicate_cell', count(*) FROM (SELECT 1 FROM raw GROUP BY row_id, col HAVING count(*) > 1)
 UNION ALL SELECT 'overlapping_blocks', count(*) FROM blocks x WHERE EXISTS (
   SELECT 1 FROM blocks y WHERE (y.b < x.b OR (y.b = x.b AND y.e < x.e)) AND y.e >= x.b)"""
@@ -449,7 +451,16 @@ def init_model_constant(spark, sf_dir):
     return pr.init_model(spark, fx.width(dictionary), 2, 0.25, 0.0).wide()
 
 
-@query()
+def _drawn(seed: int, factors: int, mean: float, stdev: float) -> str:
+    """SQL of the hashed normal draws of all factors of column c."""
+    u = "((('0x' || substr(md5(concat_ws(':', '{s}', '{f}', CAST(c AS VARCHAR), '{x}')), 1, 13))::BIGINT + 0.5e0) / 4503599627370496e0)"
+    at = lambda f, x: u.format(s=seed, f=f, x=x)
+    return " ".join(f"UNION ALL SELECT c, 'm{f}', round({mean}e0 + {stdev}e0 * sqrt(-2 * ln({at(f, 'r')})) * cos(2 * pi() * {at(f, 'a')}), 6) "
+                    "+ 0.0 FROM cs" for f in range(factors))
+
+
+@query(f"{sql.RATINGS_BASE}, cs AS (SELECT unnest(range((SELECT n FROM dim))) AS c) SELECT CAST(-1 AS BIGINT) AS col, 'c' AS part, 0e0 AS value "
+       f"UNION ALL SELECT c, 'v', 0e0 FROM cs {_drawn(7, 2, 0.0, 0.1)}")
 def init_model(spark, sf_dir):
     _, dictionary = fx.rating_cells(spark, sf_dir)
     return weight_lines(pr.init_model(spark, fx.width(dictionary), 2, 0.0, 0.1, seed=7))
@@ -487,6 +498,24 @@ def predict(spark, sf_dir):
     return _predictions(pr.predict(cells, model))
 
 
+@query(f"{sql.EVENTS_BASE}, {sql.factors()}, {sql.row_parts()} "
+       f"SELECT row_id % 7 AS row_id, round({sql.equation()}, 6) + 0.0 AS prediction FROM parts")
+def predict_repeated_ids(spark, sf_dir):
+    """Seven ids for all points: each point is scored on its own."""
+    cells, _, model = event_setup(spark, sf_dir)
+    points = cx.assemble_points(cells).withColumn("row_id", F.col("row_id") % 7)
+    return _predictions(pr.predict(points, model))
+
+
+@query(f"{sql.RATINGS_BASE}, {sql.factors()} SELECT c_custkey AS row_id, round(0.1e0 + coalesce(v, 0), 6) + 0.0 AS prediction "
+       "FROM customer LEFT JOIN dict d ON d.block = 0 AND d.key = CAST(c_custkey AS VARCHAR) LEFT JOIN factors f ON f.col = d.col")
+def predict_unknown_keys(spark, sf_dir):
+    """All customers by their key alone; those who never ordered get the bias."""
+    _, dictionary, model = rating_setup(spark, sf_dir)
+    rows = fx.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("row_id"), F.col("c_custkey").alias("o_custkey"))
+    return _predictions(pr.predict(en.encode_rows(rows, "row_id", fx.RATINGS, dictionary, ["o_custkey"]), model))
+
+
 @query(f"{_RATED} SELECT row_id, round({sql.equation(2, '0e0', '0e0')}, 6) + 0.0 AS prediction FROM parts")
 def predict_pairs_only(spark, sf_dir):
     cells, _, model = rating_setup(spark, sf_dir)
@@ -559,7 +588,7 @@ def train_ml(spark, sf_dir):
 
 @query(sql.descent(sql.EVENTS_BASE, 2) + sql.weight_lines("w1", "(SELECT c FROM c1)")
        + " UNION ALL SELECT CAST(-2 AS BIGINT), 'rmse', round(sqrt(avg(e * e)), 6) FROM e1"
-       + " UNION ALL SELECT CAST(-3 AS BIGINT), 'pairs', (n * (n - 1) / 2) + 0e0 FROM dim")
+       + " UNION ALL SELECT CAST(-3 AS BIGINT), 'pairs', (n * least(100, n - 1)) + 0e0 FROM dim")
 def train_model(spark, sf_dir):
     """The whole pipeline: train, measure, store, register; then what the store gives back."""
     cells, _, start = event_setup(spark, sf_dir)
@@ -660,6 +689,29 @@ def similar_in_block(spark, sf_dir):
     return si.similar_in_block(model.factors, cx.block_metadata(cells), dictionary, schema.USER, 3).withColumn("score", near("score"))
 
 
+@query(_ranked(sql.EVENTS_BASE, "a.col IN (0, 3, 64, 100)", "true", 5) + " SELECT col, rank, other, score FROM best")
+def similar_request(spark, sf_dir):
+    """From the stored table of a registered model to JSON, and back."""
+    _, _, model = event_setup(spark, sf_dir)
+    base = work_path(spark, "store")
+    path = stores.save_similarity(si.column_similarities(model.factors), base, "events", 1)
+    stores.register(spark, base, "u1", "events", stores.MATRIX, path, 1)
+    found = pipeline.similar(spark, base, "u1", "events", 5, [0, 3, 64, 100])
+    return si.parse_similars(found).withColumn("score", near("score"))
+
+
+@query("""WITH g AS (SELECT l_orderkey AS i, l_linenumber - 1 AS j, sum(l_quantity) AS value FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL),
+w AS (SELECT max(j) + 1 AS n FROM g)
+SELECT r.i, p.pos, coalesce(g.value, 0) + 0e0 AS value FROM (SELECT DISTINCT i FROM g) r, (SELECT unnest(range((SELECT n FROM w))) AS pos) p
+LEFT JOIN g ON g.i = r.i AND g.j = p.pos""")
+def mat_rows_gaps(spark, sf_dir):
+    """Rows of a matrix with missing entries are dense and equally long."""
+    line = fx.read(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'")
+    entries = line.groupBy(F.col("l_orderkey").cast("bigint").alias("i"), (F.col("l_linenumber") - 1).cast("bigint").alias("j")).agg(
+        F.sum("l_quantity").cast("double").alias("value"))
+    return mx.mat_rows(entries).select("i", F.posexplode("vec").alias("pos", "value")).select("i", F.col("pos").cast("bigint").alias("pos"), "value")
+
+
 # --- recommendation ------------------------------------------------------------------------------
 
 _LATEST = """latest AS (SELECT o_custkey AS row_id, CAST(o_custkey AS VARCHAR) AS u,
@@ -887,7 +939,9 @@ def mat_from_rows(spark, sf_dir):
     return _entries(mx.mat_from_rows(fx.vectors(spark, sf_dir), "id"))
 
 
-@query(_MATRICES + """ SELECT i, row_number() OVER (PARTITION BY i ORDER BY j) - 1 AS pos, round(value, 6) + 0.0 AS x FROM a""")
+@query(_MATRICES + """, w AS (SELECT max(j) + 1 AS n FROM a)
+SELECT r.i AS i, p.pos, round(coalesce(a.value, 0), 6) + 0.0 AS x FROM (SELECT DISTINCT i FROM a) r,
+(SELECT unnest(range((SELECT n FROM w))) AS pos) p LEFT JOIN a ON a.i = r.i AND a.j = p.pos""")
 def mat_rows(spark, sf_dir):
     return _elements(mx.mat_rows(_matrix(spark, sf_dir, "l_quantity")), "i")
 

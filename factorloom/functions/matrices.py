@@ -50,12 +50,17 @@ def mat_from_rows(table: DataFrame, row: str = "i", vec: str = "vec") -> DataFra
         "i", F.col("pos").cast("bigint").alias("j"), F.col("value").cast("double").alias("value"))
 
 
-def mat_rows(entries: DataFrame, selected: list[int] | None = None) -> DataFrame:
-    """Coordinates to one array per row (i, vec), ordered by column; all rows or the selected ones."""
+def mat_rows(entries: DataFrame, selected: list[int] | None = None, cols: int | None = None) -> DataFrame:
+    """Coordinates to one dense array per row (i, vec), as wide as the matrix: missing entries are 0. All rows that
+    have an entry, or the selected ones."""
+    if cols is None:
+        cols = mat_dims(entries).first()["cols"] or 0
     if selected is not None:
         entries = entries.filter(F.col("i").isin([int(i) for i in selected]))
-    ordered = F.array_sort(F.collect_list(F.struct("j", "value")))
-    return entries.groupBy("i").agg(F.transform(ordered, lambda e: e["value"]).alias("vec"))
+    at = F.map_from_entries(F.collect_list(F.struct("j", "value")))
+    places = F.sequence(F.lit(0).cast("bigint"), F.lit(max(cols - 1, 0)).cast("bigint"))
+    return entries.groupBy("i").agg(at.alias("at")).select(
+        "i", F.transform(places, lambda j: F.coalesce(F.try_element_at("at", j), F.lit(0.0))).alias("vec"))
 
 
 def mat_add(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -11,6 +11,21 @@ def uniform_col(seed: int | None = None) -> Column:
     return F.rand(seed)
 
 
+def hashed_uniform(*parts: Column) -> Column:
+    """U(0, 1) from the md5 of the parts: the same for equal parts, on any number of partitions, and independent for
+    different ones."""
+    digits = F.substring(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts])), 1, 13)
+    return (F.conv(digits, 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
+
+
+def hashed_gaussian(mean: float, stdev: float, *parts: Column) -> Column:
+    """N(mean, stdev) from two hashed uniform numbers (Box and Muller, 1958). A stdev of 0 or NaN gives the mean."""
+    if stdev == 0 or math.isnan(stdev):
+        return F.lit(float(mean))
+    radius = F.sqrt(-2.0 * F.log(hashed_uniform(*parts, F.lit("r"))))
+    return F.lit(float(mean)) + F.lit(float(stdev)) * radius * F.cos(2.0 * math.pi * hashed_uniform(*parts, F.lit("a")))
+
+
 def gaussian_col(mean: float, stdev: float, seed: int | None = None) -> Column:
     """N(mean, stdev). A stdev of 0 or NaN gives the mean itself."""
     if stdev == 0 or math.isnan(stdev):

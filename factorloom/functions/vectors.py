@@ -76,14 +76,17 @@ def combine(left: DataFrame, right: DataFrame, op: Callable[[Column, Column], Co
 
 def vec_accumulate(table: DataFrame, group: str, how: str = "sum") -> DataFrame:
     """Element-wise sum or mean of the vectors per group: (group, vec). Adds up per position, so a
-    hot group is combined before the shuffle."""
+    hot group is combined before the shuffle. Vectors of different lengths in a group are an error."""
     if how not in ("sum", "mean"):
         raise ValueError(f"how must be 'sum' or 'mean', not {how!r}")
     reduce = F.sum if how == "sum" else F.avg
     by_position = (table.select(group, F.posexplode("vec").alias("pos", "x"))
-                   .groupBy(group, "pos").agg(reduce("x").alias("x")))
+                   .groupBy(group, "pos").agg(reduce("x").alias("x"), F.count(F.lit(1)).alias("n")))
     ordered = F.array_sort(F.collect_list(F.struct("pos", "x")))
-    return by_position.groupBy(group).agg(F.transform(ordered, lambda e: e["x"]).alias("vec"))
+    found = by_position.groupBy(group).agg(F.transform(ordered, lambda e: e["x"]).alias("vec"),
+                                           (F.min("n") == F.max("n")).alias("even"))
+    wrong = F.raise_error(F.lit("vectors of a group differ in length")).cast("array<double>")
+    return found.select(group, F.when(F.col("even"), F.col("vec")).otherwise(wrong).alias("vec"))
 
 
 def nearest_vectors(queries: DataFrame, table: DataFrame, k: int, how: str = "distance",

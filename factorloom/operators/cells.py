@@ -116,8 +116,10 @@ def block_metadata(cells: DataFrame) -> DataFrame:
         F.min("col").alias("begin"), F.max("col").alias("end"))
 
 
-def check_cells(cells: DataFrame, given_num_attribute: int | None = None, tolerance: float = 1e-6) -> DataFrame:
-    """Data-quality report (rule, violations), one row per rule."""
+def check_cells(cells: DataFrame, given_num_attribute: int | None = None, tolerance: float = 1e-6,
+                dictionary: DataFrame | None = None) -> DataFrame:
+    """Data-quality report (rule, violations), one row per rule. With a `dictionary` (block, col) the weights of every
+    set of a row must sum to 1. Cells alone do not tell one set from another: then a row's sum must be a whole number."""
     top = feature_dim(cells).first()["num_attribute"]
     n = F.count_if
     cat, val, col = F.col("cat"), F.col("val"), F.col("col")
@@ -126,11 +128,17 @@ def check_cells(cells: DataFrame, given_num_attribute: int | None = None, tolera
         (F.lit(0) if given_num_attribute is None else
          F.when(F.max("col") != F.lit(given_num_attribute), 1).otherwise(0)).cast("bigint").alias("num_attribute"),
         n(cat.isin(_ONE_HOT) & ~val.isin(0.0, 1.0)).alias("binary_values"),
-        n((val < 0) & (col < F.lit(top))).alias("negative_lost"))
+        n((val < 0) & (col < F.lit(top))).alias("negative_lost"),
+        n(F.isnan(val)).alias("not_a_number"))
     in_set = F.when(cat == schema.CATEGORICAL_SET, val)
     rowwise = cells.groupBy("row_id").agg(F.max("col").alias("top"), F.sum(in_set).alias("set_sum")).agg(
         n(F.col("top") < F.lit(top)).alias("missing_target"),
-        n(F.abs(F.col("set_sum") - 1) > tolerance).alias("set_sum"))
+        n((F.abs(F.col("set_sum") - F.round("set_sum")) > tolerance) | (F.col("set_sum") < 0.5)).alias("set_sum"))
+    if dictionary is not None:
+        members = cells.filter(cat == schema.CATEGORICAL_SET).join(dictionary.select("block", "col"), "col")
+        sets = members.groupBy("row_id", "block").agg(F.sum("val").alias("s"))
+        rowwise = rowwise.drop("set_sum")
+        setwise = sets.agg(n(F.abs(F.col("s") - 1) > tolerance).alias("set_sum"))
     keywise = (cells.groupBy("row_id", "col").agg(F.count(F.lit(1)).alias("copies"))
                .agg(n(F.col("copies") > 1).alias("duplicate_cell")))
     # A handful of categories: a window without keys is fine here.
@@ -139,7 +147,7 @@ def check_cells(cells: DataFrame, given_num_attribute: int | None = None, tolera
                  .agg(n(F.col("reach") >= F.col("begin")).alias("overlapping_blocks")))
 
     report = None
-    for part in (cellwise, rowwise, keywise, blockwise):
+    for part in (cellwise, rowwise, keywise, blockwise, *(() if dictionary is None else (setwise,))):
         pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("rule"), F.coalesce(F.col(c), F.lit(0)).cast("bigint")
                                              .alias("violations")) for c in part.columns])).alias("r")
         lines = part.select(pairs).select("r.*")
@@ -147,11 +155,6 @@ def check_cells(cells: DataFrame, given_num_attribute: int | None = None, tolera
     return report
 
 
-def faulty_rows(cells: DataFrame, dim: int) -> DataFrame:
-    """Rows without a cell in the target column."""
-    return cells.groupBy("row_id").agg(F.max("col").alias("top")).filter(F.col("top") < dim).select("row_id")
-
-
 def to_cells(data: DataFrame) -> DataFrame:
     """Feature entries (row_id, col, val) of cells, points or rows of dense arrays. Rows without
     entries stay, with a null column."""
@@ -162,5 +165,6 @@ def to_cells(data: DataFrame) -> DataFrame:
         raise ValueError("Features are missing: expected cells (col, val) or a 'features' column.")
     if not isinstance(kinds["features"].elementType, T.StructType):
         data = data.withColumn("features", sparsify(F.col("features")))
-    return (data.select("row_id", F.explode_outer("features").alias("e"))
-            .select("row_id", F.col("e.col").alias("col"), F.col("e.val").alias("val")))
+    keys = ["row_id", *(["_point"] if "_point" in kinds else [])]
+    return (data.select(*keys, F.explode_outer("features").alias("e"))
+            .select(*keys, F.col("e.col").alias("col"), F.col("e.val").alias("val")))

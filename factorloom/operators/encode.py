@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorloom import schema
-from factorloom.plans.joins import lookup_join, measured_bytes
-from factorloom.plans.runtime import cut_lineage
+from factorloom.plans.joins import broadcast_limit, lookup_join, measured_bytes
+from factorloom.plans.runtime import cut_lineage, stage
 
 # Keys are numbered inside 4096 buckets (three hex digits of the key's md5), then each bucket gets its
 # offset. No task ever numbers all keys, and the numbers do not depend on partitioning or retries.
@@ -30,9 +30,13 @@ def number_keys(entries: DataFrame, offset: int = 0) -> DataFrame:
             .select("block", "cat", "key", (F.lit(offset) + F.col("base") + F.col("pos") - 1).alias("col")))
 
 
-def _encode(entries: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """Entries (row_id, block, key, val) to cells, by one join with the dictionary."""
-    joined = lookup_join(entries, dictionary, ["block", "key"], measured_bytes(dictionary), "inner")
+def _encode(entries: DataFrame, dictionary: DataFrame, how: str = "inner") -> DataFrame:
+    """Entries (row_id, block, key, val) to cells, by one join with the dictionary. A big dictionary joins hot and
+    other keys apart; then the entries are written first, so that they are computed once."""
+    size = measured_bytes(dictionary)
+    if size > broadcast_limit(entries.sparkSession):
+        entries = stage(entries, "entries")
+    joined = lookup_join(entries, dictionary, ["block", "key"], size, how)
     return joined.select("row_id", "col", "cat", F.col("val").cast("double").alias("val"))
 
 
@@ -135,6 +139,6 @@ def build_cells(df: DataFrame, row_id: str, users=(), items=(), ctx_num=(), ctx_
 
 def encode_rows(df: DataFrame, row_id: str, layout: Layout, dictionary: DataFrame, only: list[str] | None = None,
                 ctx_set: dict | None = None) -> DataFrame:
-    """Encode new raw rows with an existing dictionary. `only` names the columns to use. Keys the
-    dictionary does not know make no cell."""
-    return _encode(_entries(df, row_id, layout, ctx_set or {}, only).drop("cat"), dictionary)
+    """Encode new raw rows with an existing dictionary. `only` names the columns to use. A key the
+    dictionary does not know gives a cell with a null column, which counts as no feature: the row stays."""
+    return _encode(_entries(df, row_id, layout, ctx_set or {}, only).drop("cat"), dictionary, "left")

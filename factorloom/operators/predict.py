@@ -10,18 +10,18 @@ from pyspark.sql import functions as F
 from factorloom.model import Model, pack
 from factorloom.operators.cells import kept, to_cells
 from factorloom.plans.joins import lookup_join
-from factorloom.functions.random import gaussian_col
+from factorloom.functions.random import hashed_gaussian
 
 _ROWS_PER_TASK = 250_000
 
 
 def init_model(spark: SparkSession, num_attribute: int, num_factor: int, mean: float, stdev: float,
                seed: int = 0) -> Model:
-    """c = 0, v = 0, every factor drawn on its own. The number of tasks depends on the size only, so
-    the same seed gives the same model on every cluster."""
+    """c = 0, v = 0, every factor drawn on its own from a hash of (seed, factor, column), so that draws are independent
+    and the same seed gives the same model on every cluster."""
     tasks = max(1, -(-num_attribute // _ROWS_PER_TASK))
     cols = spark.range(0, num_attribute, 1, tasks).withColumnRenamed("id", "col")
-    draws = [gaussian_col(mean, stdev, seed + f).alias(f"m{f}") for f in range(num_factor)]
+    draws = [hashed_gaussian(mean, stdev, F.lit(seed), F.lit(f), F.col("col")).alias(f"m{f}") for f in range(num_factor)]
     return Model(0.0, pack(cols.select("col", F.lit(0.0).alias("v"), *draws), num_factor),
                  num_attribute, num_factor)
 
@@ -58,8 +58,16 @@ def row_parts(data: DataFrame, model: Model, keep: str = "positive", extra: list
     aggs = [F.sum(F.coalesce(F.col("v"), F.lit(0.0)) * x).alias("linear")]
     aggs += [F.sum(m * x).alias(f"s{f}") for f, m in enumerate(ms)]
     aggs.append(F.sum(x * x * total([m * m for m in ms])).alias("squares"))
-    entries = data if "col" in data.columns else to_cells(data)
-    return join_model(entries, model).groupBy("row_id").agg(*aggs, *extra)
+    entries = data if "col" in data.columns else to_cells(numbered_points(data))
+    keys = ["row_id", *(["_point"] if "_point" in entries.columns else [])]
+    return join_model(entries, model).groupBy(*keys).agg(*aggs, *extra).drop("_point")
+
+
+def numbered_points(data: DataFrame) -> DataFrame:
+    """Points and dense rows with a number each, so that two with one row_id are two requests."""
+    if "features" not in data.columns or "_point" in data.columns:
+        return data
+    return data.withColumn("_point", F.monotonically_increasing_id())
 
 
 def equation(c: Column | float, num_factor: int, k0: bool = True, k1: bool = True) -> Column:
@@ -88,7 +96,7 @@ def predict(data: DataFrame, model: Model, k0: bool = True, k1: bool = True,
 def predict_with(data: DataFrame, model: Model) -> DataFrame:
     """Predict under the flags stored with the model."""
     flags = {k: str(model.params.get(k, "true")).lower() == "true" for k in ("k0", "k1")}
-    return predict(data, model, **flags)
+    return predict(data, model, **flags, keep=str(model.params.get("keep", "positive")))
 
 
 def scored_rows(cells: DataFrame, model: Model, k0: bool = True, k1: bool = True,
@@ -108,8 +116,8 @@ def rmse_of(scored: DataFrame) -> DataFrame:
 def rmse(data: DataFrame, model: Model, k0: bool = True, k1: bool = True, keep: str = "positive") -> DataFrame:
     """One row: root mean squared error over cells or points. Empty input gives null."""
     if "features" in data.columns:
-        entries = (data.select("row_id", "target", F.explode_outer("features").alias("e"))
-                   .select("row_id", "target", F.col("e.col").alias("col"), F.col("e.val").alias("val")))
+        entries = (numbered_points(data).select("row_id", "_point", "target", F.explode_outer("features").alias("e"))
+                   .select("row_id", "_point", "target", F.col("e.col").alias("col"), F.col("e.val").alias("val")))
         parts = row_parts(entries, model, keep, [F.max("target").alias("target")])
         return rmse_of(parts.select(equation(model.c, model.num_factor, k0, k1).alias("prediction"), "target"))
     return rmse_of(scored_rows(data, model, k0, k1, keep))

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from factorloom import schema
 from factorloom.operators import cells as cx
 from factorloom.operators import encode as en
 
@@ -105,7 +106,8 @@ def test_build_cells_layout_is_dense(spark):
     layout = en.Layout(("u",), ("i",), ("n",), ("c",), ("s",), "y")
     new = spark.createDataFrame([(9, "b", "unknown")], "id bigint, u string, i string")
     encoded = en.encode_rows(new, "id", layout, dictionary, ["u", "i"]).collect()
-    assert [(r["row_id"], r["cat"], r["val"]) for r in encoded] == [(9, "user", 1.0)]
+    # An unknown key is a cell without a column: no feature, but its row stays.
+    assert {(r["row_id"], r["cat"], r["col"] is None) for r in encoded} == {(9, "user", False), (9, None, True)}
 
 
 def test_same_columns_whatever_the_partitioning(spark):
@@ -113,3 +115,16 @@ def test_same_columns_whatever_the_partitioning(spark):
     one = en.build_cells(raw.repartition(1), "id", users=["u"], target="y")[1]
     many = en.build_cells(raw.repartition(13), "id", users=["u"], target="y")[1]
     assert table(one, "key", "col") == table(many, "key", "col")
+
+
+def test_two_sets_in_a_row_are_valid(spark):
+    lines = [(1, 0, "context_categorical_set", 0.5), (1, 1, "context_categorical_set", 0.5), (1, 2, "context_categorical_set", 1.0),
+             (1, 3, "label", 2.0), (2, 0, "context_categorical_set", 0.7), (2, 2, "context_categorical_set", 1.3), (2, 3, "label", 1.0)]
+    cells = spark.createDataFrame(lines, schema.CELLS)
+    dictionary = spark.createDataFrame([(0, 0), (0, 1), (1, 2)], "block int, col long")
+
+    def found(**kw):
+        return {r["rule"]: r["violations"] for r in cx.check_cells(cells, **kw).collect()}
+
+    assert found()["set_sum"] == 0 and found(dictionary=dictionary)["set_sum"] == 2
+    assert found()["not_a_number"] == 0

@@ -106,3 +106,17 @@ def test_random_columns(spark):
     assert abs(r[0] - 0.5) < 0.02 and 0 <= r[1] and r[2] < 1
     assert abs(r[3] - 2) < 0.1 and abs(r[4] - 3) < 0.1
     assert (r[5], r[6], r[7]) == (2.0, 2.0, 1.0)
+
+
+def test_accumulate_wants_equal_lengths(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (1, [1.0])], "g int, vec array<double>")
+    with pytest.raises(Exception, match="differ in length"):
+        vx.vec_accumulate(df, "g").collect()
+
+
+def test_rows_with_gaps_are_dense(spark):
+    entries = spark.createDataFrame([(0, 0, 1.0), (0, 2, 3.0), (2, 1, 5.0)], "i long, j long, value double")
+    rows = {r["i"]: r["vec"] for r in mx.mat_rows(entries).collect()}
+    assert rows == {0: [1.0, 0.0, 3.0], 2: [0.0, 5.0, 0.0]}
+    again = {(r["i"], r["j"]): r["value"] for r in mx.mat_from_rows(mx.mat_rows(entries)).collect()}
+    assert again[0, 2] == 3.0 and again[0, 1] == 0.0

@@ -182,33 +182,36 @@ def test_psgd_on_a_set_prepared_for_other_parts(cells, model):
     data.release()
 
 
-def test_wide_rows_take_another_way_to_the_same_result(make_cells, model, monkeypatch):
-    extra = [(1, 1, "user", 0.0), (1, 3, "item", 0.0)]
-    cells = make_cells({}, extra)
-    monkeypatch.setattr(gr, "_WIDE_ROW", 2)
-    data = gr.prepare(cells, 5, keep="positive")
-    assert data.wide is not None and data.wide.count() > 0
-    assert data.num_rows == 3
+@pytest.mark.parametrize("wide,hot", [(2, 1), (2, 4096), (4, 1)])
+def test_no_size_changes_what_is_learnt(make_cells, model, monkeypatch, wide, hot):
+    from factorloom.plans import joins
+
+    cells = make_cells({}, [(1, 1, "user", 0.0), (1, 3, "item", 0.0)])
+    monkeypatch.setattr(gr, "_WIDE_ROW", wide)
+    monkeypatch.setattr(joins, "_HOT_KEYS", hot)
+    data = gr.prepare(cells, 5)
+    assert data.num_rows == 3 and (data.wide is not None or wide == 4)
     assert_weights(tr.train_gd(data, PARAMS, model), *BATCH)
+    assert_weights(tr.train_psgd(data, PARAMS, model), *EPOCH)
     data.release()
-    mixed = tr.train_psgd(cells, PARAMS, model)
-    assert math.isfinite(mixed.c)
-
-
-def test_psgd_mixes_wide_rows_by_their_share(make_cells, model, monkeypatch, spark):
-    """Row 1 alone is wide: one step on it, mixed with the serial pass over rows 2 and 3."""
-    cells = make_cells({}, [(1, 1, "user", 0.3)])
-    monkeypatch.setattr(gr, "_WIDE_ROW", 4)
-    p = PARAMS
-    got = tr.train_psgd(cells, p, model)
-    x = {1: [1, 0.3, 1, 0, 0.5], 2: [1, 0, 0, 1, 0.25], 3: [0, 1, 1, 0, 1]}
-    rows = {r: (t, np.array(x[r])) for r, t in ((1, 5.0), (2, 3.0), (3, 4.0))}
-    c1, v1, m1 = serial([rows[1]], 0.1, V, M, p)
-    c2, v2, m2 = serial([rows[2], rows[3]], 0.1, V, M, p)
-    got_v, got_m = weights(got)
-    assert got.c == pytest.approx(c1 / 3 + c2 * 2 / 3, abs=1e-9)
-    assert got_v == pytest.approx(v1 / 3 + v2 * 2 / 3, abs=1e-9)
-    assert np.allclose(got_m, m1 / 3 + m2 * 2 / 3, atol=1e-9)
+
+
+def test_factors_are_independent_and_free_of_partitions(spark, monkeypatch):
+    def draws():
+        rows = pr.init_model(spark, 4000, 3, 0.0, 1.0, seed=5).factors.orderBy("col").collect()
+        return np.array([r["m"] for r in rows])
+
+    one = draws()
+    monkeypatch.setattr(pr, "_ROWS_PER_TASK", 300)
+    many = draws()
+    assert (one == many).all() and len(np.unique(one)) == one.size
+    for a in range(3):
+        for b in range(3):
+            for lag in (0, 300, 1000, 2000):
+                if a != b or lag:
+                    x, y = one[:4000 - lag, a], one[lag:, b]
+                    assert abs(np.corrcoef(x, y)[0, 1]) < 0.08
+    assert abs(one.mean()) < 0.03 and abs(one.std() - 1) < 0.03
 
 
 def test_rows_without_target_are_left_out(make_cells, model):

@@ -146,6 +146,16 @@ def split_rows_random(spark, sf_dir):
     return split.groupBy("part").agg(F.count(F.lit(1)).alias("rows"))
 
 
+@query("SELECT part, true AS fair FROM (SELECT unnest(range(8)) AS part)")
+def split_rows_random_shares(spark, sf_dir):
+    """Every part of a random split within 5 standard deviations of its share."""
+    lines = fx.read(spark, sf_dir, "lineitem")
+    n = lines.count()
+    sizes = tables.split_rows(lines, 8, 42).groupBy("part").agg(F.count(F.lit(1)).alias("rows"))
+    fair = F.abs(F.col("rows") - n / 8) < 5 * (n * 7 / 64) ** 0.5
+    return sizes.select(F.col("part").cast("bigint").alias("part"), fair.alias("fair"))
+
+
 _EVENT_CELL_SUMS = sql.EVENTS_BASE + """
 SELECT cat, count(*) AS cells, round(sum(val), 6) AS total FROM cells GROUP BY cat"""
 
@@ -586,6 +596,39 @@ def train_ml(spark, sf_dir):
     return weight_lines(tr.train_ml(cells, fx.params(num_iter=3)))
 
 
+def _soundness(model: Model, better: bool) -> DataFrame:
+    """What must hold for any trained model: every column once, only numbers, a smaller error than at the start."""
+    fine = ~F.isnan("v") & F.forall("m", lambda x: ~F.isnan(x))
+    return model.factors.agg(F.count(F.lit(1)).alias("weights"), F.countDistinct("col").alias("columns"),
+                             F.bool_and(fine).alias("numbers"), F.lit(bool(better)).alias("better"))
+
+
+def _gains(cells: DataFrame, model: Model, start: Model) -> bool:
+    return pr.rmse(cells, model).first()["rmse"] < pr.rmse(cells, start).first()["rmse"]
+
+
+@query(sql.EVENTS_BASE + " SELECT n AS weights, n AS columns, true AS numbers, true AS better FROM dim")
+def train_gd_minibatch_sound(spark, sf_dir):
+    cells, _, start = event_setup(spark, sf_dir)
+    model = tr.train_gd(cells, fx.params(num_iter=2), start, seed=3, batch_fraction=0.5)
+    return _soundness(model, _gains(cells, model, start))
+
+
+@query(sql.RATINGS_BASE + " SELECT n AS weights, n AS columns, true AS numbers, true AS better FROM dim")
+def train_psgd_sound(spark, sf_dir):
+    cells, _, start = rating_setup(spark, sf_dir)
+    model = tr.train_psgd(cells, fx.params(num_partitions=spark.sparkContext.defaultParallelism), start)
+    return _soundness(model, _gains(cells, model, start))
+
+
+@query(sql.RATINGS_BASE + " SELECT n AS weights, n AS columns, true AS numbers, true AS better FROM dim")
+def train_ml_sound(spark, sf_dir):
+    """Better here: than the prediction 0 for every row."""
+    cells, dictionary = fx.rating_cells(spark, sf_dir)
+    model = tr.train_ml(cells, fx.params(num_iter=3))
+    return _soundness(model, _gains(cells, model, pr.init_model(spark, fx.width(dictionary), 2, 0.0, 0.0)))
+
+
 @query(sql.descent(sql.EVENTS_BASE, 2) + sql.weight_lines("w1", "(SELECT c FROM c1)")
        + " UNION ALL SELECT CAST(-2 AS BIGINT), 'rmse', round(sqrt(avg(e * e)), 6) FROM e1"
        + " UNION ALL SELECT CAST(-3 AS BIGINT), 'pairs', (n * least(100, n - 1)) + 0e0 FROM dim")
@@ -994,3 +1037,24 @@ def gaussian_column(spark, sf_dir):
 @query("SELECT o_orderkey, 2e0 AS x FROM orders")
 def gaussian_column_constant(spark, sf_dir):
     return fx.read(spark, sf_dir, "orders").select("o_orderkey", gaussian_col(2.0, 0.0).alias("x"))
+
+
+_MOMENTS = "SELECT count(*) AS n, true AS range, true AS mean, true AS spread FROM orders"
+
+
+def _moments(x: DataFrame, mean: float, stdev: float, within) -> DataFrame:
+    """Range, and mean and spread within 5 standard errors."""
+    n = F.count(F.lit(1))
+    return x.agg(n.alias("n"), F.bool_and(within).alias("range"),
+                 (F.abs(F.avg("x") - mean) < 5 * stdev / F.sqrt(n)).alias("mean"),
+                 (F.abs(F.stddev("x") - stdev) < 5 * stdev / F.sqrt(n)).alias("spread"))
+
+
+@query(_MOMENTS)
+def uniform_column_moments(spark, sf_dir):
+    return _moments(uniform_column(spark, sf_dir), 0.5, 12 ** -0.5, F.col("x").between(0, 1))
+
+
+@query(_MOMENTS)
+def gaussian_column_moments(spark, sf_dir):
+    return _moments(gaussian_column(spark, sf_dir), 2.0, 0.5, F.abs(F.col("x") - 2.0) < 4.0)

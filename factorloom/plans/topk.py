@@ -17,6 +17,10 @@ _PRUNED_RANK = 1000
 _SALTS = 64
 # Vectors of one chunk, and the scores computed at a time, in bytes.
 _CHUNK_BYTES = 16 << 20
+# Shuffle partitions at most: beyond it a task takes several pairs of chunks, one after the other.
+_MAX_WIDTH = 20_000
+# A pair of chunks in `pair_scores` gives at most the square of this in pairs, about 256 MB.
+_PAIR_ROWS = 3300
 _SCORE_BYTES = 32 << 20
 _SLAB = 4096
 
@@ -89,7 +93,7 @@ def _blocks(queries: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]
     item_chunks = max(1, -(-n_items // rows))
     # Small inputs are cut finer, to give every core something to do.
     query_chunks = max(1, -(-n_queries // rows), min(-(-n_queries // 64), -(-2 * cores // item_chunks)))
-    groups = item_chunks * query_chunks
+    groups = min(_MAX_WIDTH, item_chunks * query_chunks)
 
     def copies(n: int) -> Column:
         return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
@@ -169,10 +173,11 @@ def pair_scores(vectors: DataFrame, threshold: float | None = None, digits: int
         return pd.DataFrame({"i": np.concatenate(firsts), "j": np.concatenate(seconds), "score": np.concatenate(scores)})
 
     n, rows = _chunk_rows(vectors)
+    rows = min(rows, _PAIR_ROWS)
     cores = vectors.sparkSession.sparkContext.defaultParallelism
     # Small inputs are cut finer, to give every core something to do.
     chunks = max(1, -(-n // rows), min(-(-n // 64), int((4 * cores) ** 0.5)))
-    groups = chunks * (chunks + 1) // 2
+    groups = min(_MAX_WIDTH, chunks * (chunks + 1) // 2)
     chunk = F.pmod(F.xxhash64("item"), F.lit(chunks))
     first, last = F.lit(0).cast("bigint"), F.lit(chunks - 1).cast("bigint")
     left = vectors.select("item", "vec", chunk.alias("_a")).withColumn("_b", F.explode(F.sequence("_a", last)))

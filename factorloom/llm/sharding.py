@@ -22,14 +22,15 @@ DIMS = ("bytes", "tokens", "rows")
 
 def place(items: np.ndarray, residual: np.ndarray, capacity: np.ndarray, start: int = 0) -> np.ndarray:
     """The shard of each item (n x dims), in the given order; `residual` (shards x dims) is used up in place. Both
-    count as shares of `capacity`. Shards that still hold the item whole come first; ties go round from `start`."""
+    count as shares of `capacity`. Shards whose bytes, the first dimension and the law, still hold the item whole come
+    first, so the other dimensions are balanced only as far as equal bytes allow; ties go round from `start`."""
     shards = len(residual)
     scale = 1.0 / np.maximum(capacity, 1e-12)
     left = residual * scale
     turn = (np.arange(shards) + start) % shards
     out = np.empty(len(items), np.int64)
     for k, item in enumerate(items * scale):
-        score = left[turn] @ item + 1e6 * (left[turn] >= item - 1e-12).all(1)
+        score = left[turn] @ item + 1e6 * (left[turn, 0] >= item[0] - 1e-12)
         s = turn[int(score.argmax())]
         left[s] -= item
         out[k] = s

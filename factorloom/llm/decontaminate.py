@@ -4,6 +4,10 @@ Both sides are compared as runs of letters and digits in lower case with single
 differ in k of them, k a share of n. It is cut into k + 1 pieces; k edits leave one piece untouched, so every
 occurrence within the budget has an exact piece hit at a known place. An automaton over all pieces finds the hits in
 one pass over a document, and Myers' bit-parallel distance verifies the stretch around each hit.
+
+Pieces are short, so most hits are chance. Each is verified outwards: over neighbouring pieces first, then over twice
+as many, up to the item. A stretch of j pieces may have j - 1 edits; if it has no more, one of its halves has no more
+than its own, so some piece leads up to every occurrence and nothing is lost.
 """
 
 from __future__ import annotations
@@ -25,9 +29,9 @@ def normal(text: str | None) -> str:
     return " ".join(_RUNS.findall((text or "").lower()))
 
 
-def budget(n: int, error_share: float, min_piece: int) -> int:
-    """Edits allowed in an item of n characters: its share, but no more than leaves pieces of min_piece."""
-    return max(0, min(int(n * error_share), n // min_piece - 1))
+def budget(n: int, error_share: float, min_piece: int = 1) -> int:
+    """Edits allowed in an item of n characters: its share, whatever `min_piece` is, but fewer than n."""
+    return max(0, min(int(n * error_share), n - 1))
 
 
 def cut(n: int, k: int) -> list[tuple[int, int]]:
@@ -35,6 +39,25 @@ def cut(n: int, k: int) -> list[tuple[int, int]]:
     return [(n * j // (k + 1), n * (j + 1) // (k + 1)) for j in range(k + 1)]
 
 
+def stretches(n: int, k: int, min_piece: int) -> list[list[tuple[int, int, int]]]:
+    """For each piece of `cut`, the stretches to verify around it, (start, end, edits allowed), the smallest first and
+    the whole item last: halves of halves. Those shorter than min_piece tell little and are passed over."""
+    pieces, found = cut(n, k), [[] for _ in range(k + 1)]
+
+    def split(low, high):
+        start, end = pieces[low][0], pieces[high - 1][1]
+        if high - low == k + 1 or high - low > 1 and end - start >= min_piece:
+            for j in range(low, high):
+                found[j].append((start, end, high - low - 1))
+        if high - low > 1:
+            middle = (low + high + 1) // 2
+            split(low, middle)
+            split(middle, high)
+
+    split(0, k + 1)
+    return [around[::-1] for around in found]
+
+
 def masks(pattern: str) -> dict[str, int]:
     found: dict[str, int] = {}
     for at, c in enumerate(pattern):
@@ -69,18 +92,28 @@ class Matcher:
     """All items at once. Items are (id, normal text)."""
 
     def __init__(self, items: list[tuple], error_share: float, min_piece: int):
-        self.items = [(i, t, budget(len(t), error_share, min_piece)) for i, t in items if t]
-        self.peq = [masks(t) for _, t, _ in self.items]
-        places: dict[str, list[tuple[int, int]]] = {}
+        self.items = [(i, t, budget(len(t), error_share)) for i, t in items if t]
+        self.peq: dict[tuple[int, int, int], dict[str, int]] = {}
+        self.around: dict[tuple[int, int], list[list[tuple[int, int, int]]]] = {}
+        places: dict[str, list[tuple[int, int, list]]] = {}
         for at, (_, t, k) in enumerate(self.items):
-            for start, end in cut(len(t), k):
-                places.setdefault(t[start:end], []).append((at, start))
+            n = len(t)
+            if (n, k) not in self.around:
+                self.around[n, k] = stretches(n, k, min_piece)
+            for (start, end), up in zip(cut(n, k), self.around[n, k]):
+                places.setdefault(t[start:end], []).append((at, start, up))
         self.automaton = ahocorasick.Automaton()
         for piece, where in places.items():
             self.automaton.add_word(piece, (len(piece), where))
         if places:
             self.automaton.make_automaton()
 
+    def _match(self, at: int, start: int, end: int, text: str) -> tuple[int, int]:
+        key = (at, start, end)
+        if key not in self.peq:
+            self.peq[key] = masks(self.items[at][1][start:end])
+        return best_match(self.peq[key], end - start, text)
+
     def find(self, text: str | None) -> list[tuple]:
         """(item id, distance, start, end) of the best occurrence of each item in the text's normal form. Items with
         several occurrences: the smallest distance, then the first found."""
@@ -88,24 +121,27 @@ class Matcher:
         if not self.items or not body:
             return []
         found: dict[int, tuple[int, int, int]] = {}
-        seen: set[tuple[int, int]] = set()
+        seen: set[tuple[int, int, int, int]] = set()
         for last, (size, where) in self.automaton.iter(body):
-            for at, start in where:
+            for at, first, up in where:
                 if at in found and found[at][0] == 0:
                     continue
-                _, item, k = self.items[at]
-                m, origin = len(item), last + 1 - size - start  # where the item would begin without edits
-                if (at, origin) in seen:
-                    continue
-                seen.add((at, origin))
-                low = max(0, origin - k)
-                if body.startswith(item, max(0, origin)) and origin >= 0:
-                    distance, stop = 0, origin + m
-                else:
-                    distance, end = best_match(self.peq[at], m, body[low:origin + m + k])
-                    stop = low + end
-                if distance <= k and (at not in found or distance < found[at][0]):
-                    found[at] = (distance, max(0, stop - m), stop)
+                item = self.items[at][1]
+                m, origin = len(item), last + 1 - size - first  # where the item would begin without edits
+                for start, end, k in up:
+                    if (at, origin, start, end) in seen:
+                        break
+                    seen.add((at, origin, start, end))
+                    low = max(0, origin + start - k)
+                    if origin + start >= 0 and body.startswith(item[start:end], origin + start):
+                        distance, stop = 0, origin + end
+                    else:
+                        distance, stop = self._match(at, start, end, body[low:origin + end + k])
+                        stop += low
+                    if distance > k:
+                        break
+                    if end - start == m and (at not in found or distance < found[at][0]):
+                        found[at] = (distance, max(0, stop - m), stop)
         return [(self.items[at][0], *hit) for at, hit in sorted(found.items())]
 
 

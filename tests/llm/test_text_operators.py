@@ -143,6 +143,38 @@ def test_leaks_against_all_distances(spark, frame):
     assert decontaminate.find_leaks(frame(docs), table.limit(0)).count() == 0
 
 
+def test_leaks_use_the_whole_share(spark, frame):
+    rng = random.Random(8)
+    items = [(n, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))) for n in (5, 10, 20, 31, 64, 100, 200, 500)]
+    docs, want = [], []
+    for n, t in items:
+        for edits in (int(0.1 * n), int(0.1 * n) + 1):  # spread evenly: the hardest for pieces
+            copy = list(t)
+            for j in range(edits):
+                copy[(2 * j + 1) * n // (2 * edits)] = rng.choice("0123456789")
+            docs.append((len(docs), "0 1 2 " + "".join(copy) + " 3 4 5"))
+            if edits == int(0.1 * n):
+                want.append((docs[-1][0], n, edits))
+    table = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.find_leaks(frame(docs), table).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["distance"]) for r in got) == want
+    kept = decontaminate.without_leaks(frame(docs), table).collect()
+    assert sorted(r["doc_id"] for r in kept) == [d for d, _ in docs if d not in {w[0] for w in want}]
+
+
+def test_outward_verification_loses_nothing():
+    rng = random.Random(9)
+    for _ in range(400):
+        item = "".join(rng.choice("ab") for _ in range(rng.randrange(1, 70)))
+        copy = list(item)
+        for _ in range(rng.randrange(9)):
+            copy[rng.randrange(len(copy))] = rng.choice(["a", "b", "", "aa", "ba"])
+        text = "".join(rng.choice("ab") for _ in range(20)) + "".join(copy) + "ab"
+        found = decontaminate.Matcher([(1, item)], 0.1, rng.choice([1, 16, 40])).find(text)
+        least = distance_to_substring(item, text)
+        assert [f[1] for f in found] == ([least] if least <= int(0.1 * len(item)) else [])
+
+
 # ---- pages
 
 PAGES = [("<div class='ad'>x</div><p>a&nbsp; b<br>c<b>d</b>e", "a b cde"),

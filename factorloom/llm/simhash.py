@@ -13,6 +13,7 @@ list are, so a star to the smallest member carries all its links.
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -135,67 +136,61 @@ def similarity_of(a: str | None, b: str | None, width: int = 5) -> float:
     return len(x & y) / len(x | y)
 
 
-class _WordBits:
-    """Wide fingerprints of a text's distinct words, with a bounded memory of words."""
+def _hashes(text: str | None, width: int) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(s) - (1 << 63) for s in _shingles(text, width)), np.int64)
 
-    def __init__(self, keep: int = 300_000):
-        self.known: dict[bytes, bytes] = {}
-        self.keep = keep
 
-    def of(self, words: list[bytes]) -> list[int]:
-        distinct = set(words) or {b""}
-        if len(self.known) > self.keep:
-            self.known = {}
-        digest = xxhash.xxh64_digest
-        for w in distinct.difference(self.known):
-            self.known[w] = b"".join(digest(w, seed) for seed in range(4))
-        ones, chunk = np.zeros(256, np.int64), list(map(self.known.__getitem__, distinct))
-        for at in range(0, len(chunk), 4096):
-            block = np.frombuffer(b"".join(chunk[at:at + 4096]), np.uint8).reshape(-1, 32)
-            ones += np.unpackbits(block, axis=1).sum(0, dtype=np.int64)
-        return np.packbits(2 * ones > len(chunk)).view(">i8").tolist()
+def _often(docs: DataFrame, text: str, width: int, share: int = 8, least: int = 4, most: int = 200_000) -> np.ndarray:
+    """Shingles that look frequent in one of `share` rows, sorted. They only set the order in which shingles are
+    tried: any order finds the same pairs, but with rare ones first fewer texts meet."""
+    def run(batches):
+        for batch in batches:
+            found = [_hashes(t, width) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *found]))], names=["tok"])
 
+    some = docs.filter(F.pmod(F.xxhash64("num"), F.lit(share)) == 0).select(text).mapInArrow(run, "tok bigint")
+    counts = some.groupBy("tok").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    return np.sort(np.array([r["tok"] for r in counts.orderBy(F.desc("n"), "tok").limit(most).collect()], np.int64))
 
-def _sketches(docs: DataFrame, text: str) -> DataFrame:
-    """(num, key, f0 .. f3): the words' digest and the wide fingerprint of every row."""
-    names = ["num", "key", "f0", "f1", "f2", "f3"]
+
+def _prefixes(docs: DataFrame, text: str, width: int, similarity: float) -> DataFrame:
+    """(num, key, n, toks) of every row: the words' digest, the number of distinct shingles, and the first of them in
+    one order for all texts. Texts of n shingles that are similar enough share at least similarity * n of them, so one
+    of the first n - similarity * n + 1."""
+    held = docs.sparkSession.sparkContext.broadcast(_often(docs, text, width))
 
     def run(batches):
-        bits = _WordBits()
+        often = held.value
         for batch in batches:
-            keys, prints = [], []
+            keys, sizes, firsts = [], [], []
             for t in batch.column(1).to_pylist():
                 words = _WORDS.findall((t or "").encode("utf-8", "surrogatepass").translate(_LOWER))
                 keys.append(xxhash.xxh3_128_digest(b" ".join(words)))
-                prints.append(bits.of(words))
-            columns = [pa.array(c, pa.int64()) for c in zip(*prints)] if prints else [pa.array([], pa.int64())] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), *columns], names=names)
-
-    ship_with_tasks(__name__)
-    return docs.select("num", text).mapInArrow(run, "num bigint, key binary, f0 bigint, f1 bigint, f2 bigint, f3 bigint")
-
-
-def _candidates(nodes: DataFrame) -> DataFrame:
-    """(a, b), a < b: nodes that share a deletion-variant signature: eight segments of 32 bits, one bit left out. In a
-    signature's list each node meets the first node and the one before it; similar texts share many signatures in
-    ever different company, so their links come about without the square of a list."""
-    seg = [f"shiftright(f{k // 2}, {32 * (1 - k % 2)}) & 4294967295L" for k in range(8)]
-    long = nodes.selectExpr("node", f"posexplode(array({', '.join(seg)})) AS (s, v)")
-    long = long.select("node", "s", "v", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("p"))
-    sigs = long.selectExpr("node", "shiftleft(v & ~shiftleft(1L, p), 8) | shiftleft(s, 5) | p AS sig")
-    met = sigs.selectExpr("node AS b", "lag(node) OVER (PARTITION BY sig ORDER BY node) AS before",
-                          "first(node) OVER (PARTITION BY sig ORDER BY node) AS first").filter("before IS NOT NULL")
-    pairs = met.select(F.col("first").alias("a"), "b").unionByName(met.select(F.col("before").alias("a"), "b"))
-    return pairs.distinct()
-
-
-def similar_groups(docs: DataFrame, text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(num, root) for every row of `docs`, which has a unique long column num: rows whose texts are linked by
-    similarities of at least `similarity` have one root. Texts of the same words in any case of A-Z are one text;
-    texts without a word are all the same. Signatures find the candidates, whole texts decide."""
-    rows = stage(_sketches(docs, text), "sketches")
-    nodes = stage(rows.groupBy("key").agg(F.min("num").alias("node"), *(F.first(f"f{k}").alias(f"f{k}") for k in range(4))), "nodes")
-    pairs = stage(_candidates(nodes), "candidates")
+                toks = _hashes(t, width)
+                late = np.zeros(len(toks), bool)
+                if len(often):
+                    late = often[np.minimum(np.searchsorted(often, toks), len(often) - 1)] == toks
+                sizes.append(len(toks))
+                firsts.append(toks[np.lexsort((toks, late))][:len(toks) - math.ceil(similarity * len(toks) - 1e-9) + 1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()),
+                                              pa.array(firsts, pa.list_(pa.int64()))], names=["num", "key", "n", "toks"])
+
+    return docs.select("num", text).mapInArrow(run, "num bigint, key binary, n bigint, toks array<bigint>")
+
+
+def _pairs(left: DataFrame, right: DataFrame, similarity: float, differ: str = "x.node < y.node") -> DataFrame:
+    """(a, b), a < b: nodes of one list that can be similar enough by their sizes and by what follows the shingle they
+    share. The first shingle of a similar pair passes, so no such pair is lost."""
+    s = similarity
+    met = left.alias("x").join(right.alias("y"), F.expr(
+        f"x.tok = y.tok AND {differ} AND x.n >= {s} * y.n - 1e-9 AND y.n >= {s} * x.n - 1e-9 "
+        f"AND least(x.n - x.at, y.n - y.at) >= {s / (1 + s)} * (x.n + y.n) - 1e-9"))
+    return met.selectExpr("least(x.node, y.node) AS a", "greatest(x.node, y.node) AS b").distinct()
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, text: str, width: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose whole texts are similar enough, stored."""
+    pairs = stage(pairs, "candidates")
     needed = pairs.selectExpr("explode(array(a, b)) AS num").distinct()
     texts = stage(docs.select("num", text).join(needed, "num", "left_semi").toDF("num", "t"), "texts")
     both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
@@ -206,8 +201,40 @@ def similar_groups(docs: DataFrame, text: str = "text", width: int = 5, similari
                     for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
+    return stage(both.select("a", "b", "ta", "tb").mapInArrow(verify, "a bigint, b bigint"), "edges")
+
+
+def similar_groups(docs: DataFrame, text: str = "text", width: int = 5, similarity: float = 0.8,
+                   list_limit: int = 64) -> DataFrame:
+    """(num, root) for every row of `docs`, which has a unique long column num: rows whose texts are linked by
+    similarities of at least `similarity` have one root. Texts of the same words in any case of A-Z are one text;
+    texts without a word are all the same.
+
+    Every similar pair is a candidate: it shares one of the first shingles of both. All pairs of a list of texts with
+    one of them are verified. In a list of over `list_limit` all meet sixteen of its nodes first; then all pairs that
+    are not linked by then, which is quadratic only in texts that are no copies of each other."""
     ship_with_tasks(__name__)
-    edges = both.select("a", "b", "ta", "tb").mapInArrow(verify, "a bigint, b bigint")
+    rows = stage(_prefixes(docs, text, width, similarity), "prefixes")
+    nodes = stage(rows.groupBy("key").agg(F.min("num").alias("node")), "nodes")
+    toks = (rows.join(nodes.select(F.col("node").alias("num")), "num", "left_semi")
+            .select(F.col("num").alias("node"), "n", F.posexplode("toks").alias("at", "tok")).repartition("tok"))
+    sizes = toks.groupBy("tok").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    lists = stage(toks.join(sizes, "tok"), "lists")
+    small = lists.filter(F.col("c") <= list_limit)
+    edges = _verified(docs, _pairs(small, small, similarity), text, width, similarity)
+    crowded = lists.filter(F.col("c") > list_limit)
+    if crowded.head(1):
+        me = F.struct("node", "n", "at")
+        some = F.pmod(F.xxhash64("node"), F.lit(16))
+        ends = crowded.groupBy("tok", some.alias("some")).agg(F.min(me).alias("e")).select("tok", "e.*")
+        stars = _pairs(ends, crowded, similarity, "x.node <> y.node")
+        edges = edges.unionByName(_verified(docs, stars, text, width, similarity))
+        roots = components(edges)
+        rooted = crowded.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        open_lists = rooted.groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
+        rooted = stage(rooted.join(open_lists.select("tok"), "tok"), "crowded")
+        rest = _pairs(rooted, rooted, similarity, "x.node < y.node AND x.root <> y.root")
+        edges = edges.unionByName(_verified(docs, rest, text, width, similarity))
     found = components(edges)
     rooted = nodes.select("key", "node").join(found, "node", "left").select("key", F.coalesce("root", "node").alias("root"))
     return rows.select("num", "key").join(rooted, "key").select("num", "root")

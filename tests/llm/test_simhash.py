@@ -102,3 +102,25 @@ def test_first_of_each_against_all_pairs(spark, frame, tmp_path):
     assert kept.count() == len(got)
     # Candidates are found with a chance: no text may be lost, and hardly a copy missed.
     assert set(want.values()) <= got and len(got) <= len(want.values()) + 1
+
+
+def test_similar_groups_are_whole(frame):
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    texts = []
+    for _ in range(12):
+        words = [word() for _ in range(60)]
+        texts += [words, words + [word() for _ in range(13)], words[:-11], [word() for _ in range(12)] + words]
+    shared = [word() for _ in range(40)]
+    for _ in range(30):  # strangers around one passage, and one pair among them
+        texts.append(shared + [word() for _ in range(25)])
+    texts += [texts[-9] + [word()], shared, shared + [word()]]
+    rng.shuffle(texts)
+    texts = [" ".join(t) for t in texts]
+    nodes = range(len(texts))
+    edges = [(a, b) for a, b in itertools.combinations(nodes, 2) if simhash.similarity_of(texts[a], texts[b]) >= 0.8]
+    want = groups(edges, nodes)
+    df = frame([(i, t) for i, t in enumerate(texts)]).selectExpr("doc_id AS num", "text")
+    for limit in (64, 3):
+        got = {r["num"]: r["root"] for r in simhash.similar_groups(df, list_limit=limit).collect()}
+        assert got == want

@@ -34,12 +34,14 @@ def train_model(spark: SparkSession, cells: DataFrame, params: FMParams | dict,
     path = stores.save_model(model, base, params.name, version)
     stores.register(spark, base, uid, params.name, stores.MODEL, path, version)
     if with_similarity:
+        limit = {}
         if similarity_threshold is not None:
             sim = column_similarities(model.factors, similarity_threshold)
         else:
             best = similar_columns(model.factors, similarity_total, start=0, end=model.num_attribute)
             sim = best.select(F.col("col").alias("i"), F.col("other").alias("j"), "score")
-        path = stores.save_similarity(sim, base, params.name, version)
+            limit = {"total": similarity_total, "model": path}
+        path = stores.save_similarity(sim, base, params.name, version, **limit)
         stores.register(spark, base, uid, params.name, stores.MATRIX, path, version)
     return model
 
@@ -52,13 +54,16 @@ def score(spark: SparkSession, data: DataFrame, base: str, uid: str, name: str)
 
 def similar(spark: SparkSession, base: str, uid: str, name: str, total: int, columns: list[int] | None = None,
             start: int | None = None, end: int | None = None) -> DataFrame:
-    """(col, json): the `total` most similar columns of the selected ones, from the newest stored similarity table.
-    Raises if none is registered or no column is selected."""
+    """(col, json): the `total` most similar columns of the selected ones, from the newest stored similarity table,
+    or from its model's factors if more are asked for than the table has a column. Raises if none is registered or no column is selected."""
     path = stores.resolve(spark, base, uid, name, stores.MATRIX)
     if columns is None:
         if start is None or end is None:
             raise ValueError("No columns are selected: give a list of columns, or start and end.")
         columns = list(range(int(start), int(end) + 1))
+    limit = stores.similarity_limit(spark, path)
+    if limit is not None and total > limit[0]:
+        return similars_json(similar_nested(similar_columns(stores.load_model(spark, limit[1]).factors, total, columns)))
     found = stores.load_similarity(spark, path, columns).select(F.col("i").alias("col"), F.col("j").alias("other"), "score")
     best = top_k(found, ["col"], [F.desc("score"), F.asc("other")], total, "other")
     return similars_json(similar_nested(best))

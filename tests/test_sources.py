@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from factorloom import FMParams, schema
 from factorloom.operators import cells as cx
 from factorloom.operators import predict as pr
+from factorloom.operators import similarity
 from factorloom.plans import pipeline
 from factorloom.sources import stores, tables
 from factorloom.streaming import jobs
@@ -126,6 +127,18 @@ def test_train_and_score(spark, tmp_path, cells, trainer):
     assert stores.load_model(spark, stores.resolve(spark, base, "u1", "tiny", "model")).blocks.count() == 4
 
 
+def test_similar_beyond_the_stored_total(spark, tmp_path, cells):
+    for uid, limit in (("few", {"similarity_total": 2}), ("all", {"similarity_threshold": -2.0})):
+        pipeline.train_model(spark, cells, PARAMS.to_map(), str(tmp_path / uid), uid, **limit)
+    for total in (1, 2, 3, 4):
+        few, every = (rows(pipeline.similar(spark, str(tmp_path / uid), uid, "tiny", total, [0, 3])) for uid in ("few", "all"))
+        assert [r[0] for r in few] == [0, 3]
+        for a, b in zip(few, every):
+            a, b = (sorted(map(tuple, similarity.parse_similars(spark.createDataFrame([r], "col long, json string")).collect())) for r in (a, b))
+            assert [x[:3] for x in a] == [x[:3] for x in b] and len(a) == total
+            assert [x[3] for x in a] == pytest.approx([x[3] for x in b])
+
+
 def test_errors_of_train_and_score(spark, tmp_path, cells):
     with pytest.raises(ValueError, match="missing"):
         pipeline.train_model(spark, cells, {"name": "x"}, str(tmp_path), "u")

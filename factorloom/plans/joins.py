@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from factorloom.plans.runtime import cut_lineage
+from factorloom.plans.runtime import cut_lineage, stage
 
 _UNITS = {"": 1, "b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20,
           "g": 1 << 30, "gb": 1 << 30}
@@ -37,6 +37,8 @@ def measured_bytes(df: DataFrame) -> int:
 # Never more than this many keys are treated as hot. A key that is not among the heaviest 4096 holds
 # less than 1/4096 of the rows, which a plain shuffle can carry.
 _HOT_KEYS = 4096
+# Parts into which the facts of a hot key are dealt.
+_SALTS = 128
 
 
 def heavy_keys(facts: DataFrame, on: list[str], floor: int = 10_000) -> DataFrame:
@@ -48,15 +50,21 @@ def heavy_keys(facts: DataFrame, on: list[str], floor: int = 10_000) -> DataFram
 
 def lookup_join(facts: DataFrame, table: DataFrame, on: list[str], table_bytes: int,
                 how: str = "left", hot: DataFrame | None = None) -> DataFrame:
-    """Join facts to a table that is unique in `on`.
+    """Join facts to a table that is unique in `on`; `how` is left or inner.
 
-    Small table: broadcast. Big table: only the rows of the few hot keys are broadcast, and the
-    facts of those keys never leave their partition; all other facts shuffle."""
+    Small table: broadcast. Big table: one salted join. Facts are tagged hot or cold by the broadcast of the few hot
+    keys; those of a hot or null key are dealt by a hash of their own columns into _SALTS parts, and the table rows of
+    hot keys are copied to all of them. The facts are evaluated once: without given hot keys they are stored first,
+    as they are read twice then, once to count their keys."""
     if table_bytes <= broadcast_limit(facts.sparkSession):
         return facts.join(F.broadcast(table), on, how)
     if hot is None:
+        facts = stage(facts, "facts")
         hot = heavy_keys(facts, on)
-    hot_table = table.join(F.broadcast(hot), on, "left_semi")
-    hot_rows = facts.join(F.broadcast(hot), on, "left_semi").join(F.broadcast(hot_table), on, how)
-    cold_rows = facts.join(F.broadcast(hot), on, "left_anti").join(table, on, how)
-    return hot_rows.unionByName(cold_rows)
+    tags = F.broadcast(hot.select(*on, F.lit(True).alias("_hot")))
+    loose = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on], F.col("_hot").isNotNull())
+    salt = F.when(loose, F.pmod(F.xxhash64(*facts.columns), F.lit(_SALTS)).cast("int")).otherwise(F.lit(0))
+    left = facts.join(tags, on, "left").withColumn("_salt", salt).drop("_hot")
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(_SALTS - 1))).otherwise(F.array(F.lit(0)))
+    right = table.join(tags, on, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    return left.join(right, [*on, "_salt"], how).drop("_salt")

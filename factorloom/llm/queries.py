@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorloom.llm import decontaminate, html_main, line_rules, masked_lm, packing, quality, sharding, simhash, toxicity, url_cascade
+from factorloom.llm import (decontaminate, filter_audit, html_main, line_rules, masked_lm, packing, prefix_trie, quality, sharding,
+                             simhash, toxicity, url_cascade)
 from factorloom.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +130,65 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return masked_lm.score(docs, masked_lm.fit(docs))
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all conversations: one row a node."""
+    return prefix_trie.shared_prefixes(table(spark, sf_dir, "conversations"))
+
+
+ORACLE["op12_prefix_trie"] = r"""
+WITH tab AS (SELECT list(v ORDER BY n) AS tab FROM (SELECT n, list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0],
+                 lambda s, _: CASE WHEN s % 2 = 1 THEN xor(s // 2, 3988292384) ELSE s // 2 END) AS v FROM (SELECT unnest(range(256)) AS n))),
+t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id
+             ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, list({'role': role, 'text': text} ORDER BY pos) AS turns FROM t GROUP BY conv_id),
+h AS (SELECT conv_id, turns, conv_id - conv_id % 20 AS base, (xor(list_reduce(list_prepend(4294967295, list_transform(
+             string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+             lambda s, b: xor(s // 256, tab[xor(s, b) % 256 + 1])), 4294967295) % 4)::BIGINT AS h FROM o, tab),
+r AS (SELECT a.conv_id, list_concat(coalesce(b.turns, [])[1:a.h], a.turns[a.h + 1:]) AS turns FROM h AS a LEFT JOIN o AS b ON a.base = b.conv_id),
+p AS (SELECT conv_id, d, turns[1:d] AS prefix, len(turns) = d AS ends FROM (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS d FROM r)),
+n AS (SELECT d, prefix, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)
+             FILTER (WHERE ends), '')) AS ends_sha256, row_number() OVER () AS node FROM p GROUP BY d, prefix),
+m AS (SELECT p.conv_id, p.d, n.node FROM p JOIN n ON p.d = n.d AND p.prefix = n.prefix),
+k AS (SELECT n.*, u.node AS up, u.conv_id AS parent_conv_id, CASE WHEN n.d = 0 THEN 0 ELSE (n.n_convs - 1)
+             * len(regexp_extract_all(n.prefix[-1].text, '[^\x20\x09-\x0D]+')) END AS val
+      FROM n LEFT JOIN n AS u ON u.d = n.d - 1 AND u.prefix = n.prefix[1:n.d - 1]),
+ch AS (SELECT up AS node, count(*) AS n_children FROM k WHERE up IS NOT NULL GROUP BY up),
+below AS (SELECT DISTINCT a.node AS top, b.node FROM m AS a JOIN m AS b ON a.conv_id = b.conv_id AND b.d >= a.d),
+s AS (SELECT top, sum(val)::BIGINT AS saved_tokens, count(*) FILTER (WHERE ch.node IS NULL) AS n_leaves
+      FROM below JOIN k USING (node) LEFT JOIN ch USING (node) GROUP BY top)
+SELECT conv_id, d AS depth, parent_conv_id, n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, ends_sha256
+FROM k JOIN s ON s.top = k.node LEFT JOIN ch ON ch.node = k.node"""
+
+
+@query
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters over all documents, in all orders."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLE["op13_filter_audit"] = r"""
+WITH RECURSIVE orders(o) AS (SELECT '' UNION ALL SELECT o || f FROM orders, (SELECT unnest(string_split('ABCDE', '')) AS f)
+                             WHERE NOT contains(o, f)),
+d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+             coalesce(doc_id > min(doc_id) OVER (PARTITION BY coalesce(text, '')), false) AS again FROM documents),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+x AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+             concat(CASE WHEN len(w) < 50 THEN 'A' END, CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' END,
+                    CASE WHEN 100 * (length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 5 * length(t) THEN 'C' END,
+                    CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' END, CASE WHEN again THEN 'E' END) AS fails
+      FROM d LEFT JOIN l USING (doc_id)),
+g AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM x GROUP BY part, fails),
+s AS (SELECT o, k + 1 AS step, o[k + 1] AS f, o[1:k] AS before FROM (SELECT o, unnest(range(5)) AS k FROM orders WHERE length(o) = 5)),
+r AS (SELECT part, o, step, f, sum(CASE WHEN fails = '' OR translate(fails, before || f, '') = fails THEN n ELSE 0 END) AS kept,
+             sum(CASE WHEN contains(fails, f) AND translate(fails, before, '') = fails THEN n ELSE 0 END) AS removed,
+             sum(CASE WHEN contains(fails, f) AND translate(fails, before, '') <> fails THEN n ELSE 0 END) AS redundant,
+             sum(CASE WHEN fails = f THEN n ELSE 0 END) AS unique_fails,
+             sum(CASE WHEN contains(fails, f) AND translate(fails, before, '') = fails THEN good ELSE 0 END) AS good_lost,
+             sum(CASE WHEN contains(fails, f) AND translate(fails, before, '') = fails THEN toxic ELSE 0 END) AS toxic_lost
+      FROM g, s GROUP BY part, o, step, f)
+SELECT part, o AS filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+       unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM r"""

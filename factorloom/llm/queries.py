@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorloom.llm import (decontaminate, filter_audit, html_main, line_rules, masked_lm, packing, prefix_trie, quality, sharding,
-                             simhash, toxicity, url_cascade)
+from factorloom.llm import (decontaminate, filter_audit, html_main, line_rules, masked_lm, ngram_join, packing, prefix_trie,
+                             quality, sharding, simhash, toxicity, url_cascade)
 from factorloom.llm.common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -192,3 +192,9 @@ r AS (SELECT part, o, step, f, sum(CASE WHEN fails = '' OR translate(fails, befo
 SELECT part, o AS filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
        unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
        (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM r"""
+
+
+@query
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents with a similarity of 0.85 or more over four-word shingles."""
+    return ngram_join.ngram_groups(table(spark, sf_dir, "documents"))

@@ -67,6 +67,11 @@ def main() -> None:
     timed("train_gd_1", lambda: tr.train_gd(data, fx.params(num_factor=FACTORS), model))
     trained = timed(f"train_gd_{STEPS}", lambda: tr.train_gd(data, fx.params(num_factor=FACTORS, num_iter=STEPS), model))
     parts = spark.sparkContext.defaultParallelism
+    # The same step with weights that no broadcast may carry.
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    timed("train_gd_1_no_broadcast", lambda: tr.train_gd(data, fx.params(num_factor=FACTORS), model))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     by_row = fx.params(num_factor=FACTORS, num_partitions=parts)
     psgd = timed("train_psgd_epoch", lambda: tr.train_psgd(data, by_row, model))
     data.release()

@@ -146,8 +146,61 @@ def test_order_and_partitions_do_not_matter(cells, model):
     assert_weights(tr.train_psgd(shuffled, PARAMS, model), *EPOCH)
 
 
+def own_exchanges(df):
+    """What the plan shuffles, without the plans of persisted tables."""
+    out, hidden = [], None
+    for line in df._jdf.queryExecution().executedPlan().toString().split("\n"):
+        depth = len(line) - len(line.lstrip(" :+-*()0123456789"))
+        if hidden is not None and depth > hidden:
+            continue
+        hidden = depth if "InMemoryRelation" in line else None
+        if "Initial Plan" in line:
+            break
+        if "Exchange" in line and "ReusedExchange" not in line:
+            out.append(line.split("Exchange", 1)[1].strip())
+    return out
+
+
+@pytest.mark.parametrize("wide", [1_000_000, 3])
+def test_a_step_beyond_the_broadcast_limit_moves_no_cell(spark, cells, model, monkeypatch, wide):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    monkeypatch.setattr(gr, "_WIDE_ROW", wide)
+    try:
+        data = gr.with_routes(gr.prepare(cells, 5), 1)
+        assert (data.wide is not None) == (wide == 3)
+        step = gr.mean_gradient(data, gr.weights_of(model), model.num_factor, True, True)
+        moved = own_exchanges(step)
+        if wide > 3:  # weights by column, weights to the parts that use them, sums by column
+            assert len(moved) == 3 and not [m for m in moved if "row_id" in m], moved
+            assert sum(m.startswith("shufflepartitionidpassthrough") for m in moved) == 1
+        assert_weights(tr.train_gd(data, PARAMS, model), *BATCH)
+        data.release()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_the_salted_join_computes_facts_once(spark, monkeypatch):
+    monkeypatch.setattr(joins, "_HOT_KEYS", 2)
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    facts = spark.range(3000).selectExpr("id", "IF(id % 3 = 0, 7, IF(id % 50 = 1, NULL, id % 40)) AS k").mapInPandas(count, "id long, k long")
+    table = spark.range(39).selectExpr("id AS k", "id * 2 AS v")
+    hot = spark.createDataFrame([(7,)], "k long")
+    for given in (None, hot):
+        before = seen.value
+        got = joins.lookup_join(facts, table, ["k"], 1 << 60, "left", given).collect()
+        assert seen.value - before == 3000 and len(got) == 3000
+        assert all(r["v"] == (None if r["k"] is None or r["k"] > 38 else 2 * r["k"]) for r in got)
+
+
 def test_without_any_broadcast_by_size(spark, cells, model, monkeypatch):
-    """Weights too big to broadcast: hot columns go one way, all others shuffle."""
+    """Weights too big to broadcast: each is sent once to the parts that use it."""
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     real = joins.heavy_keys

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factorloom.plans.runtime import ship_with_tasks
+from factorloom.plans.runtime import ship_with_tasks, stage
 
 ship_with_tasks(__name__)
 
@@ -50,7 +50,10 @@ def _scores(q: np.ndarray, vecs: np.ndarray, how: str) -> np.ndarray:
 def _best_in_chunk(q, base, take, ids, vecs, bias, how, digits):
     """(query line, item, score) of the best `take` items per query, among items sorted by falling
     length. A query is done when no item that is left can reach its last place: a dot product is at
-    most the product of the lengths."""
+    most the product of the lengths. By distance, items come in balls around pivots; a query skips a ball that
+    is farther away than its last place, by the triangle inequality."""
+    if how == "distance":
+        return _nearest_in_chunk(q, take, ids, vecs, bias, base, digits)
     lengths, reach = np.linalg.norm(q, axis=1), np.linalg.norm(vecs, axis=1)
     most = int(take.max())
     best = np.full((len(q), most), -np.inf)
@@ -78,6 +81,58 @@ def _best_in_chunk(q, base, take, ids, vecs, bias, how, digits):
     return line[first], item[first], score[first]
 
 
+#: Slabs of items that `_nearest_in_chunk` compared with some query, and those there are; read by tests.
+VISITED = [0, 0]
+
+
+def _nearest_in_chunk(q, take, ids, vecs, bias, base, digits):
+    """The same by distance. The chunk's pivots are drawn evenly from its items; every item belongs to its nearest pivot.
+    Balls are visited from near to far over all queries, each query only those its last place can lie in."""
+    pivots = vecs[:: max(1, len(vecs) // max(1, int(len(vecs) ** 0.5)))]
+    square = lambda a, b: (a ** 2).sum(1)[:, None] + (b ** 2).sum(1)[None, :] - 2 * a @ b.T
+    ball = np.concatenate([square(vecs[at:at + _SLAB], pivots).argmin(1) for at in range(0, len(vecs), _SLAB)])
+    order = np.argsort(ball, kind="stable")
+    ball, ids, vecs, bias = ball[order], ids[order], vecs[order], bias[order]
+    starts = np.searchsorted(ball, np.arange(len(pivots) + 1))
+    radii = np.zeros(len(pivots))
+    np.maximum.at(radii, ball, np.linalg.norm(vecs - pivots[ball], axis=1))
+    top = np.full(len(pivots), -np.inf)
+    np.maximum.at(top, ball, bias)
+    slip = 1e-6 * (1 + np.abs(vecs).max(initial=0.0) + np.abs(q).max(initial=0.0)) * (1 + vecs.shape[1]) ** 0.5
+    gap = np.maximum(np.sqrt(np.maximum(square(q, pivots), 0)) - radii[None, :] - slip, 0)
+    limit = base[:, None] + top[None, :] - gap + 10.0 ** -digits  # no member of the ball scores more
+    most = int(take.max())
+    best = np.full((len(q), most), -np.inf)
+    lines, items, scores = [np.zeros(0, int)], [ids[:0]], [np.zeros(0)]
+    # First each query's nearest ball, so that its last place is known soon; then all others.
+    visits = [(int(b), np.flatnonzero(gap.argmin(1) == b)) for b in np.unique(gap.argmin(1))]
+    seen = np.zeros(gap.shape, bool)
+    for b, alive in [*visits, *((int(b), None) for b in np.argsort(gap.mean(0), kind="stable"))]:
+        if alive is None:
+            alive = np.flatnonzero(~seen[:, b] & (limit[:, b] >= best.min(axis=1)))
+        VISITED[1] += 1
+        if not len(alive) or starts[b] == starts[b + 1]:
+            continue
+        VISITED[0] += 1
+        seen[alive, b] = True
+        slab = slice(starts[b], starts[b + 1])
+        for at in range(0, len(alive), 256):
+            some = alive[at:at + 256]
+            table = np.round(_scores(q[some], vecs[slab], "distance") + bias[slab] + base[some][:, None], digits) + 0.0
+            both = np.concatenate([best[some], table], axis=1)
+            best[some] = -np.partition(-both, most - 1, axis=1)[:, :most]
+            line, col = np.nonzero(table >= best[some].min(axis=1)[:, None])
+            lines.append(some[line])
+            items.append(ids[slab][col])
+            scores.append(table[line, col])
+    line, item, score = np.concatenate(lines), np.concatenate(items), np.concatenate(scores)
+    order = np.lexsort((item, -score, line))
+    line, item, score = line[order], item[order], score[order]
+    rank = np.arange(len(line)) - np.searchsorted(line, np.arange(len(q)))[line]
+    first = rank < take[line]
+    return line[first], item[first], score[first]
+
+
 def _chunk_rows(vectors: DataFrame) -> tuple[int, int]:
     """Number of vectors, and how many of them fit into one chunk."""
     sizes = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dims")).first()
@@ -148,6 +203,103 @@ def best_matches(queries: DataFrame, items: DataFrame, k: int, how: str = "dot",
     return found
 
 
+# Balls of the index: about this many vectors each, and at most this many centres.
+_BALL_ROWS, _MAX_BALLS = 1024, 4096
+
+
+def balls(vectors: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """(vectors with their `ball`, centres, radii): every vector belongs to the nearest of some centres; a ball's radius
+    is the distance of its farthest member. Centres are vectors drawn by hash, at most _MAX_BALLS. They say only which
+    pairs of balls can be skipped; by the triangle inequality no pair in reach is lost."""
+    n = vectors.count()
+    wanted = max(1, min(_MAX_BALLS, n // _BALL_ROWS, int(4 * n ** 0.5)))
+    drawn = vectors.select(id_col, vec_col).orderBy(F.xxhash64(id_col), id_col).limit(wanted)
+    centres = _matrix(pd.Series([r[vec_col] for r in drawn.collect()]))
+    held = vectors.sparkSession.sparkContext.broadcast(centres)
+    kinds = {f.name: f.dataType.simpleString() for f in vectors.schema.fields}
+
+    def near(parts):
+        for pdf in parts:
+            out = []
+            for at in range(0, len(pdf), 1024):
+                vecs, centres = _matrix(pdf[vec_col].iloc[at:at + 1024]), held.value
+                square = (vecs ** 2).sum(1)[:, None] + (centres ** 2).sum(1)[None, :] - 2 * vecs @ centres.T
+                ball = square.argmin(1)
+                # the distance itself is taken anew, as the expanded square cancels for close vectors
+                out.append(np.stack([ball, np.linalg.norm(vecs - centres[ball], axis=1)]))
+            found = np.concatenate([np.zeros((2, 0)), *out], axis=1)
+            yield pdf.assign(ball=found[0].astype(int), _far=found[1])
+
+    ddl = ", ".join(f"`{c}` {k}" for c, k in kinds.items()) + ", ball int, _far double"
+    dealt = stage(vectors.mapInPandas(near, ddl), "balls")
+    radii = np.zeros(len(centres))
+    for r in dealt.groupBy("ball").agg(F.max("_far").alias("far")).collect():  # one number a ball
+        radii[r["ball"]] = r["far"]
+    return dealt.drop("_far"), centres, radii
+
+
+def _gaps(centres: np.ndarray, radii: np.ndarray) -> np.ndarray:
+    """The least distance that members of two balls can have."""
+    square = (centres ** 2).sum(1)
+    between = np.sqrt(np.maximum(square[:, None] + square[None, :] - 2 * centres @ centres.T, 0))
+    slip = 1e-6 * (1 + np.sqrt(square).max(initial=0.0))  # what rounding may cost
+    return np.maximum(between - radii[:, None] - radii[None, :] - slip, 0)
+
+
+def close_pairs(vectors: DataFrame, threshold: float, digits: int = 9) -> DataFrame:
+    """(i, j, score), i < j, of the pairs of unit or zero vectors(item, vec) with a dot product of at least
+    `threshold` > 0. Only balls that can hold such a pair meet: vectors of length 1 with that product are at most
+    sqrt(2 - 2 threshold) apart. Zero vectors have no such pair."""
+    some = vectors.filter(F.exists("vec", lambda x: x != 0))
+    dealt, centres, radii = balls(some, "item", "vec")
+    reach = float(np.sqrt(max(0.0, 2 - 2 * (threshold - 10.0 ** -digits)))) + 1e-9
+    gaps = _gaps(centres, radii)
+    meets = [(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(gaps <= reach)))]
+    if not meets:
+        return _pair_kernel(dealt, None, threshold, digits)
+    return _pair_kernel(dealt, vectors.sparkSession.createDataFrame(meets, "_a int, _b int"), threshold, digits)
+
+
+def _pair_kernel(dealt: DataFrame, meets: DataFrame | None, threshold: float, digits: int) -> DataFrame:
+    """Scores of the ball pairs (_a, _b). Both sides of a pair come in slices of bounded rows, so a crowded ball is
+    dealt to many tasks."""
+    spark = dealt.sparkSession
+    if meets is None:
+        return spark.createDataFrame([], "i bigint, j bigint, score double")
+    sizes = dealt.groupBy("ball").agg((F.ceil(F.count(F.lit(1)) / _PAIR_ROWS)).cast("int").alias("slices"))
+    sliced = dealt.join(F.broadcast(sizes), "ball").withColumn("_s", F.pmod(F.xxhash64("item"), F.col("slices")).cast("int"))
+    plan = (meets.join(sizes.select(F.col("ball").alias("_a"), F.col("slices").alias("_na")), "_a")
+            .join(sizes.select(F.col("ball").alias("_b"), F.col("slices").alias("_nb")), "_b")
+            .withColumn("_sa", F.explode(F.sequence(F.lit(0), F.col("_na") - 1)))
+            .withColumn("_sb", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
+            .filter("_a < _b OR _sa <= _sb").select("_a", "_b", "_sa", "_sb"))
+    left = sliced.select("item", "vec", F.col("ball").alias("_a"), F.col("_s").alias("_sa")).join(plan, ["_a", "_sa"])
+    right = sliced.select(F.col("item").alias("other"), F.col("vec").alias("other_vec"), F.col("ball").alias("_b"),
+                          F.col("_s").alias("_sb")).join(plan, ["_b", "_sb"])
+
+    def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        firsts, seconds, scores = [np.zeros(0, "int64")], [np.zeros(0, "int64")], [np.zeros(0)]
+        if len(left) and len(right):
+            same = (left["_a"].iloc[0], left["_sa"].iloc[0]) == (left["_b"].iloc[0], left["_sb"].iloc[0])
+            ids, vecs = right["other"].to_numpy(), _matrix(right["other_vec"])
+            step = _slice(len(ids), vecs.shape[1], "dot")
+            for start in range(0, len(left), step):
+                part = left.iloc[start:start + step]
+                mine = part["item"].to_numpy()
+                table = np.round(_matrix(part["vec"]) @ vecs.T, digits) + 0.0
+                keep = table >= threshold
+                if same:
+                    keep &= mine[:, None] < ids[None, :]
+                at_mine, at_ids = np.nonzero(keep)
+                firsts.append(np.minimum(mine[at_mine], ids[at_ids]))
+                seconds.append(np.maximum(mine[at_mine], ids[at_ids]))
+                scores.append(table[at_mine, at_ids])
+        return pd.DataFrame({"i": np.concatenate(firsts), "j": np.concatenate(seconds), "score": np.concatenate(scores)})
+
+    keys = ["_a", "_sa", "_b", "_sb"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(kernel, "i bigint, j bigint, score double")
+
+
 def pair_scores(vectors: DataFrame, threshold: float | None = None, digits: int = 9) -> DataFrame:
     """Dot products of all pairs i < j of vectors(item, vec); with a threshold only those at or
     above it. Every two chunks meet once, in one task. The full result has N(N-1)/2 rows by

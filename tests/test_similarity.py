@@ -173,3 +173,48 @@ def test_seen_items_are_left_out_without_losing_answers(spark):
         free = [i for i in range(5, 30) if (u, i) not in set(pairs)]
         best = sorted(free, key=lambda i: -float(m[u] @ m[i]))[:4]
         assert [i for _, i in sorted(got[u])] == best
+
+
+def clustered(n, clusters, dims=6, seed=3):
+    rng = np.random.default_rng(seed)
+    return rng.normal(0, 1, (clusters, dims))[rng.integers(0, clusters, n)] + rng.normal(0, 0.03, (n, dims))
+
+
+@pytest.mark.parametrize("threshold,rows", [(0.95, 40), (0.3, 40), (1.0, 7)])
+def test_threshold_pairs_against_brute_force(spark, monkeypatch, threshold, rows):
+    monkeypatch.setattr(topk, "_BALL_ROWS", rows)
+    monkeypatch.setattr(topk, "_PAIR_ROWS", 50)
+    vecs = clustered(400, 12)
+    vecs[5] = vecs[9] = 0  # zero vectors reach no threshold
+    vecs[20] = vecs[21]
+    factors = spark.createDataFrame([(i, 0.0, v.tolist()) for i, v in enumerate(vecs)], "col long, v double, m array<double>")
+    norms = np.linalg.norm(vecs, axis=1)
+    units = vecs / np.where(norms > 0, norms, 1)[:, None]
+    table = np.round(units @ units.T, 9)
+    want = {(i, j) for i, j in zip(*np.nonzero(np.triu(table >= threshold, 1)))}
+    got = {(r["i"], r["j"]) for r in si.column_similarities(factors, threshold).collect()}
+    assert got == want and len(want) > 0
+
+
+def test_far_balls_never_meet(spark, monkeypatch):
+    monkeypatch.setattr(topk, "_BALL_ROWS", 20)
+    vecs = clustered(600, 15)
+    units = vecs / np.linalg.norm(vecs, axis=1)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(units)], "item long, vec array<double>")
+    dealt, centres, radii = topk.balls(df, "item", "vec")
+    sizes = {r["ball"]: r["count"] for r in dealt.groupBy("ball").count().collect()}
+    meets = np.triu(topk._gaps(centres, radii) <= np.sqrt(2 - 2 * 0.99))
+    scored = sum(sizes.get(a, 0) * sizes.get(b, 0) / (2 if a == b else 1) for a, b in zip(*np.nonzero(meets)))
+    assert sum(sizes.values()) == 600 and scored < 0.35 * 600 * 599 / 2
+
+
+def test_nearest_by_distance_skips_far_balls():
+    vecs, q = clustered(3000, 30), clustered(40, 30, seed=3)
+    take, zeros = np.full(len(q), 5), np.zeros
+    topk.VISITED[:] = [0, 0]
+    line, item, score = topk._nearest_in_chunk(q, take, np.arange(len(vecs)), vecs, zeros(len(vecs)), zeros(len(q)), 9)
+    exact = np.round(-np.sqrt(((q[:, None] - vecs[None]) ** 2).sum(2)), 9) + 0.0
+    for k in range(len(q)):
+        order = np.lexsort((np.arange(len(vecs)), -exact[k]))[:5]
+        assert item[line == k].tolist() == order.tolist() and score[line == k].tolist() == exact[k][order].tolist()
+    assert topk.VISITED[0] < topk.VISITED[1]

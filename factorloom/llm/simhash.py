@@ -210,9 +210,9 @@ def similar_groups(docs: DataFrame, text: str = "text", width: int = 5, similari
     similarities of at least `similarity` have one root. Texts of the same words in any case of A-Z are one text;
     texts without a word are all the same.
 
-    Every similar pair is a candidate: it shares one of the first shingles of both. All pairs of a list of texts with
-    one of them are verified. In a list of over `list_limit` all meet sixteen of its nodes first; then all pairs that
-    are not linked by then, which is quadratic only in texts that are no copies of each other."""
+    Every similar pair is a candidate: it shares one of the first shingles of both. The nodes of a list meet its first
+    node, in a list of over `list_limit` sixteen of its nodes; then all pairs of a list that are not linked by then,
+    which is quadratic only in texts that are no copies of each other."""
     ship_with_tasks(__name__)
     rows = stage(_prefixes(docs, text, width, similarity), "prefixes")
     nodes = stage(rows.groupBy("key").agg(F.min("num").alias("node")), "nodes")
@@ -220,20 +220,17 @@ def similar_groups(docs: DataFrame, text: str = "text", width: int = 5, similari
             .select(F.col("num").alias("node"), "n", F.posexplode("toks").alias("at", "tok")).repartition("tok"))
     sizes = toks.groupBy("tok").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     lists = stage(toks.join(sizes, "tok"), "lists")
-    small = lists.filter(F.col("c") <= list_limit)
-    edges = _verified(docs, _pairs(small, small, similarity), text, width, similarity)
-    crowded = lists.filter(F.col("c") > list_limit)
-    if crowded.head(1):
-        me = F.struct("node", "n", "at")
-        some = F.pmod(F.xxhash64("node"), F.lit(16))
-        ends = crowded.groupBy("tok", some.alias("some")).agg(F.min(me).alias("e")).select("tok", "e.*")
-        stars = _pairs(ends, crowded, similarity, "x.node <> y.node")
-        edges = edges.unionByName(_verified(docs, stars, text, width, similarity))
-        roots = components(edges)
-        rooted = crowded.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        open_lists = rooted.groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
-        rooted = stage(rooted.join(open_lists.select("tok"), "tok"), "crowded")
-        rest = _pairs(rooted, rooted, similarity, "x.node < y.node AND x.root <> y.root")
+    some = F.when(F.col("c") > list_limit, F.pmod(F.xxhash64("node"), F.lit(16))).otherwise(0)
+    ends = lists.groupBy("tok", some.alias("some")).agg(F.min(F.struct("node", "n", "at")).alias("e")).select("tok", "e.*")
+    edges = _verified(docs, _pairs(ends, lists, similarity, "x.node <> y.node"), text, width, similarity)
+    roots = stage(components(edges), "roots")
+    rooted = lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    open_lists = rooted.groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
+    rooted = stage(rooted.join(open_lists.select("tok"), "tok"), "open")
+    # Pairs with a list's first node are known; only lists of three or more have others.
+    rooted = rooted.filter("c > 2")
+    rest = _pairs(rooted, rooted, similarity, "x.node < y.node AND x.root <> y.root")
+    if rest.head(1):
         edges = edges.unionByName(_verified(docs, rest, text, width, similarity))
     found = components(edges)
     rooted = nodes.select("key", "node").join(found, "node", "left").select("key", F.coalesce("root", "node").alias("root"))
@@ -242,15 +239,16 @@ def similar_groups(docs: DataFrame, text: str = "text", width: int = 5, similari
 
 def first_of_each(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of `docs`, all columns, one for each group of near copies: that of the smallest id (a null id comes
-    last; of rows with one id, the first in the table). `docs` must be a stored table, as rows are told by their
-    place in it. An empty table gives no rows."""
-    kept = docs.columns
-    numbered = docs.withColumn("num", F.monotonically_increasing_id()) if "num" not in kept else None
-    if numbered is None:
-        return first_of_each(docs.withColumnRenamed("num", "_num"), text, id_col, width, similarity).withColumnRenamed("_num", "num")
-    groups = stage(similar_groups(numbered, text, width, similarity), "groups")
-    ranked = groups.join(numbered.select("num", id_col), "num")
-    order = F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("num"))
+    last; of rows with one id, the first in the table). Rows are numbered in a table that is written once, so that every
+    step means the same row by a number. An empty table gives no rows."""
+    columns, num = docs.columns, "num"
+    while num.lower() in (c.lower() for c in columns):
+        num = f"_{num}"
+    numbered = stage(docs.withColumn(num, F.monotonically_increasing_id()), "numbered")
+    texts = numbered.select(F.col(num).alias("num"), F.col(text).alias("text"))
+    groups = stage(similar_groups(texts, "text", width, similarity), "groups")
+    ranked = groups.join(numbered.select(F.col(num).alias("num"), F.col(id_col).alias("id")), "num")
+    order = F.struct(F.col("id").isNull(), F.col("id"), F.col("num"))
     first = ranked.groupBy("root").agg(F.min(order).getField("num").alias("winner"))
-    losers = groups.join(first, "root").filter("num <> winner").select("num")
-    return numbered.join(losers, "num", "left_anti").select(*kept)
+    # A row is dropped unless its number is a winner's: no join by root, which a group of very many copies would skew.
+    return numbered.join(first.select(F.col("winner").alias(num)), num, "left_semi").select(*columns)

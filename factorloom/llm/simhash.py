@@ -224,11 +224,10 @@ def similar_groups(docs: DataFrame, text: str = "text", width: int = 5, similari
     ends = lists.groupBy("tok", some.alias("some")).agg(F.min(F.struct("node", "n", "at")).alias("e")).select("tok", "e.*")
     edges = _verified(docs, _pairs(ends, lists, similarity, "x.node <> y.node"), text, width, similarity)
     roots = stage(components(edges), "roots")
-    rooted = lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # Pairs with a list's first node are known; only lists of three or more have others.
+    rooted = lists.filter("c > 2").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_lists = rooted.groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
     rooted = stage(rooted.join(open_lists.select("tok"), "tok"), "open")
-    # Pairs with a list's first node are known; only lists of three or more have others.
-    rooted = rooted.filter("c > 2")
     rest = _pairs(rooted, rooted, similarity, "x.node < y.node AND x.root <> y.root")
     if rest.head(1):
         edges = edges.unionByName(_verified(docs, rest, text, width, similarity))

@@ -22,7 +22,7 @@ from factorloom.operators import recommend as rc
 from factorloom.operators import similarity as si
 from factorloom.operators import train as tr
 from factorloom.plans import pipeline
-from factorloom.plans.runtime import work_path
+from factorloom.plans.runtime import stage, work_path
 from factorloom.plans.topk import top_k
 from factorloom.sources import stores, tables
 from factorloom.streaming import jobs
@@ -183,6 +183,21 @@ def append_cells_stream(spark, sf_dir):
     return _cell_sums(spark.read.parquet(path))
 
 
+@query(_EVENT_CELL_SUMS)
+def append_cells_stream_twice(spark, sf_dir):
+    """All records are sent twice, to two runs of the stream, and stored once."""
+    cells, _ = fx.event_cells(spark, sf_dir)
+    times = fx.read(spark, sf_dir, "events").select(F.col("event_id").alias("row_id"), F.col("ts").cast("timestamp").alias("sent"))
+    arrivals, path = work_path(spark, "arrivals"), work_path(spark, "cells")
+    sent = stage(cells.join(times, "row_id").select("row_id", "col", "cat", "val", "sent"), "sent")
+    offsets = work_path(spark, "offsets")
+    for _ in range(2):
+        sent.write.mode("append").parquet(arrivals)
+        stream = jobs.cell_stream(spark, arrivals, event_time="sent")
+        jobs.append_stream(stream, path, offsets, "sent", "3650 days").awaitTermination()
+    return _cell_sums(spark.read.parquet(path))
+
+
 @query(sql.EVENTS_BASE + """
 SELECT 0.1e0 AS c, (SELECT n FROM dim) AS num_attribute, 2 AS num_factor, cat AS category, min(col) AS "begin", max(col) AS "end"
 FROM cells GROUP BY cat""")
@@ -453,6 +468,17 @@ def factor_sums(spark, sf_dir):
     return sums.select("row_id", *[near(c).alias(c) for c in sums.columns if c != "row_id"])
 
 
+@query(f"""{sql.EVENTS_BASE}, {sql.factors(64)}, {sql.row_parts(64)}
+SELECT row_id, round(linear, 6) + 0.0 AS linear, round(s0, 6) + 0.0 AS s0, round(q0, 6) + 0.0 AS q0, round(s63, 6) + 0.0 AS s63, round(q63, 6) + 0.0 AS q63 FROM parts""")
+def factor_vectors(spark, sf_dir):
+    """Sums of 64 factors as vectors; the first and the last are shown."""
+    cells, dictionary = fx.event_cells(spark, sf_dir)
+    sums = pr.factor_vectors(cells, fx.lattice_model(spark, fx.width(dictionary), 64))
+    shown = [F.col(c)[f].alias(f"{c}{f}") for f in (0, 63) for c in ("s", "q")]
+    sums = sums.select("row_id", "linear", *shown)
+    return sums.select("row_id", *[near(c).alias(c) for c in sums.columns if c != "row_id"])
+
+
 # --- model ---------------------------------------------------------------------------------------
 
 @query(f"{sql.RATINGS_BASE}, {sql.factors()} SELECT col, 0e0 AS v, 0.25e0 AS m0, 0.25e0 AS m1 FROM factors")
@@ -490,6 +516,13 @@ _EVENT_PREDICTIONS = (f"{sql.EVENTS_BASE}, {sql.factors()}, {sql.row_parts()} "
                       f"SELECT row_id, round({sql.equation()}, 6) + 0.0 AS prediction FROM parts")
 
 
+@query(f"{sql.EVENTS_BASE}, {sql.factors(64)}, {sql.row_parts(64)} SELECT row_id, round({sql.equation(64)}, 6) + 0.0 AS prediction FROM parts")
+def predict_many_factors(spark, sf_dir):
+    """A model of 64 factors."""
+    cells, dictionary = fx.event_cells(spark, sf_dir)
+    return _predictions(pr.predict(cells, fx.lattice_model(spark, fx.width(dictionary), 64)))
+
+
 @query(_EVENT_PREDICTIONS)
 def predict_events(spark, sf_dir):
     cells, _, model = event_setup(spark, sf_dir)
@@ -646,6 +679,25 @@ def train_model(spark, sf_dir):
     return weight_lines(stored).unionByName(error).unionByName(pairs)
 
 
+_SHIFTED_BASE = sql.EVENTS_BASE.replace("/ 100 AS k", "/ 100 - 0.5e0 AS k")
+
+
+@query((sql.descent(_SHIFTED_BASE, 2) + sql.weight_lines("w1", "(SELECT c FROM c1)")
+        + " UNION ALL SELECT CAST(-2 AS BIGINT), 'rmse', round(sqrt(avg(e * e)), 6) FROM e1").replace("c.val > 0", "c.val <> 0"))
+def train_model_nonzero(spark, sf_dir):
+    """Training, measuring and the stored parameters with values below 0 among the features."""
+    rows = fx.event_rows(spark, sf_dir).withColumn("k", F.col("k") - 0.5)
+    cells, dictionary = en.build_cells(rows, "row_id", **fx._args(fx.EVENTS))
+    start, base = fx.lattice_model(spark, fx.width(dictionary)), work_path(spark, "store")
+    pipeline.train_model(spark, cells, fx.params(name="events", keep="nonzero"), base, "u1", with_similarity=False, start=start)
+    stored = stores.load_model(spark, stores.resolve(spark, base, "u1", "events", stores.MODEL))
+    scored = pipeline.score(spark, cells, base, "u1", "events")
+    target = cells.filter(F.col("cat") == schema.LABEL).select("row_id", F.col("val").alias("target"))
+    error = pr.rmse_of(scored.join(target, "row_id")).select(
+        F.lit(-2).cast("bigint").alias("col"), F.lit("rmse").alias("part"), near("rmse").alias("value"))
+    return weight_lines(stored).unionByName(error)
+
+
 @query(f"{_RATED} SELECT row_id, round({sql.equation()}, 6) + 0.0 AS prediction FROM parts")
 def score(spark, sf_dir):
     cells, _, model = rating_setup(spark, sf_dir)
@@ -743,6 +795,18 @@ def similar_request(spark, sf_dir):
     return si.parse_similars(found).withColumn("score", near("score"))
 
 
+@query(_ranked(sql.EVENTS_BASE, "a.col IN (0, 3, 64, 100)", "true", 5) + " SELECT col, rank, other, score FROM best")
+def similar_request_threshold(spark, sf_dir):
+    """The same from a table of the pairs above a threshold: columns with too few of them are searched in the model."""
+    _, _, model = event_setup(spark, sf_dir)
+    base = work_path(spark, "store")
+    where = stores.save_model(model, base, "events", 1)
+    path = stores.save_similarity(si.column_similarities(model.factors, 0.99), base, "events", 1, 0, where)
+    stores.register(spark, base, "u1", "events", stores.MATRIX, path, 1)
+    found = pipeline.similar(spark, base, "u1", "events", 5, [0, 3, 64, 100])
+    return si.parse_similars(found).withColumn("score", near("score"))
+
+
 @query("""WITH g AS (SELECT l_orderkey AS i, l_linenumber - 1 AS j, sum(l_quantity) AS value FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL),
 w AS (SELECT max(j) + 1 AS n FROM g)
 SELECT r.i, p.pos, coalesce(g.value, 0) + 0e0 AS value FROM (SELECT DISTINCT i FROM g) r, (SELECT unnest(range((SELECT n FROM w))) AS pos) p

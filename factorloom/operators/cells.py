@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factorloom import schema
+from factorloom.plans.joins import lookup_join, measured_bytes
+from factorloom.plans.runtime import cut_lineage
 
 _ONE_HOT = [schema.USER, schema.ITEM, schema.CATEGORICAL]
 
@@ -119,39 +121,57 @@ def block_metadata(cells: DataFrame) -> DataFrame:
 def check_cells(cells: DataFrame, given_num_attribute: int | None = None, tolerance: float = 1e-6,
                 dictionary: DataFrame | None = None) -> DataFrame:
     """Data-quality report (rule, violations), one row per rule. With a `dictionary` (block, col) the weights of every
-    set of a row must sum to 1. Cells alone do not tell one set from another: then a row's sum must be a whole number."""
-    top = feature_dim(cells).first()["num_attribute"]
+    set of a row must sum to 1. Cells alone do not tell one set from another: then a row's sum must be a whole number.
+
+    One aggregate by category gives the rules on cells and blocks. The rules on rows need one exchange of the cells, by
+    ranges of (row_id, col): equal cells meet, a row is whole but for the ends of ranges, and a row as wide as many tasks is
+    dealt to them. What is exchanged after it is one line for a row (or set) and task. An empty table breaks no rule."""
     n = F.count_if
     cat, val, col = F.col("cat"), F.col("val"), F.col("col")
-
-    cellwise = cells.agg(
-        (F.lit(0) if given_num_attribute is None else
-         F.when(F.max("col") != F.lit(given_num_attribute), 1).otherwise(0)).cast("bigint").alias("num_attribute"),
+    by_cat = cut_lineage(cells.groupBy("cat").agg(
+        F.min("col").alias("begin"), F.max("col").alias("end"),
         n(cat.isin(_ONE_HOT) & ~val.isin(0.0, 1.0)).alias("binary_values"),
-        n((val < 0) & (col < F.lit(top))).alias("negative_lost"),
-        n(F.isnan(val)).alias("not_a_number"))
-    in_set = F.when(cat == schema.CATEGORICAL_SET, val)
-    rowwise = cells.groupBy("row_id").agg(F.max("col").alias("top"), F.sum(in_set).alias("set_sum")).agg(
-        n(F.col("top") < F.lit(top)).alias("missing_target"),
-        n((F.abs(F.col("set_sum") - F.round("set_sum")) > tolerance) | (F.col("set_sum") < 0.5)).alias("set_sum"))
-    if dictionary is not None:
-        members = cells.filter(cat == schema.CATEGORICAL_SET).join(dictionary.select("block", "col"), "col")
-        sets = members.groupBy("row_id", "block").agg(F.sum("val").alias("s"))
-        rowwise = rowwise.drop("set_sum")
-        setwise = sets.agg(n(F.abs(F.col("s") - 1) > tolerance).alias("set_sum"))
-    keywise = (cells.groupBy("row_id", "col").agg(F.count(F.lit(1)).alias("copies"))
-               .agg(n(F.col("copies") > 1).alias("duplicate_cell")))
+        n(F.isnan(val)).alias("not_a_number")))
+    top = by_cat.agg(F.max("end")).first()[0]
+    wrong_top = given_num_attribute is not None and top is not None and top != int(given_num_attribute)
     # A handful of categories: a window without keys is fine here.
     before = Window.orderBy("begin", "end").rowsBetween(Window.unboundedPreceding, -1)
-    blockwise = (block_metadata(cells).withColumn("reach", F.max("end").over(before))
-                 .agg(n(F.col("reach") >= F.col("begin")).alias("overlapping_blocks")))
+    cellwise = by_cat.withColumn("reach", F.max("end").over(before)).agg(
+        F.lit(int(wrong_top)).cast("bigint").alias("num_attribute"), F.sum("binary_values").alias("binary_values"),
+        F.sum("not_a_number").alias("not_a_number"), n(F.col("reach") >= F.col("begin")).alias("overlapping_blocks"))
+
+    in_set = cat == schema.CATEGORICAL_SET
+    tagged = cells.select("row_id", "col", F.when(in_set, val).alias("_set"), ((val < 0) & (col < F.lit(top))).alias("_lost"))
+    keys, tags = ["row_id"], []
+    if dictionary is not None:
+        names = dictionary.select("col", "block")
+        tagged = lookup_join(tagged, names, ["col"], measured_bytes(names), "left")
+        # Cells outside of sets share one line of their row.
+        tagged = tagged.withColumn("block", F.when(F.col("_set").isNotNull(), F.col("block")))
+        keys, tags = ["row_id", "block"], [F.first("block", ignorenulls=True).alias("block")]
+    ranged = tagged.repartitionByRange("row_id", "col")
+    distinct = ranged.groupBy("row_id", "col").agg(
+        F.count(F.lit(1)).alias("copies"), F.sum("_set").alias("_set"), n("_lost").alias("_lost"), *tags)
+    lines = distinct.groupBy(*keys).agg(
+        F.max("col").alias("top"), F.sum("_set").alias("_set"), F.sum("_lost").alias("_lost"),
+        n(F.col("copies") > 1).alias("duplicates"))
+    total = F.col("_set")
+    if dictionary is None:
+        bad_set = (F.abs(total - F.round(total)) > tolerance) | (total < 0.5)
+    else:
+        bad_set = F.col("block").isNotNull() & (F.abs(total - 1) > tolerance)
+    lines = lines.withColumn("_bad", F.coalesce(bad_set, F.lit(False)).cast("int"))
+    if dictionary is not None:
+        lines = lines.groupBy("row_id").agg(*[F.max("top").alias("top"), *[F.sum(c).alias(c) for c in ("_lost", "duplicates", "_bad")]])
+    rowwise = lines.agg(n(F.col("top") < F.lit(top)).alias("missing_target"), F.sum("_bad").alias("set_sum"),
+                        F.sum("_lost").alias("negative_lost"), F.sum("duplicates").alias("duplicate_cell"))
 
     report = None
-    for part in (cellwise, rowwise, keywise, blockwise, *(() if dictionary is None else (setwise,))):
+    for part in (cellwise, rowwise):
         pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("rule"), F.coalesce(F.col(c), F.lit(0)).cast("bigint")
                                              .alias("violations")) for c in part.columns])).alias("r")
-        lines = part.select(pairs).select("r.*")
-        report = lines if report is None else report.unionByName(lines)
+        found = part.select(pairs).select("r.*")
+        report = found if report is None else report.unionByName(found)
     return report
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from factorloom.plans.joins import lookup_join
 from factorloom.functions.random import hashed_gaussian
 
 _ROWS_PER_TASK = 250_000
+# Models of more factors are summed as vectors. Up to here one column a factor is faster, as it stays in generated code.
+_NAMED_FACTORS = 32
 
 
 def init_model(spark: SparkSession, num_attribute: int, num_factor: int, mean: float, stdev: float,
@@ -41,8 +45,35 @@ def _value(model: Model, keep: str) -> Column:
     return F.when(inside, F.col("val")).otherwise(0.0)
 
 
+def vector_sum(values: Column) -> Column:
+    """The element-wise sum of arrays of one length over a group: partial sums of one vector in the map tasks, as many
+    columns in the plan as for one number."""
+    return vector_to_array(Summarizer.sum(array_to_vector(values)))
+
+
+def _scaled_factors(model: Model, x: Column) -> Column:
+    """The factors of an entry times its value; zeros for entries without weights."""
+    zeros = F.array_repeat(F.lit(0.0), model.num_factor)
+    return F.transform(F.coalesce(F.col("m"), zeros), lambda m: m * x)
+
+
+def _square(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda s, y: s + y * y)
+
+
+def factor_vectors(data: DataFrame, model: Model, keep: str = "positive") -> DataFrame:
+    """Per row: linear sum, and the sums s_f and sums of squares q_f of all factors as two arrays, for any number of
+    factors. A row without features has zeros; repeated entries count each."""
+    x = _value(model, keep)
+    scaled = _scaled_factors(model, x)
+    return (lookup_join(to_cells(data), model.factors.select("col", "v", "m"), ["col"], model.bytes(), "left")
+            .groupBy("row_id").agg(F.sum(F.coalesce(F.col("v"), F.lit(0.0)) * x).alias("linear"), vector_sum(scaled).alias("s"),
+                                   vector_sum(F.transform(scaled, lambda y: y * y)).alias("q")))
+
+
 def factor_sums(data: DataFrame, model: Model, keep: str = "positive") -> DataFrame:
-    """Per row: linear sum, and for every factor f the sum s_f and the sum of squares q_f."""
+    """Per row: linear sum, and for every factor f the sum s_f and the sum of squares q_f. `factor_vectors` has the
+    same sums in two arrays."""
     x = _value(model, keep)
     aggs = [F.sum(F.coalesce(F.col("v"), F.lit(0.0)) * x).alias("linear")]
     for f in range(model.num_factor):
@@ -52,15 +83,35 @@ def factor_sums(data: DataFrame, model: Model, keep: str = "positive") -> DataFr
 
 
 def row_parts(data: DataFrame, model: Model, keep: str = "positive", extra: list[Column] = ()) -> DataFrame:
-    """Per row: linear sum, s0..sK-1, and one sum of squares over all factors. K + 2 partial sums."""
+    """Per row: linear sum, the factor sums, and one sum of squares over all factors. K + 2 partial sums. The factor
+    sums are columns s0..sK-1 up to _NAMED_FACTORS factors, and one array s beyond; `factor_vector` reads both."""
     x = _value(model, keep)
-    ms = [F.coalesce(F.col(f"m{f}"), F.lit(0.0)) for f in range(model.num_factor)]
-    aggs = [F.sum(F.coalesce(F.col("v"), F.lit(0.0)) * x).alias("linear")]
-    aggs += [F.sum(m * x).alias(f"s{f}") for f, m in enumerate(ms)]
-    aggs.append(F.sum(x * x * total([m * m for m in ms])).alias("squares"))
     entries = data if "col" in data.columns else to_cells(numbered_points(data))
     keys = ["row_id", *(["_point"] if "_point" in entries.columns else [])]
-    return join_model(entries, model).groupBy(*keys).agg(*aggs, *extra).drop("_point")
+    aggs = [F.sum(F.coalesce(F.col("v"), F.lit(0.0)) * x).alias("linear")]
+    if model.num_factor > _NAMED_FACTORS:
+        joined = lookup_join(entries, model.factors.select("col", "v", "m"), ["col"], model.bytes(), "left")
+        scaled = _scaled_factors(model, x)
+        aggs += [vector_sum(scaled).alias("s"), F.sum(_square(scaled)).alias("squares")]
+    else:
+        joined = join_model(entries, model)
+        ms = [F.coalesce(F.col(f"m{f}"), F.lit(0.0)) for f in range(model.num_factor)]
+        aggs += [F.sum(m * x).alias(f"s{f}") for f, m in enumerate(ms)]
+        aggs.append(F.sum(x * x * total([m * m for m in ms])).alias("squares"))
+    return joined.groupBy(*keys).agg(*aggs, *extra).drop("_point")
+
+
+def factor_vector(num_factor: int) -> Column:
+    """The factor sums of `row_parts` as one array."""
+    return F.col("s") if num_factor > _NAMED_FACTORS else F.array(*[F.col(f"s{f}") for f in range(num_factor)])
+
+
+def row_value(model: Model, k0: bool = True, k1: bool = True) -> Column:
+    """The model equation over the columns of `row_parts`."""
+    if model.num_factor <= _NAMED_FACTORS:
+        return equation(model.c, model.num_factor, k0, k1)
+    pair = F.lit(0.5) * (_square(F.col("s")) - F.col("squares"))
+    return F.lit(float(model.c) if k0 else 0.0) + (F.col("linear") if k1 else F.lit(0.0)) + pair
 
 
 def numbered_points(data: DataFrame) -> DataFrame:
@@ -90,7 +141,7 @@ def predict(data: DataFrame, model: Model, k0: bool = True, k1: bool = True,
     """(row_id, prediction) for cells, points, or rows with a dense `features` array. Target cells
     may be present and are ignored; a row without any feature predicts c."""
     parts = row_parts(data, model, keep)
-    return parts.select("row_id", equation(model.c, model.num_factor, k0, k1).alias("prediction"))
+    return parts.select("row_id", row_value(model, k0, k1).alias("prediction"))
 
 
 def predict_with(data: DataFrame, model: Model) -> DataFrame:
@@ -99,13 +150,18 @@ def predict_with(data: DataFrame, model: Model) -> DataFrame:
     return predict(data, model, **flags, keep=str(model.params.get("keep", "positive")))
 
 
+def _has_target() -> Column:
+    """NaN is no target, as in training."""
+    return F.col("target").isNotNull() & ~F.isnan("target")
+
+
 def scored_rows(cells: DataFrame, model: Model, k0: bool = True, k1: bool = True,
                 keep: str = "positive") -> DataFrame:
-    """(row_id, prediction, target): one aggregate over the cells. Rows without a target are left out."""
+    """(row_id, prediction, target): one aggregate over the cells. Rows without a target, or with NaN, are left out."""
     is_target = F.col("col") == model.num_attribute
     parts = row_parts(cells, model, keep, [F.max(F.when(is_target, F.col("val"))).alias("target")])
-    return (parts.filter(F.col("target").isNotNull())
-            .select("row_id", equation(model.c, model.num_factor, k0, k1).alias("prediction"), "target"))
+    return (parts.filter(_has_target())
+            .select("row_id", row_value(model, k0, k1).alias("prediction"), "target"))
 
 
 def rmse_of(scored: DataFrame) -> DataFrame:
@@ -119,5 +175,5 @@ def rmse(data: DataFrame, model: Model, k0: bool = True, k1: bool = True, keep:
         entries = (numbered_points(data).select("row_id", "_point", "target", F.explode_outer("features").alias("e"))
                    .select("row_id", "_point", "target", F.col("e.col").alias("col"), F.col("e.val").alias("val")))
         parts = row_parts(entries, model, keep, [F.max("target").alias("target")])
-        return rmse_of(parts.select(equation(model.c, model.num_factor, k0, k1).alias("prediction"), "target"))
+        return rmse_of(parts.filter(_has_target()).select(row_value(model, k0, k1).alias("prediction"), "target"))
     return rmse_of(scored_rows(data, model, k0, k1, keep))

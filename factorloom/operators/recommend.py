@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factorloom.model import Model
-from factorloom.operators.predict import equation, row_parts
+from factorloom.operators.predict import factor_vector, row_parts, row_value
 from factorloom.plans.runtime import cut_lineage
 from factorloom.plans.topk import best_matches, top_k
 
@@ -17,23 +17,16 @@ def recommend_items(query_cells: DataFrame, items: DataFrame, model: Model, k: i
 
     query_cells hold user and context cells without an item; items(col) are the item columns. For a
     one-hot item i the score is y(query) + v_i + sum_f s_f m_fi, so each query is reduced to one
-    number and one vector first, which are written once. `seen`(row_id, col) pairs are left out of the
-    answer."""
+    number and one vector first, which are written once. `seen`(row_id, col) pairs are left out
+    where they would be scored. A query that has seen all items has no answer."""
     parts = row_parts(query_cells, model)
-    factor_sums = F.array(*[F.col(f"s{f}") for f in range(model.num_factor)])
-    queries = parts.select(F.col("row_id").alias("qid"), factor_sums.alias("qvec"),
-                           equation(model.c, model.num_factor, k0, k1).alias("base"))
+    queries = parts.select(F.col("row_id").alias("qid"), factor_vector(model.num_factor).alias("qvec"),
+                           row_value(model, k0, k1).alias("base"))
     candidates = model.factors.join(items.select("col").distinct(), "col", "left_semi").select(
         F.col("col").alias("item"), F.col("m").alias("vec"), (F.col("v") if k1 else F.lit(0.0)).alias("bias"))
-    if seen is None:
-        found = best_matches(cut_lineage(queries), candidates, k)
-    else:
-        # Of the best k + (items seen by the query) at least k are unseen.
-        pairs = seen.select(F.col("row_id").alias("qid"), F.col("col").alias("item")).distinct()
-        counts = pairs.groupBy("qid").agg(F.count(F.lit(1)).alias("extra"))
-        queries = queries.join(counts, "qid", "left").withColumn("extra", F.coalesce("extra", F.lit(0).cast("bigint")))
-        found = best_matches(cut_lineage(queries), candidates, k).join(pairs, ["qid", "item"], "left_anti")
-    best = top_k(found.drop("extra"), ["qid"], [F.desc("score"), F.asc("item")], k, "item")
+    pairs = None if seen is None else seen.select(F.col("row_id").alias("qid"), F.col("col").alias("item"))
+    found = best_matches(cut_lineage(queries), candidates, k, seen=pairs)
+    best = top_k(found, ["qid"], [F.desc("score"), F.asc("item")], k, "item")
     return best.select(F.col("qid").alias("row_id"), "rank", "item", "score")
 
 

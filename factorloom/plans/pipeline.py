@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factorloom.model import Model
-from factorloom.operators.cells import block_metadata
+from factorloom.operators.cells import block_metadata, choose_columns
 from factorloom.operators.predict import predict_with, rmse
-from factorloom.operators.similarity import column_similarities, similar_columns, similar_nested, similars_json
+from factorloom.operators.similarity import column_similarities, similar_columns, similar_nested, similar_to, similars_json
 from factorloom.plans.topk import top_k
 from factorloom.operators.train import TRAINERS
 from factorloom.params import FMParams
-from factorloom.plans.runtime import cut_lineage
+from factorloom.plans.runtime import cut_lineage, stage
 from factorloom.sources import stores
 
 
@@ -28,15 +28,15 @@ def train_model(spark: SparkSession, cells: DataFrame, params: FMParams | dict,
     measured = cells if holdout is None else holdout
     if options.get("on_duplicate") == "max":  # what it was trained on
         measured = measured.groupBy("row_id", "col").agg(F.max("val").alias("val"))
-    error = rmse(measured, model, params.k0, params.k1).first()["rmse"]
+    error = rmse(measured, model, params.k0, params.k1, params.keep).first()["rmse"]
     model = model.with_(rmse=error, blocks=cut_lineage(block_metadata(cells)), params=params.to_map())
     version = stores.now_millis()
     path = stores.save_model(model, base, params.name, version)
     stores.register(spark, base, uid, params.name, stores.MODEL, path, version)
     if with_similarity:
-        limit = {}
         if similarity_threshold is not None:
             sim = column_similarities(model.factors, similarity_threshold)
+            limit = {"total": 0, "model": path}
         else:
             best = similar_columns(model.factors, similarity_total, start=0, end=model.num_attribute)
             sim = best.select(F.col("col").alias("i"), F.col("other").alias("j"), "score")
@@ -55,15 +55,20 @@ def score(spark: SparkSession, data: DataFrame, base: str, uid: str, name: str)
 def similar(spark: SparkSession, base: str, uid: str, name: str, total: int, columns: list[int] | None = None,
             start: int | None = None, end: int | None = None) -> DataFrame:
     """(col, json): the `total` most similar columns of the selected ones, from the newest stored similarity table,
-    or from its model's factors if more are asked for than the table has a column. Raises if none is registered or no column is selected."""
+    or from its model's factors where more are asked for than the table has for a column. Raises if none is registered or no column is selected."""
     path = stores.resolve(spark, base, uid, name, stores.MATRIX)
-    if columns is None:
-        if start is None or end is None:
-            raise ValueError("No columns are selected: give a list of columns, or start and end.")
-        columns = list(range(int(start), int(end) + 1))
+    if columns is None and (start is None or end is None):
+        raise ValueError("No columns are selected: give a list of columns, or start and end.")
     limit = stores.similarity_limit(spark, path)
-    if limit is not None and total > limit[0]:
-        return similars_json(similar_nested(similar_columns(stores.load_model(spark, limit[1]).factors, total, columns)))
-    found = stores.load_similarity(spark, path, columns).select(F.col("i").alias("col"), F.col("j").alias("other"), "score")
+    factors = None if limit is None or total <= limit[0] else stores.load_model(spark, limit[1]).factors
+    if factors is not None and limit[0] > 0:
+        return similars_json(similar_nested(similar_columns(factors, total, columns, start, end)))
+    found = stores.load_similarity(spark, path, columns, start, end).select(F.col("i").alias("col"), F.col("j").alias("other"), "score")
     best = top_k(found, ["col"], [F.desc("score"), F.asc("other")], total, "other")
+    if factors is not None:
+        # Of a table above a threshold, columns with enough partners are answered; the others are searched.
+        best = stage(best, "stored")
+        whole = best.filter(F.col("rank") == total).select("col")
+        others = choose_columns(factors.select("col", "m"), columns, start, end).join(whole, "col", "left_anti")
+        best = best.join(whole, "col", "left_semi").unionByName(similar_to(others, factors, total), allowMissingColumns=True)
     return similars_json(similar_nested(best))

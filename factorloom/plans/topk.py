@@ -23,6 +23,8 @@ _MAX_WIDTH = 20_000
 _PAIR_ROWS = 3300
 _SCORE_BYTES = 32 << 20
 _SLAB = 4096
+# Pairs to be left out that a task of `best_matches` meets on average at most, about 64 MB.
+_SEEN_PAIRS = 4_000_000
 
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int | Column, tie: str) -> DataFrame:
@@ -47,29 +49,37 @@ def _scores(q: np.ndarray, vecs: np.ndarray, how: str) -> np.ndarray:
     return -np.sqrt(((q[:, None, :] - vecs[None, :, :]) ** 2).sum(axis=2))
 
 
-def _best_in_chunk(q, base, take, ids, vecs, bias, how, digits):
+def _best_in_chunk(q, base, take, ids, vecs, bias, how, digits, gone=None):
     """(query line, item, score) of the best `take` items per query, among items sorted by falling
     length. A query is done when no item that is left can reach its last place: a dot product is at
     most the product of the lengths. By distance, items come in balls around pivots; a query skips a ball that
-    is farther away than its last place, by the triangle inequality."""
+    is farther away than its last place, by the triangle inequality. `gone`: (query lines, places of items), sorted by
+    place, of pairs that are no answers; for how="dot" only."""
     if how == "distance":
         return _nearest_in_chunk(q, take, ids, vecs, bias, base, digits)
+    gone_lines, gone_places = (np.zeros(0, int), np.zeros(0, int)) if gone is None else gone
     lengths, reach = np.linalg.norm(q, axis=1), np.linalg.norm(vecs, axis=1)
     most = int(take.max())
     best = np.full((len(q), most), -np.inf)
     alive = np.arange(len(q))
-    lines, items, scores = [], [], []
+    row_of = np.arange(len(q))
+    lines, items, scores = [np.zeros(0, int)], [ids[:0]], [np.zeros(0)]
     for at in range(0, len(ids), _SLAB):
         if at and how == "dot":
             limit = base[alive] + lengths[alive] * reach[at] + bias[at:].max()
             alive = alive[limit + 1e-8 * (1 + np.abs(limit)) >= best[alive].min(axis=1)]
+            row_of = np.full(len(q), -1)
+            row_of[alive] = np.arange(len(alive))
         if not len(alive):
             break
         slab = slice(at, at + _SLAB)
         table = np.round(_scores(q[alive], vecs[slab], how) + bias[slab] + base[alive][:, None], digits) + 0.0
+        first, last = np.searchsorted(gone_places, [at, at + _SLAB])
+        rows = row_of[gone_lines[first:last]]
+        table[rows[rows >= 0], gone_places[first:last][rows >= 0] - at] = -np.inf
         both = np.concatenate([best[alive], table], axis=1)
         best[alive] = -np.partition(-both, most - 1, axis=1)[:, :most]
-        line, col = np.nonzero(table >= best[alive].min(axis=1)[:, None])
+        line, col = np.nonzero((table >= best[alive].min(axis=1)[:, None]) & (table > -np.inf))
         lines.append(alive[line])
         items.append(ids[slab][col])
         scores.append(table[line, col])
@@ -139,28 +149,53 @@ def _chunk_rows(vectors: DataFrame) -> tuple[int, int]:
     return sizes["n"], max(1, _CHUNK_BYTES // (8 * ((sizes["dims"] or 1) + 3)))
 
 
-def _blocks(queries: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _blocks(queries: DataFrame, items: DataFrame, seen: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Cut both sides into chunks of bounded bytes and copy each chunk once per chunk of the other
-    side. Chunks are big, so there are few copies."""
+    side. Chunks are big, so there are few copies. A pair of `seen`(qid, item) goes to the one task that scores it,
+    among the items, with its `qid`; queries are cut so fine that a task meets _SEEN_PAIRS of them on average at most."""
     cores = queries.sparkSession.sparkContext.defaultParallelism
     n_items, rows = _chunk_rows(items)
     n_queries = queries.count()
     item_chunks = max(1, -(-n_items // rows))
     # Small inputs are cut finer, to give every core something to do.
     query_chunks = max(1, -(-n_queries // rows), min(-(-n_queries // 64), -(-2 * cores // item_chunks)))
+    if seen is not None:
+        query_chunks = max(query_chunks, -(-seen.count() // (_SEEN_PAIRS * item_chunks)))
     groups = min(_MAX_WIDTH, item_chunks * query_chunks)
 
     def copies(n: int) -> Column:
         return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
 
-    left = (queries.withColumn("_qc", F.pmod(F.xxhash64("qid"), F.lit(query_chunks)))
-            .withColumn("_ic", copies(item_chunks)))
-    right = (items.withColumn("_ic", F.pmod(F.xxhash64("item"), F.lit(item_chunks)))
-             .withColumn("_qc", copies(query_chunks)))
+    query_chunk = F.pmod(F.xxhash64("qid"), F.lit(query_chunks))
+    item_chunk = F.pmod(F.xxhash64("item"), F.lit(item_chunks))
+    left = queries.withColumn("_qc", query_chunk).withColumn("_ic", copies(item_chunks))
+    right = items.withColumn("_ic", item_chunk).withColumn("_qc", copies(query_chunks))
+    if seen is not None:
+        pairs = seen.filter("item IS NOT NULL AND qid IS NOT NULL").select(
+            "item", "qid", item_chunk.alias("_ic"), query_chunk.alias("_qc"), F.lit(True).alias("pair"))
+        # No nulls among the ids: pandas would hold them as floats.
+        right = (right.withColumn("qid", F.lit(0).cast("bigint")).withColumn("pair", F.lit(False))
+                 .unionByName(pairs, allowMissingColumns=True))
     # The explicit width keeps small inputs from being merged into one task.
     return left.repartition(groups, "_qc", "_ic"), right.repartition(groups, "_qc", "_ic")
 
 
+def _gone(qids: np.ndarray, ids: np.ndarray, seen: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(query lines, places in ids) of the pairs seen(qid, item), sorted by place. Equal qids are all met; pairs of
+    unknown queries or items are none."""
+    order = np.argsort(ids, kind="stable")
+    at = np.minimum(np.searchsorted(ids[order], seen["item"].to_numpy()), len(ids) - 1)
+    known = ids[order][at] == seen["item"].to_numpy()
+    places, wanted = order[at[known]], seen["qid"].to_numpy()[known]
+    by_qid = np.argsort(qids, kind="stable")
+    first, last = (np.searchsorted(qids[by_qid], wanted, side) for side in ("left", "right"))
+    times = last - first
+    steps = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    lines, places = by_qid[np.repeat(first, times) + steps], np.repeat(places, times)
+    by_place = np.argsort(places, kind="stable")
+    return lines[by_place], places[by_place]
+
+
 def _slice(n_items: int, dims: int, how: str) -> int:
     """How many queries to score at a time."""
     per_query = 8 * n_items * (dims if how == "distance" else 1)
@@ -168,39 +203,40 @@ def _slice(n_items: int, dims: int, how: str) -> int:
 
 
 def best_matches(queries: DataFrame, items: DataFrame, k: int, how: str = "dot",
-                 digits: int = 9) -> DataFrame:
+                 digits: int = 9, seen: DataFrame | None = None) -> DataFrame:
     """For every query the k best items by base + bias + <qvec, vec> (how="dot") or by minus the
     Euclidean distance (how="distance"). Exact.
 
-    queries(qid, qvec, base [, extra]) and items(item, vec, bias). Both sides are cut into chunks of
-    bounded size; a task meets one chunk of each, and keeps only the best k (+ extra) per query, so
-    pairs are never written out. Items too short to reach a query's last place are not scored. Scores are rounded to `digits`, ties go to the smaller item."""
-    if "extra" not in queries.columns:
-        queries = queries.withColumn("extra", F.lit(0).cast("bigint"))
+    queries(qid, qvec, base) and items(item, vec, bias). Both sides are cut into chunks of
+    bounded size; a task meets one chunk of each, and keeps only the best k per query, so
+    pairs are never written out. Items too short to reach a query's last place are not scored. Pairs of
+    `seen`(qid, item) are no answers: the task that would score them leaves them out, so a chunk sends k rows a query
+    however many it has seen. Scores are rounded to `digits`, ties go to the smaller item."""
+    if seen is not None and how != "dot":
+        raise ValueError("Pairs that were seen can be left out for how='dot' only.")
 
     def kernel(q: pd.DataFrame, i: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"qid": np.zeros(0, "int64"), "item": np.zeros(0, "int64"), "score": np.zeros(0),
-                             "extra": np.zeros(0, "int64")})]
+        out = [pd.DataFrame({"qid": np.zeros(0, "int64"), "item": np.zeros(0, "int64"), "score": np.zeros(0)})]
+        known, i = (i[i["pair"]], i[~i["pair"]]) if "pair" in i else (i.iloc[:0], i)
         if len(q) and len(i):
             ids, vecs, bias = i["item"].to_numpy(), _matrix(i["vec"]), i["bias"].to_numpy()
             # Long vectors first: what is left can then be bounded.
             order = np.argsort(-np.linalg.norm(vecs, axis=1))
             chunk = ids[order], vecs[order], bias[order]
-            most = int(min(k + q["extra"].max(), len(ids)))
+            most = min(k, len(ids))
+            lines, places = _gone(q["qid"].to_numpy(), chunk[0], known) if len(known) else (np.zeros(0, int), np.zeros(0, int))
             step = _slice(min(_SLAB, len(ids)) + most, vecs.shape[1], how)
             for start in range(0, len(q), step):
                 part = q.iloc[start:start + step]
-                extra = part["extra"].to_numpy()
-                line, item, score = _best_in_chunk(_matrix(part["qvec"]), part["base"].to_numpy(),
-                                                   np.minimum(k + extra, len(ids)), *chunk, how, digits)
-                out.append(pd.DataFrame({"qid": part["qid"].to_numpy()[line], "item": item, "score": score,
-                                         "extra": extra[line]}))
+                mine = (lines >= start) & (lines < start + step)
+                line, item, score = _best_in_chunk(_matrix(part["qvec"]), part["base"].to_numpy(), np.full(len(part), most),
+                                                   *chunk, how, digits, (lines[mine] - start, places[mine]))
+                out.append(pd.DataFrame({"qid": part["qid"].to_numpy()[line], "item": item, "score": score}))
         return pd.concat(out)
 
-    left, right = _blocks(queries.select("qid", "qvec", "base", "extra"), items.select("item", "vec", "bias"))
-    found = (left.groupBy("_qc", "_ic").cogroup(right.groupBy("_qc", "_ic"))
-             .applyInPandas(kernel, "qid bigint, item bigint, score double, extra bigint"))
-    return found
+    left, right = _blocks(queries.select("qid", "qvec", "base"), items.select("item", "vec", "bias"), seen)
+    return (left.groupBy("_qc", "_ic").cogroup(right.groupBy("_qc", "_ic"))
+            .applyInPandas(kernel, "qid bigint, item bigint, score double"))
 
 
 # Balls of the index: about this many vectors each, and at most this many centres.

@@ -1,3 +1,7 @@
+import re
+from collections import Counter
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,3 +132,18 @@ def test_two_sets_in_a_row_are_valid(spark):
 
     assert found()["set_sum"] == 0 and found(dictionary=dictionary)["set_sum"] == 2
     assert found()["not_a_number"] == 0
+
+
+def test_rules_on_rows_exchange_the_cells_once(spark, monkeypatch):
+    """By ranges, so that a row with most of all cells is dealt to several tasks; its report is that of brute force."""
+    rng = np.random.default_rng(4)
+    lines = [(0, int(c), "context_categorical_set", 0.001) for c in rng.permutation(3000)]
+    lines += [(r, int(c), "user", 1.0) for r in range(1, 400) for c in rng.integers(0, 3000, 3)] + [(r, 3000, "label", 1.0) for r in range(390)]
+    cells = spark.createDataFrame(lines, schema.CELLS).repartition(7)
+    got = report(cx.check_cells(cells))
+    pairs = Counter((r, c) for r, c, *_ in lines)
+    assert got["duplicate_cell"] == sum(n > 1 for n in pairs.values())
+    assert got["missing_target"] == 10 and got["set_sum"] == 0
+    plan = cx.check_cells(cells)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("rangepartitioning(row_id") == 1 and "hashpartitioning(row_id#" in plan
+    assert not re.search(r"hashpartitioning\(row_id#\d+L?, col#", plan)

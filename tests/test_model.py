@@ -345,3 +345,27 @@ def test_params():
         FMParams.from_map(values)
     with pytest.raises(ValueError):
         FMParams.from_map({**PARAMS.to_map(), "k0": "maybe"})
+
+
+def test_vectors_give_the_named_sums(spark, cells, model, monkeypatch):
+    """The same predictions, errors and recommendations with the factor sums as arrays, and no column a factor in the plan."""
+    named = {r["row_id"]: r for r in pr.factor_sums(cells, model).collect()}
+    for r in pr.factor_vectors(cells, model).collect():
+        n = named[r["row_id"]]
+        assert [r["linear"], *r["s"], *r["q"]] == pytest.approx([n["linear"], n["s0"], n["s1"], n["q0"], n["q1"]], abs=1e-12)
+    negative = cells.withColumn("val", F.when(F.col("col") == 4, -F.col("val")).otherwise(F.col("val")))
+    want = {keep: (pr.predict(negative, model, keep=keep).collect(), pr.rmse(negative, model, keep=keep).first()[0])
+            for keep in ("positive", "nonzero")}
+    monkeypatch.setattr(pr, "_NAMED_FACTORS", 1)
+    for keep, (rows, error) in want.items():
+        got = {r["row_id"]: r["prediction"] for r in pr.predict(negative, model, keep=keep).collect()}
+        assert got == pytest.approx({r["row_id"]: r["prediction"] for r in rows}, abs=1e-12)
+        assert pr.rmse(negative, model, keep=keep).first()[0] == pytest.approx(error, abs=1e-12)
+    plan = pr.predict(cells, model)._jdf.queryExecution().executedPlan().toString()
+    assert "s1" not in plan and "m1" not in plan and "partial_" in plan
+
+
+def test_a_target_that_is_no_number_is_left_out_of_the_error(spark, cells, model):
+    bad = cells.withColumn("val", F.when((F.col("row_id") == 2) & (F.col("col") == 5), float("nan")).otherwise(F.col("val")))
+    without = pr.rmse(cells.filter("row_id <> 2"), model).first()[0]
+    assert pr.rmse(bad, model).first()[0] == pytest.approx(without, abs=1e-12)

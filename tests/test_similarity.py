@@ -218,3 +218,35 @@ def test_nearest_by_distance_skips_far_balls():
         order = np.lexsort((np.arange(len(vecs)), -exact[k]))[:5]
         assert item[line == k].tolist() == order.tolist() and score[line == k].tolist() == exact[k][order].tolist()
     assert topk.VISITED[0] < topk.VISITED[1]
+
+
+def test_seen_items_are_met_in_the_tasks_that_score_them(spark, monkeypatch):
+    """One user has seen 100,000 of 100,003 items, ids beyond 2^53 stay exact, and a chunk sends at most k rows a query."""
+    monkeypatch.setattr(topk, "_CHUNK_BYTES", 8 * 5 * 20_000)
+    monkeypatch.setattr(topk, "_SEEN_PAIRS", 30_000)
+    n, user, other = 100_003, (1 << 60) + 1, (1 << 60) + 2
+    items = spark.range(n).select(F.col("id").alias("item"), F.array((F.col("id") % 977).cast("double"), F.lit(1.0)).alias("vec"),
+                                  F.lit(0.0).alias("bias"))
+    queries = spark.createDataFrame([(user, [1.0, 0.0], 0.5), (other, [1.0, 0.0], 0.5), (7, [-1.0, 0.0], 0.0)],
+                                    "qid bigint, qvec array<double>, base double")
+    pairs = spark.range(3, n).select(F.lit(user).cast("bigint").alias("qid"), F.col("id").alias("item"))
+    odd = spark.createDataFrame([(user, None), (None, 1), (5, 2), (7, 0), (user, -4), (user, 50)], "qid bigint, item bigint")
+    found = topk.best_matches(queries, items, 2, seen=pairs.unionByName(odd)).collect()
+    chunks = -(-n // (topk._CHUNK_BYTES // (8 * 5)))
+    assert len(found) <= 3 * 2 * chunks
+    best = {}
+    for r in sorted(found, key=lambda r: (-r["score"], r["item"])):
+        best.setdefault(r["qid"], []).append((r["item"], r["score"]))
+    assert best[user] == [(2, 2.5), (1, 1.5), (0, 0.5)][:len(best[user])] and len(best[user]) >= 2
+    assert best[other][:2] == [(976, 976.5), (1953, 976.5)]
+    assert best[7][:2] == [(977, 0.0), (1954, 0.0)]
+    with pytest.raises(ValueError):
+        topk.best_matches(queries, items, 2, "distance", seen=pairs)
+
+
+def test_query_that_has_seen_everything_has_no_answer(spark, model, cells):
+    queries = cells.filter("cat not in ('item', 'label')")
+    items = cells.filter("cat = 'item'").select("col").distinct()
+    seen = items.select(F.lit(1).cast("bigint").alias("row_id"), "col")
+    got = rc.recommend_items(queries, items, model, 2, seen=seen).collect()
+    assert {r["row_id"] for r in got} == {2, 3} and len(got) == 4

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from conftest import tiny_lines
 from pyspark.sql import functions as F
@@ -175,3 +177,35 @@ def test_stream_scores_like_the_table(spark, tmp_path, cells, model):
     jobs.score_stream(stream, model, out, str(tmp_path / "offsets")).awaitTermination()
     got = {r["row_id"]: r["prediction"] for r in spark.read.parquet(out).collect()}
     assert got == pytest.approx({1: 0.155, 2: 0.5525, 3: 0.325})
+
+
+def test_a_column_is_read_from_one_folder_of_each_copy(spark, tmp_path):
+    """Both sides of a pair are found by pruned folders, a range is no list, and two scores of a pair give one partner."""
+    pairs = [(i, j, round(1 / (i + j), 9)) for i in range(40) for j in range(i + 1, 40)] + [(9, 3, 0.083333334)]
+    sim = spark.createDataFrame(pairs, "i bigint, j bigint, score double")
+    path = stores.save_similarity(sim, str(tmp_path), "tiny", 1)
+    some = stores.load_similarity(spark, path, [3])
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"PartitionFilters: \[[^\]]*bucket#\d+ = 3", plan)) == 2
+    assert len(some.collect()) == 39 and some.filter("j = 9").first()["score"] == 0.083333334
+    ranged = stores.load_similarity(spark, path, start=2, end=3)
+    assert rows(ranged) == rows(stores.load_similarity(spark, path, [2, 3]))
+    assert len(str(stores.load_similarity(spark, path, start=0, end=10 ** 9)._jdf.queryExecution())) < 20_000
+
+
+def test_records_sent_again_are_stored_once(spark, tmp_path, cells):
+    arrivals, target = str(tmp_path / "arrivals"), str(tmp_path / "target")
+    at = cells.withColumn("sent", F.timestamp_seconds(F.col("row_id") * 60))
+    for batch in ("row_id < 3", "row_id > 1", "row_id = 1"):
+        again = at.filter(batch)
+        again.unionByName(again).write.mode("append").parquet(arrivals)
+        stream = jobs.cell_stream(spark, arrivals, event_time="sent")
+        jobs.append_stream(stream, target, str(tmp_path / "offsets"), "sent", "1 hour").awaitTermination()
+    assert rows(spark.read.parquet(target)) == rows(cells)
+
+
+def test_parameters_keep_their_rule_of_values():
+    values = {"name": "t", "init_mean": "0", "init_stdev": "1", "num_partitions": "1", "num_attribute": "", "num_factor": "2",
+              "num_iter": "1", "learn_rate": "0.1", "k0": "true", "k1": "true", "reg_c": "0", "reg_v": "0", "reg_m": "0"}
+    assert FMParams.from_map(values).keep == "positive"
+    assert FMParams.from_map(FMParams.from_map({**values, "keep": "nonzero"}).to_map() | {"num_attribute": ""}).keep == "nonzero"

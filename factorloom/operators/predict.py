@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +13,8 @@ from factorloom.plans.joins import lookup_join
 from factorloom.functions.random import hashed_gaussian
 
 _ROWS_PER_TASK = 250_000
-# Models of more factors are summed as vectors. Up to here one column a factor is faster, as it stays in generated code.
+# Models of more factors are summed in blocks of so many, a line each: the width of the plan does not grow with them, and
+# the sums stay in generated code.
 _NAMED_FACTORS = 32
 
 
@@ -45,30 +44,45 @@ def _value(model: Model, keep: str) -> Column:
     return F.when(inside, F.col("val")).otherwise(0.0)
 
 
-def vector_sum(values: Column) -> Column:
-    """The element-wise sum of arrays of one length over a group: partial sums of one vector in the map tasks, as many
-    columns in the plan as for one number."""
-    return vector_to_array(Summarizer.sum(array_to_vector(values)))
+def _square(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda s, y: s + y * y)
 
 
-def _scaled_factors(model: Model, x: Column) -> Column:
-    """The factors of an entry times its value; zeros for entries without weights."""
-    zeros = F.array_repeat(F.lit(0.0), model.num_factor)
-    return F.transform(F.coalesce(F.col("m"), zeros), lambda m: m * x)
+def _blocks(model: Model) -> DataFrame:
+    """The factors in blocks of _NAMED_FACTORS, (col, block, v, m0, m1 ...), the last one filled up with zeros. The linear
+    weight stands in block 0."""
+    width = _NAMED_FACTORS
+    count = max(1, -(-model.num_factor // width))
+    parts = F.posexplode(F.array(*[F.slice("m", 1 + b * width, width) for b in range(count)]))
+    blocks = model.factors.select("col", "v", parts.alias("block", "part"))
+    ms = [F.coalesce(F.get("part", F.lit(f)), F.lit(0.0)).alias(f"m{f}") for f in range(width)]
+    return blocks.select("col", "block", F.when(F.col("block") == 0, F.col("v")).otherwise(0.0).alias("v"), *ms)
 
 
-def _square(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0.0), lambda s, y: s + y * y)
+def _block_sums(entries: DataFrame, model: Model, keys: list[str], keep: str, squares: bool, extra: list[Column]) -> DataFrame:
+    """Per key: linear sum, the array s of all factor sums, and the array q of the sums of squares if `squares`, else their
+    total; `extra` are maxima. Rows without weights have zeros."""
+    x, width = _value(model, keep), _NAMED_FACTORS
+    joined = lookup_join(entries, _blocks(model), ["col"], model.bytes(), "left")
+    ds = [F.coalesce(F.col(f"m{f}"), F.lit(0.0)) * x for f in range(width)]
+    aggs = [F.sum(F.coalesce(F.col("v"), F.lit(0.0)) * x).alias("linear"), *[F.sum(d).alias(f"s{f}") for f, d in enumerate(ds)]]
+    aggs += [F.sum(d * d).alias(f"q{f}") for f, d in enumerate(ds)] if squares else [F.sum(total([d * d for d in ds])).alias("squares")]
+    lines = joined.groupBy(*keys, F.coalesce("block", F.lit(0)).alias("block")).agg(*aggs, *extra)
+    names = [c for c in lines.columns if c not in {*keys, "block", "linear", "squares", *(f"{a}{f}" for a in "sq" for f in range(width))}]
+
+    def whole(name: str) -> Column:
+        parts = F.array_sort(F.collect_list(F.struct("block", F.array(*[F.col(f"{name}{f}") for f in range(width)]).alias("part"))))
+        found = F.flatten(F.transform(parts, lambda p: p["part"]))
+        return F.slice(F.concat(found, F.array_repeat(F.lit(0.0), model.num_factor)), 1, model.num_factor).alias(name)
+
+    sums = [whole("s"), whole("q")] if squares else [whole("s"), F.sum("squares").alias("squares")]
+    return lines.groupBy(*keys).agg(F.sum("linear").alias("linear"), *sums, *[F.max(c).alias(c) for c in names])
 
 
 def factor_vectors(data: DataFrame, model: Model, keep: str = "positive") -> DataFrame:
     """Per row: linear sum, and the sums s_f and sums of squares q_f of all factors as two arrays, for any number of
     factors. A row without features has zeros; repeated entries count each."""
-    x = _value(model, keep)
-    scaled = _scaled_factors(model, x)
-    return (lookup_join(to_cells(data), model.factors.select("col", "v", "m"), ["col"], model.bytes(), "left")
-            .groupBy("row_id").agg(F.sum(F.coalesce(F.col("v"), F.lit(0.0)) * x).alias("linear"), vector_sum(scaled).alias("s"),
-                                   vector_sum(F.transform(scaled, lambda y: y * y)).alias("q")))
+    return _block_sums(to_cells(data), model, ["row_id"], keep, True, [])
 
 
 def factor_sums(data: DataFrame, model: Model, keep: str = "positive") -> DataFrame:
@@ -84,21 +98,18 @@ def factor_sums(data: DataFrame, model: Model, keep: str = "positive") -> DataFr
 
 def row_parts(data: DataFrame, model: Model, keep: str = "positive", extra: list[Column] = ()) -> DataFrame:
     """Per row: linear sum, the factor sums, and one sum of squares over all factors. K + 2 partial sums. The factor
-    sums are columns s0..sK-1 up to _NAMED_FACTORS factors, and one array s beyond; `factor_vector` reads both."""
-    x = _value(model, keep)
+    sums are columns s0..sK-1 up to _NAMED_FACTORS factors, and one array s beyond; `factor_vector` reads both. `extra`
+    are maxima."""
     entries = data if "col" in data.columns else to_cells(numbered_points(data))
     keys = ["row_id", *(["_point"] if "_point" in entries.columns else [])]
-    aggs = [F.sum(F.coalesce(F.col("v"), F.lit(0.0)) * x).alias("linear")]
     if model.num_factor > _NAMED_FACTORS:
-        joined = lookup_join(entries, model.factors.select("col", "v", "m"), ["col"], model.bytes(), "left")
-        scaled = _scaled_factors(model, x)
-        aggs += [vector_sum(scaled).alias("s"), F.sum(_square(scaled)).alias("squares")]
-    else:
-        joined = join_model(entries, model)
-        ms = [F.coalesce(F.col(f"m{f}"), F.lit(0.0)) for f in range(model.num_factor)]
-        aggs += [F.sum(m * x).alias(f"s{f}") for f, m in enumerate(ms)]
-        aggs.append(F.sum(x * x * total([m * m for m in ms])).alias("squares"))
-    return joined.groupBy(*keys).agg(*aggs, *extra).drop("_point")
+        return _block_sums(entries, model, keys, keep, False, list(extra)).drop("_point")
+    x = _value(model, keep)
+    ms = [F.coalesce(F.col(f"m{f}"), F.lit(0.0)) for f in range(model.num_factor)]
+    aggs = [F.sum(F.coalesce(F.col("v"), F.lit(0.0)) * x).alias("linear")]
+    aggs += [F.sum(m * x).alias(f"s{f}") for f, m in enumerate(ms)]
+    aggs.append(F.sum(x * x * total([m * m for m in ms])).alias("squares"))
+    return join_model(entries, model).groupBy(*keys).agg(*aggs, *extra).drop("_point")
 
 
 def factor_vector(num_factor: int) -> Column:

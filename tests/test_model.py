@@ -348,11 +348,13 @@ def test_params():
 
 
 def test_vectors_give_the_named_sums(spark, cells, model, monkeypatch):
-    """The same predictions, errors and recommendations with the factor sums as arrays, and no column a factor in the plan."""
+    """The same predictions and errors with the factors in blocks of one, and no column a factor in the plan."""
     named = {r["row_id"]: r for r in pr.factor_sums(cells, model).collect()}
     for r in pr.factor_vectors(cells, model).collect():
         n = named[r["row_id"]]
         assert [r["linear"], *r["s"], *r["q"]] == pytest.approx([n["linear"], n["s0"], n["s1"], n["q0"], n["q1"]], abs=1e-12)
+    lonely = pr.factor_vectors(cells.filter("col = 5"), model).filter("row_id = 1").first()
+    assert (list(lonely["s"]), list(lonely["q"]), lonely["linear"]) == ([0.0, 0.0], [0.0, 0.0], 0.0)
     negative = cells.withColumn("val", F.when(F.col("col") == 4, -F.col("val")).otherwise(F.col("val")))
     want = {keep: (pr.predict(negative, model, keep=keep).collect(), pr.rmse(negative, model, keep=keep).first()[0])
             for keep in ("positive", "nonzero")}
@@ -362,7 +364,7 @@ def test_vectors_give_the_named_sums(spark, cells, model, monkeypatch):
         assert got == pytest.approx({r["row_id"]: r["prediction"] for r in rows}, abs=1e-12)
         assert pr.rmse(negative, model, keep=keep).first()[0] == pytest.approx(error, abs=1e-12)
     plan = pr.predict(cells, model)._jdf.queryExecution().executedPlan().toString()
-    assert "s1" not in plan and "m1" not in plan and "partial_" in plan
+    assert "s0#" in plan and "s1#" not in plan and "m1#" not in plan and "partial_sum" in plan
 
 
 def test_a_target_that_is_no_number_is_left_out_of_the_error(spark, cells, model):

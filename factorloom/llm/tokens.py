@@ -13,15 +13,20 @@ import re
 import numpy as np
 import public_tokenizers
 import tiktoken
+from tokenizers import Tokenizer
 
-RANKS = "byte_bpe_50k.tiktoken"
+RANKS, TOKENIZER = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
 _INNER_SPACE = re.compile(r".\s", re.S)
 
 
 class Encoder:
-    """Little-endian unsigned 32-bit ids of texts. `path` is a rank file; `keep` bounds the dictionary."""
+    """Little-endian unsigned 32-bit ids of texts. `path` is a rank file, `tokenizer` the file of the tokenizer it belongs
+    to; `keep` bounds the dictionary. A text that spells one of the tokenizer's added tokens is encoded by the tokenizer
+    itself, which gives that token its own id."""
 
-    def __init__(self, path: str | None = None, keep: int = 600_000):
+    def __init__(self, path: str | None = None, keep: int = 600_000, tokenizer: str | None = None):
+        self._whole = Tokenizer.from_file(tokenizer or public_tokenizers.path(TOKENIZER))
+        self._added = [t.content for t in self._whole.get_added_tokens_decoder().values()]
         with open(path or public_tokenizers.path(RANKS), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self._bpe = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -30,6 +35,8 @@ class Encoder:
         self._known: dict[str, bytes] = {}
 
     def _alone(self, text: str) -> bytes:
+        if any(t in text for t in self._added):
+            return np.array(self._whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return np.array(self._bpe.encode_ordinary(text), "<u4").tobytes()
 
     def _learn(self, chunks: list[str]) -> None:
@@ -49,7 +56,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as bytes."""
-        chunks = [None if "  " in t or t[-1:] == " " or "\0" in t else t.replace(" ", "\0 ").split("\0") for t in texts]
+        chunks = [None if "  " in t or t[-1:] == " " or "\0" in t or any(a in t for a in self._added) else t.replace(" ", "\0 ").split("\0") for t in texts]
         if len(self._known) > self._keep:
             self._known = {}
         self._learn(list(set().union(*(c for c in chunks if c is not None)).difference(self._known)))

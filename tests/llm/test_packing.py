@@ -13,14 +13,12 @@ from tokenizers import Tokenizer
 from factorloom.llm.packing import Packer, pack
 from factorloom.llm.tokens import Encoder
 
-LINES = ["", " ", "a", "The  two", "x \ny", "é ñ", "\n\n a", "don't 's 12ab!!", "a\t b", "end ", "<|endoftext|> x", "\0a b", "日本 😀"]
+LINES = ["", " ", "a", "The  two", "x \ny", "é ñ", "\n\n a", "don't 's 12ab!!", "a\t b", "end ", "<|endoftext|> x", "a <|endoftext|>", "a  <|endoftext|>\n\n<|endoftext|>b <|endoftext", "\0a b", "日本 😀"]
 
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    found = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def ids_of(tokenizer, text):
@@ -31,6 +29,7 @@ def test_ids_are_the_tokenizers(tokenizer):
     encoder = Encoder(keep=20)  # forgets again and again
     for _ in range(2):
         assert encoder.encode(LINES) == [ids_of(tokenizer, t) for t in LINES]
+    assert np.frombuffer(encoder.encode(["a <|endoftext|>"])[0], "<u4").tolist() == [64, 220, 50256]
 
 
 @settings(max_examples=150, deadline=None)

@@ -339,8 +339,40 @@ def test_counts_and_vocabulary(frame):
     got = {r["word"]: r["n"] for r in masked_lm.word_counts(frame(rows).repartition(4), keep=3).collect()}
     assert got == dict(want)
     v = masked_lm.build_vocabulary(frame(rows), max_words=3, buckets=4, n_classes=2)
-    mass = np.exp(v.share[1:].astype(float))
-    assert np.allclose(np.bincount(v.classes[1:], mass, 2), 1, atol=1e-5)
+    # The words of the corpus, and one unseen word for each bucket without any, have all the mass of their classes.
+    ids = [v.id_of(w) for w in want]
+    ids += sorted(set(range(1, v.size)) - set(ids))
+    assert len(ids) > v.size
+    assert np.allclose(np.bincount(v.classes[ids], np.exp(v.share[ids].astype(float)), 2), 1, atol=1e-5)
+
+
+def test_a_bucket_of_many_words_makes_none_of_them_likelier(frame):
+    few = [(i, "a b " + f"x{chr(97 + i)}") for i in range(4)]
+    many = few + [(9, " ".join(chr(97 + i) + chr(97 + k) + "q" for i in range(26) for k in range(26)))]
+    share = [masked_lm.build_vocabulary(frame(rows), max_words=2, buckets=1, n_classes=1) for rows in (few, many)]
+    assert share[1].share[share[1].id_of("xa")] < share[0].share[share[0].id_of("xa")]
+    assert masked_lm.Ids(masked_lm.build_vocabulary(frame(few), max_words=2, buckets=1 << 17)).of("zz y a").max() > 1 << 16
+
+
+def test_rows_of_one_token_teach_and_the_order_of_sums_does_not_matter(frame):
+    """Every place is trained on: rows of one to three tokens too. The sorted sums are those of single steps."""
+    df = frame([(i, "a") for i in range(40)])
+    start = masked_lm.fit(df, max_words=2, buckets=2, n_classes=2, rounds=0)
+    taught = masked_lm.fit(df, max_words=2, buckets=2, n_classes=2)
+    assert not np.array_equal(start.network.flat(), taught.network.flat())
+    rng = np.random.default_rng(0)
+    c, t = rng.integers(0, 5, (100, 4)).astype(np.int32), rng.integers(0, 3, 100)
+    net = masked_lm.Network.start(6, 3)
+    x, h = net.hidden(c)
+    p = np.exp(h @ net.w2 + net.b2)
+    p /= p.sum(1, keepdims=True)
+    p[np.arange(100), t] -= 1
+    dx = ((p / 100) @ net.w2.T * (1 - h * h) @ net.w1.T).reshape(-1, masked_lm.EMBED)
+    slow = net.embed.copy()
+    for word, step in zip(c.ravel(), dx):
+        slow[word] -= 0.5 * 4 * step
+    # The hidden layer of the pass is updated after its slopes are taken.
+    assert np.allclose(masked_lm.train_block(net, c, t, 0.5).embed, slow, atol=1e-5)
 
 
 def test_gradient_learns_and_probabilities_sum_to_one():
@@ -360,7 +392,7 @@ def test_gradient_learns_and_probabilities_sum_to_one():
 def test_scores(frame):
     rows = [(i, "the cat sat on the mat and the dog ran " * 4) for i in range(60)] + [(90, "mat dog the the on cat ran sat and the " * 4)] + ODD
     df = frame(rows).repartition(3)
-    model = masked_lm.fit(df, max_words=50, buckets=8, n_classes=8, share=1, rounds=3)
+    model = masked_lm.fit(df, max_words=50, buckets=8, n_classes=8, rounds=3)
     got = masked_lm.score(df, model).collect()
     assert len(got) == len(rows)
     by = {r["doc_id"]: r for r in got}

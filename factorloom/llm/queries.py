@@ -128,8 +128,8 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return masked_lm.score(docs, masked_lm.fit(docs))
+    """Log probabilities of all documents by the network trained on every place of them."""
+    return masked_lm.fit_and_score(table(spark, sf_dir, "documents"))
 
 
 @query

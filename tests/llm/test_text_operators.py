@@ -354,8 +354,8 @@ def test_a_bucket_of_many_words_makes_none_of_them_likelier(frame):
     assert masked_lm.Ids(masked_lm.build_vocabulary(frame(few), max_words=2, buckets=1 << 17)).of("zz y a").max() > 1 << 16
 
 
-def test_rows_of_one_token_teach_and_the_order_of_sums_does_not_matter(frame):
-    """Every place is trained on: rows of one to three tokens too. The sorted sums are those of single steps."""
+def test_rows_of_one_token_teach_and_sums_are_those_of_single_steps(frame):
+    """Every place is trained on: rows of one to three tokens too. The sums of a step are those of single words."""
     df = frame([(i, "a") for i in range(40)])
     start = masked_lm.fit(df, max_words=2, buckets=2, n_classes=2, rounds=0)
     taught = masked_lm.fit(df, max_words=2, buckets=2, n_classes=2)
@@ -403,3 +403,6 @@ def test_scores(frame):
                + float(model.vocabulary.share[ids[i]]) for i in range(len(ids)))
     assert by[90]["log_probability"] == pytest.approx(slow, rel=1e-4)
     assert masked_lm.score(frame([]), masked_lm.fit(frame([]))).count() == 0
+    both = masked_lm.fit_and_score(df, max_words=50, buckets=8, n_classes=8, rounds=3).collect()
+    assert sorted((r["doc_id"] or -1, r["n_tokens"]) for r in both) == sorted((r["doc_id"] or -1, r["n_tokens"]) for r in got)
+    assert masked_lm.fit_and_score(frame([])).count() == 0

@@ -4,9 +4,9 @@ Base rules look at one text: its length in words and the share of its words that
 The cross-document rule hashes normalised lines, counts in how many distinct documents of a host each occurs, and
 removes lines above the limit; a document that loses too many of its words is rejected as depleted.
 
-Copies are not boilerplate. Equal texts count as one document. Near copies also share their lines, but in the same
-surroundings, while boilerplate stands among ever different lines; so a line counts once for each pair of neighbour
-lines it has, and these contexts are what the limit is compared with.
+Copies are not boilerplate. Equal texts count as one document. Near copies share nearly all of their lines, so a text
+that consists mostly of lines others have too does not count for itself: all such texts with the same longest shared line
+count as one document. A group of near copies, however large, so adds a few documents to the count of a line.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factorloom.llm.common import SPACES, ascii_lower, row_key, text_of
+from factorloom.plans.joins import lookup_join, measured_bytes
+from factorloom.plans.runtime import stage
 
 SYMBOLS = "#*$%&|<>"
 
@@ -64,53 +66,72 @@ def normal_line(line: Column) -> Column:
     return ascii_lower(_trimmed(F.regexp_replace(line, "[\\x20\\x09-\\x0D]+", " ")))
 
 
+def host_key(host: str) -> Column:
+    """The host as a string that is never null; null hosts are one host, unlike all others."""
+    return F.coalesce(F.concat(F.lit("="), F.col(host).cast("string")), F.lit("-"))
+
+
 def document_lines(docs: DataFrame, text: str = "text", host: str = "source", id_col: str = "doc_id") -> DataFrame:
-    """(key, host, copy, pos, line, words, n_words, context) for every line with a word. key: the row; copy: its
-    text; pos: the line's number in the text; line and context: 64-bit hashes of the normalised line and of its two
-    neighbours; words and n_words: the words of the line and of the text."""
-    df = docs.select(row_key(id_col, host, text).alias("key"), F.col(host).alias("host"),
+    """(key, host, copy, n_words, pos, line, words) for every line with a word. key: the row; copy: its text; pos: the
+    line's number in the text; line: 64-bit hash of the normalised line; words and n_words: of the line and the text."""
+    df = docs.select(row_key(id_col, host, text).alias("key"), host_key(host).alias("host"),
                      F.xxhash64(text_of(text)).alias("copy"),
                      F.transform(F.split(text_of(text), "\n"), normal_line).alias("_n"))
     df = df.withColumn("_h", F.expr("filter(transform(_n, (x, i) -> struct(i AS pos, xxhash64(x) AS line, "
                                     "CASE WHEN x = '' THEN 0 ELSE 1 + length(x) - length(replace(x, ' ', '')) END AS words)), "
-                                    "x -> x.words > 0)"))
-    df = df.drop("_n").withColumn("_p", F.expr(
-        "transform(_h, (x, i) -> struct(x.pos AS pos, x.line AS line, x.words AS words, "
-        "xxhash64(get(_h, i - 1).line, get(_h, i + 1).line) AS context))"))
-    df = df.withColumn("n_words", F.expr("aggregate(_h, 0, (s, x) -> s + x.words)")).drop("_h")
+                                    "x -> x.words > 0)")).drop("_n")
+    df = df.withColumn("n_words", F.expr("aggregate(_h, 0, (s, x) -> s + x.words)"))
     # Outer, so that no filter on the array's size makes the scan compute it all a second time, inside out.
-    lines = df.select("key", "host", "copy", "n_words", F.explode_outer("_p").alias("p"))
+    lines = df.select("key", "host", "copy", "n_words", F.explode_outer("_h").alias("p"))
     return lines.filter("p IS NOT NULL").select("key", "host", "copy", "n_words", "p.*")
 
 
-def frequent_lines(lines: DataFrame, min_documents: int = 20, min_contexts: int = 50) -> DataFrame:
-    """(host, line) of the lines above the limits: found in at least `min_documents` distinct texts of the host, with
-    a different surrounding in at least `min_contexts` of 100 of them. Null hosts are one host."""
-    seen = lines.groupBy("host", "line", "copy").agg(F.min_by("context", "pos").alias("context"))
-    by_context = seen.groupBy("host", "line", "context").agg(F.count(F.lit(1)).alias("n"))
-    found = by_context.groupBy("host", "line").agg(F.sum("n").alias("documents"), F.count(F.lit(1)).alias("contexts"))
-    enough = (F.col("documents") >= min_documents) & (100 * F.col("contexts") >= min_contexts * F.col("documents"))
-    return found.filter(enough).select("host", "line")
+def shared_lines(lines: DataFrame, min_documents: int) -> DataFrame:
+    """(key, host, n_words, witness, lines) for every row with lines that `min_documents` distinct texts of its host have;
+    lines: an array of (pos, line, words) of those. witness: what the row counts as, its text, or if half or more of
+    its words are in such lines, the longest of them (of equal ones the first)."""
+    seen = lines.groupBy("host", "line", "copy").agg(F.count(F.lit(1)).alias("rows"))
+    often = seen.groupBy("host", "line").agg(F.count(F.lit(1)).alias("documents"), F.sum("rows").alias("rows"))
+    often = stage(often.filter(F.col("documents") >= min_documents), "shared")
+    hot = often.filter("rows > 10000").orderBy(F.desc("rows")).limit(4096).select("host", "line")
+    hit = lookup_join(lines, often.select("host", "line"), ["host", "line"], measured_bytes(often), "inner", hot)
+    found = hit.groupBy("key").agg(F.first("host").alias("host"), F.first("copy").alias("copy"), F.first("n_words").alias("n_words"),
+                                   F.collect_set(F.struct("pos", "line", "words")).alias("lines"))
+    words = F.expr("aggregate(lines, 0, (s, x) -> s + x.words)")
+    longest = F.expr("array_max(transform(lines, x -> struct(x.words, -x.pos, x.line AS line))).line")
+    own = 2 * words < F.col("n_words")
+    witness = F.struct(own.alias("own"), F.when(own, F.col("copy")).otherwise(longest).alias("id"))
+    return stage(found.select("key", "host", "n_words", witness.alias("witness"), "lines"), "hits")
+
+
+def frequent_lines(shared: DataFrame, docs: DataFrame, text: str = "text", host: str = "source", min_documents: int = 20,
+                   min_per_mille: int = 1) -> DataFrame:
+    """(host, line) of the lines above the limits: they have at least `min_documents` witnesses in the host, and one for
+    each thousand / `min_per_mille` distinct texts of it."""
+    each = shared.select("host", "witness", F.explode("lines.line").alias("line")).distinct()
+    counts = each.groupBy("host", "line").agg(F.count(F.lit(1)).alias("documents")).filter(F.col("documents") >= min_documents)
+    texts = docs.select(host_key(host).alias("host"), F.xxhash64(text_of(text)).alias("copy")).distinct()
+    total = texts.groupBy("host").agg(F.count(F.lit(1)).alias("texts"))
+    return counts.join(total, "host").filter(1000 * F.col("documents") >= min_per_mille * F.col("texts")).select("host", "line")
 
 
 def removals(docs: DataFrame, text: str = "text", host: str = "source", id_col: str = "doc_id",
-             min_share_left: int = 30, **limits) -> DataFrame:
+             min_share_left: int = 30, min_documents: int = 20, min_per_mille: int = 1) -> DataFrame:
     """(key, at, depleted): for each row that has frequent lines, the numbers of those lines, and whether less than
     `min_share_left` of 100 of its words are outside them. Rows equal in id, host and text have one key."""
-    lines = document_lines(docs, text, host, id_col)
-    bad = frequent_lines(lines, **limits)
-    hit = lines.alias("l").join(bad.alias("b"), F.col("l.host").eqNullSafe(F.col("b.host"))
-                                & (F.col("l.line") == F.col("b.line")))
-    once = hit.groupBy("key", "pos").agg(F.first("words").alias("words"), F.first("n_words").alias("n_words"))
-    found = once.groupBy("key").agg(F.collect_list("pos").alias("at"), F.sum("words").alias("gone"),
-                                    F.first("n_words").alias("n_words"))
+    shared = shared_lines(document_lines(docs, text, host, id_col), min_documents)
+    bad = stage(frequent_lines(shared, docs, text, host, min_documents, min_per_mille), "frequent")
+    each = shared.select("key", "host", "n_words", F.inline("lines"))
+    hit = lookup_join(each, bad, ["host", "line"], measured_bytes(bad), "inner")
+    found = hit.groupBy("key").agg(F.collect_list("pos").alias("at"), F.sum("words").alias("gone"),
+                                   F.first("n_words").alias("n_words"))
     depleted = 100 * (F.col("n_words") - F.col("gone")) < min_share_left * F.col("n_words")
     return found.select("key", "at", depleted.alias("depleted"))
 
 
 def judge(docs: DataFrame, text: str = "text", host: str = "source", id_col: str = "doc_id", **limits) -> DataFrame:
     """(id_col, base columns, kept) for every row: kept is false if the base rules fail or the row is depleted. Other
-    columns are not read; an empty table gives no rows; repeated rows all get the same verdict."""
+    columns are not read; an empty table gives no rows; null and empty texts fail; repeated rows all get the same verdict."""
     stats = base_stats(docs.select(id_col, row_key(id_col, host, text).alias("key"), text), text).drop(text)
     gone = removals(docs, text, host, id_col, **limits).filter("depleted").select("key", F.lit(True).alias("depleted"))
     judged = stats.join(gone, "key", "left")
@@ -118,11 +139,12 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", id_col: str
 
 
 def clean(docs: DataFrame, text: str = "text", host: str = "source", id_col: str = "doc_id", **limits) -> DataFrame:
-    """The kept rows of `docs`, all columns, their texts without the frequent lines."""
-    columns = docs.columns
-    passed = base_stats(docs.withColumn("_key", row_key(id_col, host, text)), text).filter(~F.col("base_failed"))
-    found = removals(docs, text, host, id_col, **limits).withColumnRenamed("key", "_key")
-    rows = passed.select(*columns, "_key").join(found.withColumnsRenamed({"at": "_at", "depleted": "_out"}), "_key", "left")
-    left = F.expr(f"array_join(filter(split(`{text}`, '\\n'), (x, i) -> NOT array_contains(_at, i)), '\\n')")
-    rows = rows.filter(F.coalesce(~F.col("_out"), F.lit(True)))
-    return rows.withColumn(text, F.when(F.col("_at").isNull(), F.col(text)).otherwise(left)).select(*columns)
+    """The kept rows of `docs`, all columns as they are, whatever their names, but the texts without the frequent lines. Null and
+    empty texts go, repeated rows stay as often as they come, an empty table gives no rows."""
+    boxed = docs.select(F.struct(*docs.columns).alias("row"), row_key(id_col, host, text).alias("key"), F.col(text).alias("text"))
+    passed = base_stats(boxed).filter(~F.col("base_failed")).select("row", "key")
+    rows = passed.join(removals(docs, text, host, id_col, **limits), "key", "left").filter(F.coalesce(~F.col("depleted"), F.lit(True)))
+    whole = F.col("row").getField(text)
+    lines = F.filter(F.split(whole, "\n"), lambda x, i: ~F.array_contains("at", i))
+    left = F.when(F.col("at").isNull(), whole).otherwise(F.array_join(lines, "\n"))
+    return rows.select(*[(left if c == text else F.col("row").getField(c)).alias(c) for c in docs.columns])

@@ -42,6 +42,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and the depletion by frequent lines, for all documents."""
     return line_rules.judge(table(spark, sf_dir, "documents"))
 
 
@@ -53,17 +54,22 @@ win AS (SELECT r, i, ws[i] || chr(32) || ws[i + 1] || chr(32) || ws[i + 2] AS g
         FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
 dup AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM win) WHERE n > 1),
 rep AS (SELECT r, count(DISTINCT i + k) AS n FROM dup, (SELECT unnest([0, 1, 2]) AS k) GROUP BY r),
-ln AS (SELECT r, source, t, pos, line, words, lag(line) OVER o AS prev, lead(line) OVER o AS next
+ln AS (SELECT r, source, t, pos, line, words
        FROM (SELECT r, source, t, pos, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS words,
                     array_to_string(list_transform(regexp_extract_all(x, '[^\x20\x09-\x0D]+'),
                         lambda y: translate(y, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')), chr(32)) AS line
              FROM (SELECT r, source, t, unnest(string_split(t, chr(10))) AS x,
                           generate_subscripts(string_split(t, chr(10)), 1) AS pos FROM d))
-       WHERE words > 0 WINDOW o AS (PARTITION BY r ORDER BY pos)),
-pairs AS (SELECT source, line, t, arg_min(coalesce('=' || prev, '-') || chr(10) || coalesce('=' || next, '-'), pos) AS c
-          FROM ln GROUP BY source, line, t),
-bad AS (SELECT source, line FROM pairs GROUP BY source, line
-        HAVING count(*) >= 20 AND 100 * count(DISTINCT c) >= 50 * count(*)),
+       WHERE words > 0),
+often AS (SELECT source, line FROM ln GROUP BY source, line HAVING count(DISTINCT t) >= 20),
+hit AS (SELECT ln.* FROM ln JOIN often ON ln.source IS NOT DISTINCT FROM often.source AND ln.line = often.line),
+wit AS (SELECT r, CASE WHEN 2 * sum(hit.words) < len(any_value(w.ws)) THEN 'text' || any_value(hit.t)
+                       ELSE 'line' || first(line ORDER BY hit.words DESC, pos) END AS witness
+        FROM hit JOIN w USING (r) GROUP BY r),
+many AS (SELECT source, line, count(DISTINCT witness) AS n FROM hit JOIN wit USING (r) GROUP BY source, line),
+size AS (SELECT source, count(DISTINCT t) AS texts FROM d GROUP BY source),
+bad AS (SELECT many.source, line FROM many JOIN size ON many.source IS NOT DISTINCT FROM size.source
+        WHERE n >= 20 AND 1000 * n >= texts),
 gone AS (SELECT r, sum(words) AS g FROM ln JOIN bad ON ln.source IS NOT DISTINCT FROM bad.source AND ln.line = bad.line GROUP BY r),
 b AS (SELECT w.r, doc_id, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars,
              length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols,

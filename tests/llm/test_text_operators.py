@@ -54,6 +54,66 @@ def test_frequent_lines_and_depletion(frame):
     assert "footer" not in texts[0] and texts[0].count("\n") == 2 and texts[200] == line_docs()[43][1]
 
 
+def test_a_block_goes_whole_and_near_copies_do_not_outvote(frame):
+    """Five lines that always stand together; 400 near copies of one text hold a line of another source's block as well."""
+    own = lambda i, k: " ".join(f"w{i}x{k}y{j}" for j in range(30))
+    block = [f"Licence line {k} of the same five" for k in range(5)]
+    rows = [(i, "\n".join([own(i, 0), *block, own(i, 1)]), "hot") for i in range(100)]
+    rows += [(1000 + i, "\n".join([own(-1, k) for k in range(6)] + block[:1] + [f"copy {i}"]), "near") for i in range(400)]
+    rows += [(2000 + i, f"{own(i, 3)}\n{block[0]}\n{own(i, 4)}", "near") for i in range(30)]
+    texts = {r["doc_id"]: r["text"] for r in line_rules.clean(frame(rows)).collect()}
+    assert len(texts) == len(rows) and not any("Licence" in t for t in texts.values())
+    assert all(texts[1000 + i].count("\n") == 6 for i in range(400)) and texts[5] == f"{own(5, 0)}\n{own(5, 1)}"
+
+
+def test_frequent_lines_against_plain_counts(spark, frame):
+    rng = random.Random(4)
+    pool = [" ".join(f"p{k}q{j}" for j in range(rng.randrange(1, 12))) for k in range(30)]
+    rows = []
+    for i in range(300):
+        lines = [rng.choice(pool[:3] if i % 3 == 0 else pool) for _ in range(rng.randrange(6))]
+        lines += [" ".join(f"o{i}n{k}m{j}" for j in range(rng.randrange(20))) for k in range(rng.randrange(4))]
+        rng.shuffle(lines)
+        rows.append((i, "\n".join(lines), rng.choice(["a", "a", "b", None])))
+    rows += [(500 + i, rows[i][1], rows[i][2]) for i in range(40)] + rows[:5]
+    split = lambda t: [(n, x.lower(), len(WORDS.findall(x))) for n, x in enumerate(t.split("\n")) if WORDS.findall(x)]
+    texts, often, votes = {(s, t) for _, t, s in rows}, {}, {}
+    for s, t in texts:
+        for _, x, _ in split(t):
+            often.setdefault((s, x), set()).add(t)
+    for s, t in texts:
+        hit = [(w, -n, x) for n, x, w in split(t) if len(often[s, x]) >= 5]
+        if hit:
+            mine = 2 * sum(w for w, _, _ in hit) < sum(w for _, _, w in split(t))
+            for _, _, x in hit:
+                votes.setdefault((s, x), set()).add(t if mine else max(hit)[2])
+    size = {s: sum(s == h for h, _ in texts) for s, _ in texts}
+    bad = {k for k, v in votes.items() if len(v) >= 5 and 1000 * len(v) >= 100 * size[k[0]]}
+    assert 0 < len(bad) < len(often)
+    expected = {}
+    for i, t, s in rows:
+        at = {n for n, x, _ in split(t) if (s, x) in bad}
+        gone, total = sum(w for n, _, w in split(t) if n in at), sum(w for _, _, w in split(t))
+        if at:
+            expected[i] = (at, 100 * (total - gone) < 30 * total)
+    df = frame(rows)
+    keys = df.select("doc_id", line_rules.row_key("doc_id", "source", "text").alias("key")).distinct()
+    for limit in (spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), "-1"):
+        before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        try:
+            got = line_rules.removals(df.repartition(7), min_documents=5, min_per_mille=100).join(keys, "key").collect()
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        assert {r["doc_id"]: (set(r["at"]), r["depleted"]) for r in got} == expected
+
+
+def test_clean_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(60)), "s", 999, 7, 8, 9)],
+                               "doc_id long, text string, source string, n_words int, _text int, row int, at int")
+    assert line_rules.clean(df).collect() == df.collect()
+
+
 def test_line_rules_odd_rows(frame):
     got = line_rules.judge(frame(ODD)).collect()
     assert len(got) == len(ODD) and not any(r["kept"] for r in got)

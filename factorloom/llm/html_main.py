@@ -1,12 +1,14 @@
 """Main text of web pages: site templates are found by counting element subtrees per host, and removed.
 
 A first pass hashes every block element's subtree (tag, class, text, children) of every page; Spark counts in how
-many distinct pages of a host each occurs. A second pass deletes subtrees that recur across many pages of the host,
-and elements that say what they are (menus, headers, footers, sidebars, notices, adverts, forms, comments), and
-joins the text blocks of what is left of the article.
+many distinct pages of a host each occurs. A second pass deletes the subtrees that recur across many pages of the host,
+takes the article of what is left, drops elements in it that say what they are (menus, notices, adverts, forms, comments)
+and joins its text blocks.
 
-Passages recur in articles as well, so headings and paragraphs inside an article element stay whatever their count;
-containers in it can go. Pages with the same content count once, so copies of a page are no template.
+Passages recur in articles as well. So a subtree has one of three levels, by the number of pages that have it: beside an
+article it goes at the first; a container in an article, or in a page that has no article, at the second; a paragraph or
+heading of a page that has no article at the third, and those of an article stay whatever their count. A page counts once
+for each article it shows, so copies of a page are no template, and an element that holds an article is none.
 """
 
 from __future__ import annotations
@@ -19,8 +21,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factorloom.llm.url_cascade import host_of
+from factorloom.plans.joins import lookup_join
 from factorloom.plans.runtime import ship_with_tasks, stage
 
 # Element and class names of HTML pages.
@@ -164,22 +168,44 @@ def measure(root: Node) -> None:
         node.hash, node.size = digest("\x1f".join(parts).encode("utf-8", "surrogatepass")) - (1 << 63), size
 
 
-def subtrees(page: str | None) -> list[int]:
-    """Distinct hashes of the page's block subtrees that hold text."""
+#: Levels of a recurring subtree: beside an article; a container of the content; a paragraph or heading of the content.
+BESIDE, CONTAINER, PASSAGE = 1, 2, 3
+
+
+def subtrees(root: Node) -> list[int]:
+    """Distinct hashes of the block subtrees that hold text and no article, of a measured tree."""
+    holds: set[int] = set()
+    found = set()
+    for node in _walk(root):
+        article = node.tag == "article" or id(node) in holds
+        if article:
+            holds.add(id(node.parent))
+        if node.tag in BLOCK and node.size and not article:
+            found.add(node.hash)
+    return sorted(found)
+
+
+def content_of(page: str | None) -> tuple[int, list[int]]:
+    """What a page counts as, its article or else all of it, and its subtrees."""
     if not page:
-        return []
+        return 0, []
     root = parse(page)
     measure(root)
-    return sorted({n.hash for n in _walk(root) if n.tag in BLOCK and n.size})
+    main, in_article = _main(root)
+    whole = xxhash.xxh64_intdigest(page.encode("utf-8", "surrogatepass")) - (1 << 63)
+    return (main.hash if in_article and main.size else whole), subtrees(root)
 
 
-def main_text(page: str | None, recurring: frozenset[int] | set[int] = frozenset()) -> str:
-    """The article's text: blocks joined by one space, white space inside them made one space."""
+def main_text(page: str | None, recurring: dict[int, int] | None = None) -> tuple[str, int]:
+    """The article's text, blocks joined by one space, white space inside them made one space; and how many characters of
+    the page stood in subtrees deleted as recurring. `recurring`: the levels of subtrees by their hash."""
     if not page:
-        return ""
+        return "", 0
+    recurring = recurring or {}
     root = parse(page)
     measure(root)
     main, in_article = _main(root)
+    deleted = _deleted(root, main, in_article, recurring) if recurring else set()
     out: list[str] = []
     stack: list = [(main, False)]
     while stack:
@@ -193,14 +219,36 @@ def main_text(page: str | None, recurring: frozenset[int] | set[int] = frozenset
         if node is not main:
             if node.gone and not (node.tag == "header" and in_article):
                 continue
-            if node.hash in recurring and node.tag in BLOCK and not (in_article and node.tag in PROSE):
+            if id(node) in deleted:
                 continue
             headings = headings or node.tag == "header"
         if block:
             out.append(" ")
             stack.append((" ", False))
         stack += [(c, headings) for c in reversed(node.children)]
-    return " ".join(entities.unescape("".join(out)).split())
+    size = sum(n.size for n in _walk(root) if id(n) in deleted) if deleted else 0
+    return " ".join(entities.unescape("".join(out)).split()), size
+
+
+def _deleted(root: Node, main: Node, in_article: bool, recurring: dict[int, int]) -> set[int]:
+    """The topmost nodes that go as recurring."""
+    found, stack = set(), [(root, not in_article)]
+    while stack:
+        node, content = stack.pop()
+        if node.tag in BLOCK and node is not main:
+            level = recurring.get(node.hash, 0)
+            if not content:
+                goes = level >= BESIDE
+            elif node.tag in PROSE:
+                goes = level >= PASSAGE and not in_article
+            else:
+                goes = level >= CONTAINER
+            if goes:
+                found.add(id(node))
+                continue
+        content = content or node is main
+        stack += [(c, content) for c in node.children if not isinstance(c, str)]
+    return found
 
 
 def _main(root: Node) -> tuple[Node, bool]:
@@ -218,50 +266,89 @@ def _main(root: Node) -> tuple[Node, bool]:
     return best, kind == 2
 
 
-def recurring_subtrees(pages: DataFrame, url: str = "url", html: str = "html", min_pages: int = 10,
-                       min_share: float = 0.3) -> DataFrame:
-    """(host, hashes): the subtrees found in at least `min_pages` and `min_share` of a host's distinct pages. A list
-    has at most 1 / min_share times the subtrees of a page of that host, however many pages there are."""
-    def run(batches):
-        for batch in batches:
-            hosts, copies, hashes = [], [], []
-            for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                hosts.append(host)
-                copies.append(xxhash.xxh64_intdigest((page or "").encode("utf-8", "surrogatepass")) - (1 << 63))
-                hashes.append(subtrees(page))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(hosts, pa.string()), pa.array(copies, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))],
-                names=["host", "copy", "hashes"])
-
-    ship_with_tasks(__name__)
-    found = pages.select(host_of(url).alias("host"), html).mapInArrow(run, "host string, copy bigint, hashes array<bigint>")
+def recurring_subtrees(found: DataFrame, min_pages: int = 5, min_share: float = 0.05, prose_share: float = 0.3) -> DataFrame:
+    """(host, h, level): the subtrees that recur on a host, of a table (host, copy, hashes) of its pages. Of the pages
+    that count apart, level 1 takes `min_pages` and the logarithm to base 2 of their number, level 2 twice `min_pages`
+    and `min_share` of them, level 3 twice `min_pages` and `prose_share`."""
     # hash 0 of each page counts the page itself, so one pass gives both counts
     each = found.select("host", "copy", F.explode(F.concat(F.array(F.lit(0).cast("long")), "hashes")).alias("h"))
     counts = each.distinct().groupBy("host", "h").agg(F.count(F.lit(1)).alias("n"))
     counts = stage(counts.filter((F.col("n") >= min_pages) | (F.col("h") == 0)), "subtrees")
     total = counts.filter("h = 0").select("host", F.col("n").alias("pages"))
-    often = counts.filter("h <> 0").join(total, "host").filter(F.col("n") >= min_share * F.col("pages"))
-    return often.groupBy("host").agg(F.collect_list("h").alias("hashes"))
+    share, many = F.col("n") / F.col("pages"), F.col("n") >= 2 * min_pages
+    level = (F.when(many & (share >= prose_share), PASSAGE).when(many & (share >= min_share), CONTAINER)
+             .when(F.col("n") >= F.log2(F.col("pages").cast("double")), BESIDE))
+    rows = counts.filter("h <> 0").join(total, "host").select("host", "h", level.alias("level"))
+    return rows.filter("level IS NOT NULL")
+
+
+def _scan(pages: DataFrame, url: str, html: str) -> DataFrame:
+    """(page, host, copy, hashes), a row a page; page: a digest of host and html, equal for equal pages only."""
+    def run(batches):
+        for batch in batches:
+            hosts, raw = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            keys = [_page_key(h, p) for h, p in zip(hosts, raw)]
+            seen = [content_of(p) for p in raw]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys, pa.binary()), pa.array(hosts, pa.string()), pa.array([c for c, _ in seen], pa.int64()),
+                 pa.array([h for _, h in seen], pa.list_(pa.int64()))], names=["page", "host", "copy", "hashes"])
+
+    ship_with_tasks(__name__)
+    return pages.select(host_of(url).alias("host"), F.col(html).alias("html")).mapInArrow(
+        run, "page binary, host string, copy bigint, hashes array<bigint>")
+
+
+def _page_key(host: str, page: str | None) -> bytes:
+    """Host and page in 16 bytes; null is unlike the empty page."""
+    parts = f"{len(host)}:{host}" + ("-" if page is None else "=" + page)
+    return xxhash.xxh3_128_digest(parts.encode("utf-8", "surrogatepass"))
+
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    """`rows` with the page column of `_scan`."""
+    def run(batches):
+        for batch in batches:
+            keys = [_page_key(h, p) for h, p in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist())]
+            yield batch.append_column("page", pa.array(keys, pa.binary()))
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("page", T.BinaryType())]))
 
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html", id_col: str = "page_id", broadcast_bytes: int = 8 << 20,
             **limits) -> DataFrame:
-    """(id_col, url, text) for every row; other columns are not read. Null and empty pages have an empty text. Pages
-    with a null or malformed url are of the host ''. Repeated rows are extracted as often as they come. The list of
-    recurring subtrees is broadcast if it measures at most `broadcast_bytes`, else joined by host."""
-    lists = stage(recurring_subtrees(pages, url, html, **limits), "templates")
-    size = lists.agg(F.sum(F.size("hashes") * 8 + 64)).first()[0] or 0
+    """(id_col, url, text, template_chars) for every row; other columns are not read. template_chars: the characters in
+    deleted recurring subtrees, white space made one. Null and empty pages have an empty text. Pages with a null
+    or malformed url are of the host ''. Repeated rows are extracted as often as they come; an empty table gives no rows. The
+    recurring subtrees are broadcast if they measure at most `broadcast_bytes`, else joined to the subtrees of each page."""
+    spark = pages.sparkSession
     kind = pages.schema[id_col].dataType
-    rows = pages.select(F.col(id_col), F.col(url), F.col(html).alias("_html"), host_of(url).alias("host"))
-    joined = rows.join(F.broadcast(lists) if size <= broadcast_bytes else lists, "host", "left")
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url).alias("url"), F.col(html).alias("html"), host_of(url).alias("host"))
+    found = stage(_scan(pages, url, html), "pages")
+    often = stage(recurring_subtrees(found, **limits), "templates")
+    size = often.agg(F.sum(F.octet_length("host") + 32)).first()[0] or 0
+    held = None
+    if size <= broadcast_bytes:
+        lists: dict[str, dict[int, int]] = {}
+        for r in often.collect():
+            lists.setdefault(r["host"], {})[r["h"]] = r["level"]
+        held = spark.sparkContext.broadcast(lists)
+        rows = rows.withColumn("known", F.lit(None).cast("map<bigint,int>"))
+    else:
+        each = found.dropDuplicates(["page"]).select("page", "host", F.explode("hashes").alias("h"))
+        hit = lookup_join(each, often, ["host", "h"], size, "inner")
+        known = hit.groupBy("page").agg(F.map_from_entries(F.collect_list(F.struct("h", "level"))).alias("known"))
+        rows = lookup_join(_keyed(rows), known, ["page"], 1 << 62, "left").drop("page")
 
     def run(batches):
+        lists = None if held is None else held.value  # by host; else each row brings its own
         for batch in batches:
-            texts = [main_text(page, set(known or ())) for page, known in
-                     zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())],
-                                             names=[id_col, url, "text"])
+            done = []
+            for page, host, known in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4))):
+                done.append(main_text(page, dict(known or ()) if lists is None else lists.get(host)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array([t for t, _ in done], pa.string()),
+                 pa.array([n for _, n in done], pa.int64())], names=[id_col, url, "text", "template_chars"])
 
     ship_with_tasks(__name__)
-    return joined.select(id_col, url, "_html", "hashes").mapInArrow(
-        run, f"`{id_col}` {kind.simpleString()}, `{url}` string, text string")
+    return rows.select("id", "url", "html", "host", "known").mapInArrow(
+        run, f"`{id_col}` {kind.simpleString()}, `{url}` string, text string, template_chars bigint")

@@ -112,6 +112,7 @@ def op5_online_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op1_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages, and how much of each page went as a recurring template."""
     found = html_main.extract(table(spark, sf_dir, "pages"))
     return found.withColumn("n_chars", F.length("text").cast("long"))
 

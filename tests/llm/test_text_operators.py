@@ -1,6 +1,7 @@
 """Line rules, url cascade, leaks, page text, toxicity, quality and the language model, against plain Python."""
 
 import itertools
+import os
 import random
 import re
 
@@ -247,13 +248,14 @@ PAGES = [("<div class='ad'>x</div><p>a&nbsp; b<br>c<b>d</b>e", "a b cde"),
 
 @pytest.mark.parametrize("page,text", PAGES)
 def test_page_text(page, text):
-    assert html_main.main_text(page) == text
+    assert html_main.main_text(page) == (text, 0)
 
 
 def test_deep_and_broken_pages_end():
-    assert html_main.main_text("<div>" * 30_000 + "x") == "x"
-    assert html_main.main_text("<a " * 30_000) == "" and html_main.main_text("<" * 3000) == "<" * 3000
-    assert html_main.main_text("<!--" * 30_000) == "" and html_main.main_text("</p>" * 3000) == ""
+    text = lambda page: html_main.main_text(page)[0]
+    assert text("<div>" * 30_000 + "x") == "x" and html_main.content_of("<div>" * 30_000 + "x")[1]
+    assert text("<a " * 30_000) == "" and text("<" * 3000) == "<" * 3000
+    assert text("<!--" * 30_000) == "" and text("</p>" * 3000) == ""
 
 
 def test_templates_go_and_articles_stay(spark):
@@ -271,6 +273,50 @@ def test_templates_go_and_articles_stay(spark):
     assert html_main.extract(df.limit(0)).count() == 0
 
 
+def test_templates_without_telling_names(spark):
+    """Blocks on 6 % of a host's pages go, in and beside articles; passages and a group of copies of an article stay."""
+    block = lambda k: f"<div class='x{k}'>Block {k}<ul><li>entry {k}</li></ul></div>"
+    rows = []
+    for i in range(500):
+        own = f"<p>own words {i}</p>"
+        if i % 2:
+            page = f"<body>{block(i % 16)}<article>{own}{block(i % 16 + 20)}<p>often said</p></article>{block(99)}"
+        else:
+            page = f"<body>{block(i % 16)}<div>{own}</div>"
+        rows.append((i, "http://h.example/", page))
+    rows += [(1000 + i, "http://h.example/", f"<nav>{i}</nav><article><p>one</p><table><tr><td>cell</table></article>") for i in range(300)]
+    df = spark.createDataFrame(rows + rows[:3] + [(None, None, None)], "page_id long, url string, html string")
+    for limit in (1 << 20, 0):
+        got = [(r["page_id"], r["text"], r["template_chars"] > 0) for r in html_main.extract(df, broadcast_bytes=limit).collect()]
+        assert len(got) == len(rows) + 4 and len(set(got)) == len(rows) + 1
+        assert all(x in got for i in range(500) for x in [(i, f"own words {i}" + " often said" * (i % 2), True)])
+        assert all((1000 + i, "one cell", False) in got for i in range(300)) and (None, "", False) in got
+
+
+def test_recurring_subtrees_against_plain_counts(spark):
+    """Counts over pages that differ in their article, and levels, against a plain version; blocks do go on real pages."""
+    sf = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    df = spark.read.parquet(f"{sf}/pages.parquet")
+    host = lambda u: re.search("://([^/?#]*)", u)[1].lower() if u and re.search("://([^/?#]*)", u) else ""
+    seen, pages = {}, {}
+    for r in df.collect():
+        copy, hashes = html_main.content_of(r["html"])
+        pages.setdefault(host(r["url"]), set()).add(copy)
+        for h in hashes:
+            seen.setdefault((host(r["url"]), h), set()).add(copy)
+    expected = {}
+    for (s, h), copies in seen.items():
+        n, total = len(copies), len(pages[s])
+        level = 3 if n >= 6 and n >= 0.3 * total else 2 if n >= 6 and n >= 0.05 * total else 1 if n >= 3 and 2 ** n >= total else None
+        if level:
+            expected[s, h] = level
+    found = html_main.recurring_subtrees(html_main._scan(df, "url", "html"), min_pages=3)
+    assert {(r["host"], r["h"]): r["level"] for r in found.collect()} == expected and expected
+    assert html_main.extract(df, min_pages=3).filter("template_chars > 0").count() > 0
+
+
 # ---- toxicity
 
 @pytest.fixture(scope="module")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +25,8 @@ _MAX_WIDTH = 20_000
 _PAIR_ROWS = 3300
 _SCORE_BYTES = 32 << 20
 _SLAB = 4096
+# Items of a leaf and queries of a block at most, and pairs whose distance is taken at a time.
+_LEAF, _QUERIES, _PAIRS = 512, 256, 1 << 16
 # Pairs to be left out that a task of `best_matches` meets on average at most, about 64 MB.
 _SEEN_PAIRS = 4_000_000
 
@@ -43,47 +47,141 @@ def _matrix(values: pd.Series) -> np.ndarray:
     return np.stack(values.to_numpy()).astype(float) if len(values) else np.zeros((0, 0))
 
 
-def _scores(q: np.ndarray, vecs: np.ndarray, how: str) -> np.ndarray:
-    if how == "dot":
-        return q @ vecs.T
-    return -np.sqrt(((q[:, None, :] - vecs[None, :, :]) ** 2).sum(axis=2))
+def _rows(vectors: pa.ChunkedArray) -> np.ndarray:
+    """A column of arrays of one length as a matrix, without a Python object per row."""
+    lengths = pc.unique(pc.list_value_length(vectors)).to_pylist()
+    if len(lengths) != 1 or lengths[0] is None:
+        raise ValueError(f"vectors must have one length, not {lengths}")
+    return pc.list_flatten(vectors).to_numpy().astype(float).reshape(len(vectors), lengths[0])
 
 
-def _best_in_chunk(q, base, take, ids, vecs, bias, how, digits, gone=None):
-    """(query line, item, score) of the best `take` items per query, among items sorted by falling
-    length. A query is done when no item that is left can reach its last place: a dot product is at
-    most the product of the lengths. By distance, items come in balls around pivots; a query skips a ball that
-    is farther away than its last place, by the triangle inequality. `gone`: (query lines, places of items), sorted by
-    place, of pairs that are no answers; for how="dot" only."""
-    if how == "distance":
-        return _nearest_in_chunk(q, take, ids, vecs, bias, base, digits)
+#: Pairs of a query and a leaf that were compared, and those there are; read by tests.
+VISITED = [0, 0]
+
+
+def _split(points: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, starts): the lines of `points` in leaves of at most `most` lines, by halving at the median of the widest
+    coordinate; `starts` has the end as well."""
+    order, starts, stack = np.arange(len(points)), [], [(0, len(points))]
+    while stack:
+        low, high = stack.pop()
+        if high - low <= most:
+            starts.append(low)
+            continue
+        part = points[order[low:high]]
+        values = part[:, np.ptp(part, axis=0).argmax()] if part.shape[1] else np.zeros(high - low)
+        middle = (high - low) // 2
+        order[low:high] = order[low:high][np.argpartition(values, middle)]
+        stack += [(low + middle, high), (low, low + middle)]
+    return order, np.array([*starts, len(points)])
+
+
+def _first_of_equals(ids: np.ndarray, vecs: np.ndarray, bias: np.ndarray, most: int) -> np.ndarray:
+    """The lines of the `most` smallest ids among items of one vector and bias: as these tie for every query, the others
+    are no answers."""
+    order = np.lexsort((ids, bias, *vecs.T))
+    same = (np.diff(vecs[order], axis=0) == 0).all(axis=1) & (np.diff(bias[order]) == 0)
+    first = np.flatnonzero(np.concatenate([[True], ~same]))
+    rank = np.arange(len(ids)) - np.repeat(first, np.diff([*first, len(ids)]))
+    return order[rank < most]
+
+
+class _Leaves:
+    """The items of a chunk in leaves of near ones, made once a task. A leaf says how much any of its items can score for
+    a query: a dot product by its box and by its ball, a distance by its ball."""
+
+    def __init__(self, ids: np.ndarray, vecs: np.ndarray, bias: np.ndarray, how: str, answers: int):
+        kept = _first_of_equals(ids, vecs, bias, answers)
+        order, self.starts = _split(np.column_stack([vecs, bias])[kept], max(1, min(_LEAF, _SLAB, 32 + int(len(kept) ** 0.5))))
+        self.places = kept[order]  # where the items stood
+        self.ids, self.vecs, self.bias, self.how = ids[self.places], vecs[self.places], bias[self.places], how
+        at = self.starts[:-1]
+        self.low, self.high = np.minimum.reduceat(self.vecs, at), np.maximum.reduceat(self.vecs, at)
+        self.centres = (self.low + self.high) / 2
+        sizes = np.diff(self.starts)
+        self.radii = np.maximum.reduceat(np.linalg.norm(self.vecs - np.repeat(self.centres, sizes, axis=0), axis=1), at)
+        self.top = np.maximum.reduceat(self.bias, at)
+        self.squares = (self.vecs ** 2).sum(1)
+        self.reach = np.sqrt(self.squares.max())
+
+    def slip(self, q: np.ndarray) -> np.ndarray:
+        """What rounding may cost a bound, per query; distances are taken from an expanded square, which cancels."""
+        lengths = np.linalg.norm(q, axis=1)
+        if self.how == "dot":
+            return 1e-8 * (1 + lengths * self.reach + np.abs(self.bias).max())
+        return 1e-6 * (1 + lengths + self.reach) * (1 + q.shape[1]) ** 0.5
+
+    def limits(self, q: np.ndarray, base: np.ndarray, slip: np.ndarray, digits: int) -> np.ndarray:
+        """(query, leaf): no item of the leaf scores more."""
+        if self.how == "dot":
+            box = np.maximum(q, 0) @ self.high.T + np.minimum(q, 0) @ self.low.T
+            ball = q @ self.centres.T + np.linalg.norm(q, axis=1)[:, None] * self.radii[None, :]
+            most = np.minimum(box, ball)
+        else:
+            square = (q ** 2).sum(1)[:, None] + (self.centres ** 2).sum(1)[None, :] - 2 * q @ self.centres.T
+            most = -np.maximum(np.sqrt(np.maximum(square, 0)) - self.radii[None, :], 0)
+        return most + self.top[None, :] + (base + slip * (1 + np.abs(base)) + 10.0 ** -digits)[:, None]
+
+    def scores(self, leaf: slice, q: np.ndarray, base: np.ndarray, slip: np.ndarray, last: np.ndarray, digits: int) -> np.ndarray:
+        """(query, item of the leaf), rounded; by distance -inf for items that cannot reach the query's last place."""
+        if self.how == "dot":
+            return np.round(q @ self.vecs[leaf].T + self.bias[leaf] + base[:, None], digits) + 0.0
+        square = (q ** 2).sum(1)[:, None] + self.squares[leaf][None, :] - 2 * q @ self.vecs[leaf].T
+        rough = -np.sqrt(np.maximum(square, 0)) + self.bias[leaf] + base[:, None]
+        line, col = np.nonzero(rough + (slip * (1 + np.abs(base)))[:, None] + 10.0 ** -digits >= last[:, None])
+        table = np.full(rough.shape, -np.inf)
+        for at in range(0, len(line), _PAIRS):
+            x, y = line[at:at + _PAIRS], col[at:at + _PAIRS]
+            far = -np.sqrt(((q[x] - self.vecs[leaf][y]) ** 2).sum(axis=1))
+            table[x, y] = np.round(far + self.bias[leaf][y] + base[x], digits) + 0.0
+        return table
+
+
+def _best_of_leaves(q, base, take, leaves, digits, gone=None):
+    """(query line, item, score) of the best `take` items per query. Every query meets its most promising leaf first,
+    so that its last place is known soon; then all leaves that can hold an item for that place. `gone`: (query lines, places in
+    the leaves' order), sorted by place, of pairs that are no answers."""
     gone_lines, gone_places = (np.zeros(0, int), np.zeros(0, int)) if gone is None else gone
-    lengths, reach = np.linalg.norm(q, axis=1), np.linalg.norm(vecs, axis=1)
+    slip, starts = leaves.slip(q), leaves.starts
+    limit = leaves.limits(q, base, slip, digits)
     most = int(take.max())
-    best = np.full((len(q), most), -np.inf)
-    alive = np.arange(len(q))
-    row_of = np.arange(len(q))
-    lines, items, scores = [np.zeros(0, int)], [ids[:0]], [np.zeros(0)]
-    for at in range(0, len(ids), _SLAB):
-        if at and how == "dot":
-            limit = base[alive] + lengths[alive] * reach[at] + bias[at:].max()
-            alive = alive[limit + 1e-8 * (1 + np.abs(limit)) >= best[alive].min(axis=1)]
+    best, last = np.full((len(q), most), -np.inf), np.full(len(q), -np.inf)
+    lines, items, scores = [np.zeros(0, int)], [leaves.ids[:0]], [np.zeros(0)]
+    VISITED[1] += limit.size
+
+    def visit(b: int, rows: np.ndarray) -> None:
+        VISITED[0] += len(rows)
+        leaf = slice(starts[b], starts[b + 1])
+        table = leaves.scores(leaf, q[rows], base[rows], slip[rows], last[rows], digits)
+        first, end = np.searchsorted(gone_places, [starts[b], starts[b + 1]])
+        if first < end:
             row_of = np.full(len(q), -1)
-            row_of[alive] = np.arange(len(alive))
-        if not len(alive):
-            break
-        slab = slice(at, at + _SLAB)
-        table = np.round(_scores(q[alive], vecs[slab], how) + bias[slab] + base[alive][:, None], digits) + 0.0
-        first, last = np.searchsorted(gone_places, [at, at + _SLAB])
-        rows = row_of[gone_lines[first:last]]
-        table[rows[rows >= 0], gone_places[first:last][rows >= 0] - at] = -np.inf
-        both = np.concatenate([best[alive], table], axis=1)
-        best[alive] = -np.partition(-both, most - 1, axis=1)[:, :most]
-        line, col = np.nonzero((table >= best[alive].min(axis=1)[:, None]) & (table > -np.inf))
-        lines.append(alive[line])
-        items.append(ids[slab][col])
+            row_of[rows] = np.arange(len(rows))
+            met = row_of[gone_lines[first:end]]
+            table[met[met >= 0], gone_places[first:end][met >= 0] - starts[b]] = -np.inf
+        both = np.concatenate([best[rows], table], axis=1)
+        best[rows] = -np.partition(-both, most - 1, axis=1)[:, :most]
+        last[rows] = best[rows].min(axis=1)
+        line, col = np.nonzero((table >= last[rows][:, None]) & (table > -np.inf))
+        lines.append(rows[line])
+        items.append(leaves.ids[leaf][col])
         scores.append(table[line, col])
+        limit[rows, b] = -np.inf
+
+    hope = limit.argmax(axis=1)
+    for b in np.unique(hope):
+        visit(b, np.flatnonzero(hope == b))
+    todo = np.argsort(-limit.max(axis=0), kind="stable")
+    while len(todo):
+        for b in todo[:16]:
+            rows = np.flatnonzero((limit[:, b] >= last) & (limit[:, b] > -np.inf))
+            if len(rows):
+                visit(b, rows)
+        todo = todo[16:]
+        todo = todo[(limit[:, todo] >= last[:, None]).any(axis=0)]
     line, item, score = np.concatenate(lines), np.concatenate(items), np.concatenate(scores)
+    reaches = score >= last[line]
+    line, item, score = line[reaches], item[reaches], score[reaches]
     order = np.lexsort((item, -score, line))
     line, item, score = line[order], item[order], score[order]
     rank = np.arange(len(line)) - np.searchsorted(line, np.arange(len(q)))[line]
@@ -91,56 +189,38 @@ def _best_in_chunk(q, base, take, ids, vecs, bias, how, digits, gone=None):
     return line[first], item[first], score[first]
 
 
-#: Slabs of items that `_nearest_in_chunk` compared with some query, and those there are; read by tests.
-VISITED = [0, 0]
+def _best_in_chunk(q, base, take, ids, vecs, bias, how, digits, gone=None):
+    """(query line, item, score) of the best `take` items per query among all items of a chunk, exactly. Queries are met
+    in blocks of near ones. `gone`: (query lines, places of items) of pairs that are no answers."""
+    gone_lines, gone_places = (np.zeros(0, int), np.zeros(0, int)) if gone is None else gone
+    spared = int(np.bincount(gone_lines).max()) if len(gone_lines) else 0
+    leaves = _Leaves(ids, vecs, bias, how, int(take.max()) + spared)
+    place = np.full(len(ids), -1)
+    place[leaves.places] = np.arange(len(leaves.places))
+    gone_places = place[gone_places]
+    known = gone_places >= 0
+    by_line = np.argsort(gone_lines[known], kind="stable")
+    gone_lines, gone_places = gone_lines[known][by_line], gone_places[known][by_line]
+    block, starts = _split(q, max(1, min(_QUERIES, _SCORE_BYTES // (8 * max(1, len(leaves.starts))))))
+    found = [(np.zeros(0, int), ids[:0], np.zeros(0))]
+    for low, high in zip(starts[:-1], starts[1:]):
+        some = np.sort(block[low:high])
+        mine = None
+        if len(gone_lines):
+            first, end = np.searchsorted(gone_lines, some), np.searchsorted(gone_lines, some, "right")
+            at = np.concatenate([np.arange(x, y) for x, y in zip(first, end)])
+            at = at[np.argsort(gone_places[at], kind="stable")]
+            mine = np.searchsorted(some, gone_lines[at]), gone_places[at]
+        line, item, score = _best_of_leaves(q[some], base[some], take[some], leaves, digits, mine)
+        found.append((some[line], item, score))
+    line, item, score = (np.concatenate(x) for x in zip(*found))
+    order = np.argsort(line, kind="stable")
+    return line[order], item[order], score[order]
 
 
 def _nearest_in_chunk(q, take, ids, vecs, bias, base, digits):
-    """The same by distance. The chunk's pivots are drawn evenly from its items; every item belongs to its nearest pivot.
-    Balls are visited from near to far over all queries, each query only those its last place can lie in."""
-    pivots = vecs[:: max(1, len(vecs) // max(1, int(len(vecs) ** 0.5)))]
-    square = lambda a, b: (a ** 2).sum(1)[:, None] + (b ** 2).sum(1)[None, :] - 2 * a @ b.T
-    ball = np.concatenate([square(vecs[at:at + _SLAB], pivots).argmin(1) for at in range(0, len(vecs), _SLAB)])
-    order = np.argsort(ball, kind="stable")
-    ball, ids, vecs, bias = ball[order], ids[order], vecs[order], bias[order]
-    starts = np.searchsorted(ball, np.arange(len(pivots) + 1))
-    radii = np.zeros(len(pivots))
-    np.maximum.at(radii, ball, np.linalg.norm(vecs - pivots[ball], axis=1))
-    top = np.full(len(pivots), -np.inf)
-    np.maximum.at(top, ball, bias)
-    slip = 1e-6 * (1 + np.abs(vecs).max(initial=0.0) + np.abs(q).max(initial=0.0)) * (1 + vecs.shape[1]) ** 0.5
-    gap = np.maximum(np.sqrt(np.maximum(square(q, pivots), 0)) - radii[None, :] - slip, 0)
-    limit = base[:, None] + top[None, :] - gap + 10.0 ** -digits  # no member of the ball scores more
-    most = int(take.max())
-    best = np.full((len(q), most), -np.inf)
-    lines, items, scores = [np.zeros(0, int)], [ids[:0]], [np.zeros(0)]
-    # First each query's nearest ball, so that its last place is known soon; then all others.
-    visits = [(int(b), np.flatnonzero(gap.argmin(1) == b)) for b in np.unique(gap.argmin(1))]
-    seen = np.zeros(gap.shape, bool)
-    for b, alive in [*visits, *((int(b), None) for b in np.argsort(gap.mean(0), kind="stable"))]:
-        if alive is None:
-            alive = np.flatnonzero(~seen[:, b] & (limit[:, b] >= best.min(axis=1)))
-        VISITED[1] += 1
-        if not len(alive) or starts[b] == starts[b + 1]:
-            continue
-        VISITED[0] += 1
-        seen[alive, b] = True
-        slab = slice(starts[b], starts[b + 1])
-        for at in range(0, len(alive), 256):
-            some = alive[at:at + 256]
-            table = np.round(_scores(q[some], vecs[slab], "distance") + bias[slab] + base[some][:, None], digits) + 0.0
-            both = np.concatenate([best[some], table], axis=1)
-            best[some] = -np.partition(-both, most - 1, axis=1)[:, :most]
-            line, col = np.nonzero(table >= best[some].min(axis=1)[:, None])
-            lines.append(some[line])
-            items.append(ids[slab][col])
-            scores.append(table[line, col])
-    line, item, score = np.concatenate(lines), np.concatenate(items), np.concatenate(scores)
-    order = np.lexsort((item, -score, line))
-    line, item, score = line[order], item[order], score[order]
-    rank = np.arange(len(line)) - np.searchsorted(line, np.arange(len(q)))[line]
-    first = rank < take[line]
-    return line[first], item[first], score[first]
+    """The same by distance."""
+    return _best_in_chunk(q, base, take, ids, vecs, bias, "distance", digits)
 
 
 def _chunk_rows(vectors: DataFrame) -> tuple[int, int]:
@@ -180,7 +260,7 @@ def _blocks(queries: DataFrame, items: DataFrame, seen: DataFrame | None = None)
     return left.repartition(groups, "_qc", "_ic"), right.repartition(groups, "_qc", "_ic")
 
 
-def _gone(qids: np.ndarray, ids: np.ndarray, seen: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def _gone(qids: np.ndarray, ids: np.ndarray, seen: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """(query lines, places in ids) of the pairs seen(qid, item), sorted by place. Equal qids are all met; pairs of
     unknown queries or items are none."""
     order = np.argsort(ids, kind="stable")
@@ -196,10 +276,9 @@ def _gone(qids: np.ndarray, ids: np.ndarray, seen: pd.DataFrame) -> tuple[np.nda
     return lines[by_place], places[by_place]
 
 
-def _slice(n_items: int, dims: int, how: str) -> int:
+def _slice(n_items: int) -> int:
     """How many queries to score at a time."""
-    per_query = 8 * n_items * (dims if how == "distance" else 1)
-    return max(1, _SCORE_BYTES // max(1, per_query))
+    return max(1, _SCORE_BYTES // max(1, 8 * n_items))
 
 
 def best_matches(queries: DataFrame, items: DataFrame, k: int, how: str = "dot",
@@ -209,34 +288,30 @@ def best_matches(queries: DataFrame, items: DataFrame, k: int, how: str = "dot",
 
     queries(qid, qvec, base) and items(item, vec, bias). Both sides are cut into chunks of
     bounded size; a task meets one chunk of each, and keeps only the best k per query, so
-    pairs are never written out. Items too short to reach a query's last place are not scored. Pairs of
+    pairs are never written out. A task puts its items into leaves once; leaves that cannot hold an item for a query's
+    last place are not scored. Pairs of
     `seen`(qid, item) are no answers: the task that would score them leaves them out, so a chunk sends k rows a query
     however many it has seen. Scores are rounded to `digits`, ties go to the smaller item."""
     if seen is not None and how != "dot":
         raise ValueError("Pairs that were seen can be left out for how='dot' only.")
 
-    def kernel(q: pd.DataFrame, i: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"qid": np.zeros(0, "int64"), "item": np.zeros(0, "int64"), "score": np.zeros(0)})]
-        known, i = (i[i["pair"]], i[~i["pair"]]) if "pair" in i else (i.iloc[:0], i)
+    def kernel(q: pa.Table, i: pa.Table) -> pa.Table:
+        known, i = (i.filter(i["pair"]), i.filter(pc.invert(i["pair"]))) if "pair" in i.column_names else (i.slice(0, 0), i)
+        line, item, score = np.zeros(0, int), np.zeros(0, "int64"), np.zeros(0)
         if len(q) and len(i):
-            ids, vecs, bias = i["item"].to_numpy(), _matrix(i["vec"]), i["bias"].to_numpy()
-            # Long vectors first: what is left can then be bounded.
-            order = np.argsort(-np.linalg.norm(vecs, axis=1))
-            chunk = ids[order], vecs[order], bias[order]
-            most = min(k, len(ids))
-            lines, places = _gone(q["qid"].to_numpy(), chunk[0], known) if len(known) else (np.zeros(0, int), np.zeros(0, int))
-            step = _slice(min(_SLAB, len(ids)) + most, vecs.shape[1], how)
-            for start in range(0, len(q), step):
-                part = q.iloc[start:start + step]
-                mine = (lines >= start) & (lines < start + step)
-                line, item, score = _best_in_chunk(_matrix(part["qvec"]), part["base"].to_numpy(), np.full(len(part), most),
-                                                   *chunk, how, digits, (lines[mine] - start, places[mine]))
-                out.append(pd.DataFrame({"qid": part["qid"].to_numpy()[line], "item": item, "score": score}))
-        return pd.concat(out)
+            ids, gone = i["item"].to_numpy(), None
+            if len(known):
+                named = np.flatnonzero(q["qid"].is_valid().to_numpy())
+                lines, places = _gone(q["qid"].drop_null().to_numpy(), ids, known)
+                gone = named[lines], places
+            line, item, score = _best_in_chunk(_rows(q["qvec"]), q["base"].to_numpy(), np.full(len(q), min(k, len(ids))),
+                                               ids, _rows(i["vec"]), i["bias"].to_numpy(), how, digits, gone)
+        return pa.table({"qid": q["qid"].take(pa.array(line)), "item": pa.array(item, pa.int64(), from_pandas=True),
+                         "score": pa.array(score)})
 
     left, right = _blocks(queries.select("qid", "qvec", "base"), items.select("item", "vec", "bias"), seen)
     return (left.groupBy("_qc", "_ic").cogroup(right.groupBy("_qc", "_ic"))
-            .applyInPandas(kernel, "qid bigint, item bigint, score double"))
+            .applyInArrow(kernel, "qid bigint, item bigint, score double"))
 
 
 # Balls of the index: about this many vectors each, and at most this many centres.
@@ -313,16 +388,16 @@ def _pair_kernel(dealt: DataFrame, meets: DataFrame | None, threshold: float, di
     right = sliced.select(F.col("item").alias("other"), F.col("vec").alias("other_vec"), F.col("ball").alias("_b"),
                           F.col("_s").alias("_sb")).join(plan, ["_b", "_sb"])
 
-    def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def kernel(left: pa.Table, right: pa.Table) -> pa.Table:
         firsts, seconds, scores = [np.zeros(0, "int64")], [np.zeros(0, "int64")], [np.zeros(0)]
         if len(left) and len(right):
-            same = (left["_a"].iloc[0], left["_sa"].iloc[0]) == (left["_b"].iloc[0], left["_sb"].iloc[0])
-            ids, vecs = right["other"].to_numpy(), _matrix(right["other_vec"])
-            step = _slice(len(ids), vecs.shape[1], "dot")
+            same = (left["_a"][0], left["_sa"][0]) == (left["_b"][0], left["_sb"][0])
+            ids, vecs = right["other"].to_numpy(), _rows(right["other_vec"])
+            step = _slice(len(ids))
             for start in range(0, len(left), step):
-                part = left.iloc[start:start + step]
+                part = left.slice(start, step)
                 mine = part["item"].to_numpy()
-                table = np.round(_matrix(part["vec"]) @ vecs.T, digits) + 0.0
+                table = np.round(_rows(part["vec"]) @ vecs.T, digits) + 0.0
                 keep = table >= threshold
                 if same:
                     keep &= mine[:, None] < ids[None, :]
@@ -330,10 +405,10 @@ def _pair_kernel(dealt: DataFrame, meets: DataFrame | None, threshold: float, di
                 firsts.append(np.minimum(mine[at_mine], ids[at_ids]))
                 seconds.append(np.maximum(mine[at_mine], ids[at_ids]))
                 scores.append(table[at_mine, at_ids])
-        return pd.DataFrame({"i": np.concatenate(firsts), "j": np.concatenate(seconds), "score": np.concatenate(scores)})
+        return pa.table({"i": np.concatenate(firsts), "j": np.concatenate(seconds), "score": np.concatenate(scores)})
 
     keys = ["_a", "_sa", "_b", "_sb"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(kernel, "i bigint, j bigint, score double")
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(kernel, "i bigint, j bigint, score double")
 
 
 def pair_scores(vectors: DataFrame, threshold: float | None = None, digits: int = 9) -> DataFrame:
@@ -341,16 +416,16 @@ def pair_scores(vectors: DataFrame, threshold: float | None = None, digits: int
     above it. Every two chunks meet once, in one task. The full result has N(N-1)/2 rows by
     definition, so give a threshold when there are many vectors."""
 
-    def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def kernel(left: pa.Table, right: pa.Table) -> pa.Table:
         firsts, seconds, scores = [np.zeros(0, "int64")], [np.zeros(0, "int64")], [np.zeros(0)]
         if len(left) and len(right):
-            same = left["_a"].iloc[0] == left["_b"].iloc[0]
-            ids, vecs = right["other"].to_numpy(), _matrix(right["other_vec"])
-            step = _slice(len(ids), vecs.shape[1], "dot")
+            same = left["_a"][0] == left["_b"][0]
+            ids, vecs = right["other"].to_numpy(), _rows(right["other_vec"])
+            step = _slice(len(ids))
             for start in range(0, len(left), step):
-                part = left.iloc[start:start + step]
+                part = left.slice(start, step)
                 mine = part["item"].to_numpy()
-                table = np.round(_matrix(part["vec"]) @ vecs.T, digits) + 0.0
+                table = np.round(_rows(part["vec"]) @ vecs.T, digits) + 0.0
                 keep = mine[:, None] < ids[None, :] if same else np.ones(table.shape, bool)
                 if threshold is not None:
                     keep &= table >= threshold
@@ -358,7 +433,7 @@ def pair_scores(vectors: DataFrame, threshold: float | None = None, digits: int
                 firsts.append(np.minimum(mine[at_mine], ids[at_ids]))
                 seconds.append(np.maximum(mine[at_mine], ids[at_ids]))
                 scores.append(table[at_mine, at_ids])
-        return pd.DataFrame({"i": np.concatenate(firsts), "j": np.concatenate(seconds), "score": np.concatenate(scores)})
+        return pa.table({"i": np.concatenate(firsts), "j": np.concatenate(seconds), "score": np.concatenate(scores)})
 
     n, rows = _chunk_rows(vectors)
     rows = min(rows, _PAIR_ROWS)
@@ -374,4 +449,4 @@ def pair_scores(vectors: DataFrame, threshold: float | None = None, digits: int
              .withColumn("_a", F.explode(F.sequence(first, "_b"))))
     return (left.repartition(groups, "_a", "_b").groupBy("_a", "_b")
             .cogroup(right.repartition(groups, "_a", "_b").groupBy("_a", "_b"))
-            .applyInPandas(kernel, "i bigint, j bigint, score double"))
+            .applyInArrow(kernel, "i bigint, j bigint, score double"))

@@ -1,0 +1,47 @@
+"""Best matches by leaves of near items: the same answers as all pairs, with few of them scored."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from factorloom.plans import topk
+
+
+@pytest.mark.parametrize("kind", ["near", "equal", "one length"])
+def test_few_leaves_are_scored(kind):
+    """Items of one length, and many equal ones, could not be told apart by their lengths."""
+    rng = np.random.default_rng(4)
+    n = 20_000
+    vecs, bias, ids = rng.normal(size=(n, 2)), rng.normal(size=n), rng.permutation(n)
+    if kind == "equal":
+        vecs, bias = np.round(vecs[rng.integers(0, 40, n)], 2), np.zeros(n)
+    if kind == "one length":
+        vecs, bias = vecs / np.linalg.norm(vecs, axis=1)[:, None], np.zeros(n)
+    q, base = vecs[:600], rng.normal(size=600)
+    topk.VISITED[:] = [0, 0]
+    line, item, score = topk._best_in_chunk(q, base, np.full(600, 4), ids, vecs, bias, "dot", 9)
+    assert topk.VISITED[0] * 512 < 0.2 * 600 * n
+    for j in range(0, 600, 37):
+        table = np.round(vecs @ q[j] + bias + base[j], 9) + 0.0
+        best = np.lexsort((ids, -table))[:4]
+        assert item[line == j].tolist() == ids[best].tolist()
+        assert np.allclose(score[line == j], table[best])
+
+
+def test_seen_among_equal_items(spark):
+    """A query that has seen the first of many equal items gets the next ones; queries without an id keep their answer."""
+    items = spark.range(500).select(F.col("id").alias("item"), F.array(F.lit(1.0), F.lit(0.5)).alias("vec"), F.lit(0.0).alias("bias"))
+    queries = spark.createDataFrame([(1, [1.0, 0.0], 0.0), (2, [1.0, 0.0], 0.0), (None, [1.0, 0.0], 0.0)],
+                                    "qid bigint, qvec array<double>, base double")
+    seen = spark.range(90).select(F.lit(1).cast("bigint").alias("qid"), F.col("id").alias("item"))
+    got = {}
+    for r in topk.best_matches(queries, items, 2, seen=seen).collect():
+        got.setdefault(r["qid"], set()).add(r["item"])
+    assert got == {1: {90, 91}, 2: {0, 1}, None: {0, 1}}
+
+
+def test_vectors_of_different_lengths_raise(spark):
+    items = spark.createDataFrame([(1, [1.0], 0.0), (2, [1.0, 2.0], 0.0)], "item bigint, vec array<double>, bias double")
+    queries = spark.createDataFrame([(1, [1.0], 0.0)], "qid bigint, qvec array<double>, base double")
+    with pytest.raises(Exception, match="one length"):
+        topk.best_matches(queries, items, 1).collect()

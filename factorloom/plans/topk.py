@@ -29,6 +29,8 @@ _SLAB = 4096
 _LEAF, _QUERIES, _PAIRS = 512, 256, 1 << 16
 # Pairs to be left out that a task of `best_matches` meets on average at most, about 64 MB.
 _SEEN_PAIRS = 4_000_000
+# Pairs of one list on average.
+_SEEN_LIST = 512
 
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int | Column, tie: str) -> DataFrame:
@@ -240,27 +242,35 @@ def _blocks(queries: DataFrame, items: DataFrame, seen: DataFrame | None = None)
     # Small inputs are cut finer, to give every core something to do.
     query_chunks = max(1, -(-n_queries // rows), min(-(-n_queries // 64), -(-2 * cores // item_chunks)))
     if seen is not None:
-        query_chunks = max(query_chunks, -(-seen.count() // (_SEEN_PAIRS * item_chunks)))
+        n_seen = seen.count()
+        query_chunks = max(query_chunks, -(-n_seen // (_SEEN_PAIRS * item_chunks)))
     groups = min(_MAX_WIDTH, item_chunks * query_chunks)
 
     def copies(n: int) -> Column:
         return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
 
+    def none(kind: str) -> Column:
+        return F.array().cast(kind)
+
     query_chunk = F.pmod(F.xxhash64("qid"), F.lit(query_chunks))
     item_chunk = F.pmod(F.xxhash64("item"), F.lit(item_chunks))
     left = queries.withColumn("_qc", query_chunk).withColumn("_ic", copies(item_chunks))
     right = items.withColumn("_ic", item_chunk).withColumn("_qc", copies(query_chunks))
     if seen is not None:
-        pairs = seen.filter("item IS NOT NULL AND qid IS NOT NULL").select(
-            "item", "qid", item_chunk.alias("_ic"), query_chunk.alias("_qc"), F.lit(True).alias("pair"))
-        # No nulls among the ids: pandas would hold them as floats.
-        right = (right.withColumn("qid", F.lit(0).cast("bigint")).withColumn("pair", F.lit(False))
-                 .unionByName(pairs, allowMissingColumns=True))
+        # Pairs come in lists of some hundred, as a row each costs far more than its numbers on the way to Python.
+        pairs = (seen.filter("item IS NOT NULL AND qid IS NOT NULL")
+                 .select(F.struct("qid", "item").alias("p"), item_chunk.alias("_ic"), query_chunk.alias("_qc"),
+                         F.pmod(F.xxhash64("item", "qid"), F.lit(max(1, n_seen // (_SEEN_LIST * groups)))).alias("_list"))
+                 .groupBy("_ic", "_qc", "_list").agg(F.collect_list("p").alias("p"))
+                 .select("_ic", "_qc", F.col("p.qid").alias("qids"), F.col("p.item").alias("gone"), none("array<double>").alias("vec")))
+        # Empty arrays, not nulls: one Arrow batch holds a whole group, and takes a time quadratic in nulls of an array column.
+        right = right.withColumn("qids", none("array<bigint>")).withColumn("gone", none("array<bigint>")).unionByName(
+            pairs, allowMissingColumns=True)
     # The explicit width keeps small inputs from being merged into one task.
     return left.repartition(groups, "_qc", "_ic"), right.repartition(groups, "_qc", "_ic")
 
 
-def _gone(qids: np.ndarray, ids: np.ndarray, seen: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+def _gone(qids: np.ndarray, ids: np.ndarray, seen: dict[str, pa.ChunkedArray]) -> tuple[np.ndarray, np.ndarray]:
     """(query lines, places in ids) of the pairs seen(qid, item), sorted by place. Equal qids are all met; pairs of
     unknown queries or items are none."""
     order = np.argsort(ids, kind="stable")
@@ -296,11 +306,15 @@ def best_matches(queries: DataFrame, items: DataFrame, k: int, how: str = "dot",
         raise ValueError("Pairs that were seen can be left out for how='dot' only.")
 
     def kernel(q: pa.Table, i: pa.Table) -> pa.Table:
-        known, i = (i.filter(i["pair"]), i.filter(pc.invert(i["pair"]))) if "pair" in i.column_names else (i.slice(0, 0), i)
+        known = None
+        if "gone" in i.column_names:
+            listed = pc.greater(pc.list_value_length(i["gone"]), 0)
+            lists, i = i.filter(listed), i.filter(pc.invert(listed))
+            known = {"qid": pc.list_flatten(lists["qids"]), "item": pc.list_flatten(lists["gone"])}
         line, item, score = np.zeros(0, int), np.zeros(0, "int64"), np.zeros(0)
         if len(q) and len(i):
             ids, gone = i["item"].to_numpy(), None
-            if len(known):
+            if known is not None and len(known["item"]):
                 named = np.flatnonzero(q["qid"].is_valid().to_numpy())
                 lines, places = _gone(q["qid"].drop_null().to_numpy(), ids, known)
                 gone = named[lines], places

@@ -123,3 +123,18 @@ def test_similar_groups_are_whole(frame):
     for limit in (64, 3):
         got = {r["num"]: r["root"] for r in simhash.similar_groups(df, list_limit=limit).collect()}
         assert got == want
+
+
+def test_similar_groups_start_from_the_fingerprints(frame, monkeypatch):
+    """Copies of one fingerprint are linked by SimHash, and only what it does not reach meets in the lists of shingles."""
+    base = " ".join(f"w{i}" for i in range(60))
+    texts = [base, base.upper(), base + " \n", " ".join(f"v{i}" for i in range(60)), base + " a b c"]
+    asked, met = [], []
+    plain, verified = simhash.near_duplicates, simhash._verified
+    monkeypatch.setattr(simhash, "near_duplicates", lambda *a: asked.append(a[2]) or plain(*a))
+    monkeypatch.setattr(simhash, "fingerprint_of", lambda t, w=3: len((t or "").split()) // 100)  # all fingerprints meet
+    monkeypatch.setattr(simhash, "_verified", lambda d, p, *a: met.append(sorted(map(tuple, p.collect()))) or verified(d, p, *a))
+    df = frame(list(enumerate(texts))).selectExpr("doc_id AS num", "text")
+    got = {r["num"]: r["root"] for r in simhash.similar_groups(df).collect()}
+    assert asked == ["num"] and met[0] == [(0, 3), (0, 4)] and met[1] == []
+    assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 0}

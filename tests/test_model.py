@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from factorloom import FMParams, Model, schema
 from factorloom.operators import cells as cx
+from factorloom.operators import encode as en
 from factorloom.operators import gradient as gr
 from factorloom.operators import predict as pr
 from factorloom.operators import train as tr
 from factorloom.plans import joins
+from factorloom.plans.runtime import stage
 
 PARAMS = FMParams("t", 0.0, 0.1, 1, 5, 2, 1, 0.01, True, True, 0.1, 0.2, 0.2)
 
@@ -199,6 +201,44 @@ def test_the_salted_join_computes_facts_once(spark, monkeypatch):
         assert all(r["v"] == (None if r["k"] is None or r["k"] > 38 else 2 * r["k"]) for r in got)
 
 
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_facts_of_hot_keys_are_not_shuffled(spark, monkeypatch, how):
+    monkeypatch.setattr(joins, "_FACTS_PER_TASK", 100)
+    facts = stage(spark.range(3000).selectExpr("id", "IF(id % 3 = 0, 7, IF(id % 50 = 1, NULL, id % 40)) AS k"), "facts")
+    table = spark.range(39).selectExpr("id AS k", "id * 2 AS v")
+    hot = spark.createDataFrame([(7,), (39,)], "k long")
+    joined = joins.lookup_join(facts, table, ["k"], 1 << 60, how, hot)
+    got = sorted((r["id"], -1 if r["k"] is None else r["k"], r["v"]) for r in joined.collect())
+    want = sorted((r["id"], -1 if r["k"] is None else r["k"], None if r["k"] is None or r["k"] > 38 else 2 * r["k"])
+                  for r in facts.collect())
+    assert joined.columns == ["k", "id", "v"]
+    assert got == (want if how == "left" else [w for w in want if w[2] is not None])
+    # Only the other facts move, to as many tasks as their number asks for.
+    moved = [m for m in own_exchanges(joined) if m.startswith("hashpartitioning")]
+    assert len(moved) == 2 and all(", 30)" in m for m in moved), moved
+
+
+def test_cells_of_a_big_dictionary_are_stored(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    raw = spark.range(600).selectExpr("id", "IF(id % 7 = 3, NULL, concat('u', id % 97)) AS u", "'x' AS i",
+                                      "IF(id % 5 = 0, NULL, id / 600) AS n", "id % 3 + 0.5D AS y")
+    sets = spark.range(900).selectExpr("id % 300 AS id", "concat('t', id % 11) AS t", "1.0D AS w")
+    made = {"users": ["u"], "items": ["i"], "ctx_num": ["n"], "ctx_set": {"s": (sets, "id", "t", "w")}, "target": "y"}
+    one = en.build_cells(raw, "id", **made)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        cells, dictionary = en.build_cells(raw, "id", **made)
+        assert not own_exchanges(cells)
+        assert sorted(map(tuple, cells.collect())) == sorted(map(tuple, one[0].collect()))
+        assert sorted(map(tuple, dictionary.collect())) == sorted(map(tuple, one[1].collect()))
+        dim = cells.agg({"col": "max"}).first()[0]
+        shifted = pr.predict(cells, pr.init_model(spark, dim, 2, 0.1, 0.3, 4)).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    plain = pr.predict(one[0], pr.init_model(spark, dim, 2, 0.1, 0.3, 4)).collect()
+    assert len(shifted) == 600 and dict(shifted) == pytest.approx(dict(plain), abs=1e-12)
+
+
 def test_without_any_broadcast_by_size(spark, cells, model, monkeypatch):
     """Weights too big to broadcast: each is sent once to the parts that use it."""
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from conftest import M, V
 from pyspark.sql import functions as F
@@ -268,6 +269,29 @@ def test_rows_that_span_arrow_batches(spark, cells, model, batch):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
 
 
+def test_a_task_of_psgd_keeps_little_per_column():
+    import tracemalloc
+
+    from factorloom.operators.sgd_tasks import sgd_pass
+
+    n, width = 200_000, 4
+    cfg = {"k": 2, "dim": n, "lr": 0.01, "reg_c": 0.1, "reg_v": 0.2, "reg_m": 0.2, "k0": True, "k1": True, "rows": n // width}
+
+    def batches():
+        for low in range(0, n, 8000):
+            rows = np.arange(low // width, (low + 8000) // width)
+            cols = np.c_[np.arange(low, low + 8000).reshape(-1, width), np.full(len(rows), n)].ravel()
+            yield pd.DataFrame({"part": 0, "row_id": np.repeat(rows, width + 1), "col": cols, "val": 1.0, "v": 0.1,
+                                "m0": 0.2, "m1": 0.3})
+
+    tracemalloc.start()
+    lines = sum(len(out) for out in sgd_pass(cfg)(batches()))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert lines == n + 1
+    assert peak < 110 * n, peak / n  # 24 bytes of weights, 4 of its number, the batches and what leaves at a time
+
+
 def test_psgd_on_a_set_prepared_for_other_parts(cells, model):
     data = gr.prepare(cells, 5)
     assert data.width != PARAMS.num_partitions

@@ -219,6 +219,48 @@ def test_facts_of_hot_keys_are_not_shuffled(spark, monkeypatch, how):
     assert len(moved) == 2 and all(", 30)" in m for m in moved), moved
 
 
+@pytest.mark.parametrize("limit", ["-1", "10m"])
+def test_sums_of_a_wide_model_are_not_shuffled(spark, limit):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    cells = spark.range(400).selectExpr("IF(id % 9 = 0, NULL, id % 90) AS row_id", "IF(id % 13 = 0, NULL, id % 31) AS col",
+                                        "'user' AS cat", "id % 5 - 1.0D AS val")
+    wide = pr.init_model(spark, 30, 40, 0.1, 0.3, 4)
+    ms = np.array([r["m"] for r in wide.factors.orderBy("col").collect()])
+    s, q = {}, {}
+    for r in cells.collect():
+        known = r["col"] is not None and r["col"] < 30 and r["val"] > 0
+        d = ms[r["col"]] * r["val"] if known else np.zeros(40)
+        s[r["row_id"]] = s.get(r["row_id"], 0) + d
+        q[r["row_id"]] = q.get(r["row_id"], 0) + d * d
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    try:
+        found = pr.factor_vectors(cells, wide)
+        moved = own_exchanges(found)
+        rows, scores = found.collect(), dict(pr.predict(cells, wide).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert not [m for m in moved if "block" in m] and (limit == "-1" or len([m for m in moved if "row_id" in m]) == 1), moved
+    assert len(rows) == len(s) == len(scores)
+    for r in rows:
+        assert np.allclose(r["s"], s[r["row_id"]], atol=1e-9) and np.allclose(r["q"], q[r["row_id"]], atol=1e-9)
+        assert scores[r["row_id"]] == pytest.approx(0.5 * (s[r["row_id"]] ** 2 - q[r["row_id"]]).sum(), abs=1e-9)
+
+
+def test_vectors_for_spark_ml_need_one_shuffle(spark, make_cells, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    cells = make_cells({}, [(9, 0, "user", 1.0), (None, 5, "label", 2.0)])
+    joins_made, join = [], DataFrame.join
+    monkeypatch.setattr(type(cells), "join", lambda self, *a, **kw: joins_made.append(a) or join(self, *a, **kw))
+    got = {}
+    monkeypatch.setattr(tr.FMRegressor, "fit", lambda self, data: got.update(rows=data.collect()) or (_ for _ in ()).throw(KeyError("stop")))
+    with pytest.raises(KeyError):
+        tr.train_ml(cells, PARAMS)
+    assert not joins_made
+    # Row 9 has no label, and the other new cell no row.
+    assert sorted((r["row_id"], r["label"], r["features"].numNonzeros()) for r in got["rows"]) == [(1, 5.0, 3), (2, 3.0, 3), (3, 4.0, 3)]
+
+
 def test_cells_of_a_big_dictionary_are_stored(spark):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     raw = spark.range(600).selectExpr("id", "IF(id % 7 = 3, NULL, concat('u', id % 97)) AS u", "'x' AS i",

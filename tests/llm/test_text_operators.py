@@ -481,6 +481,26 @@ def test_rows_of_one_token_teach_and_sums_are_those_of_single_steps(frame):
     assert np.allclose(masked_lm.train_block(net, c, t, 0.5).embed, slow, atol=1e-5)
 
 
+def test_numbers_beyond_exp_are_held_back_and_steps_sort_short_ids(monkeypatch):
+    """The greatest number of a class is taken off only where exp could overflow; ids that fit are sorted as 16 bits."""
+    rng = np.random.default_rng(0)
+    c, t = rng.integers(0, 5, (100, 4)).astype(np.int32), rng.integers(0, 3, 100)
+    flat = masked_lm.Network.start(6, 3)
+    steep = masked_lm.Network(*(a * 400 for a in flat.arrays()))
+    assert steep.steep() and not flat.steep()
+    taught = masked_lm.train_block(steep, c, t, 0.5).flat()
+    monkeypatch.setattr(masked_lm.Network, "steep", lambda self: True)
+    assert np.allclose(masked_lm.train_block(steep, c, t, 0.5).flat(), taught) and np.isfinite(taught).all()
+    always = masked_lm.train_block(flat, c, t, 0.5).flat(), flat.log_classes(c, t)
+    monkeypatch.setattr(masked_lm.Network, "steep", lambda self: False)
+    never = masked_lm.train_block(flat, c, t, 0.5).flat(), flat.log_classes(c, t)
+    assert all(np.allclose(a, b, atol=1e-6) for a, b in zip(always, never))
+    kinds, sort = [], np.argsort
+    monkeypatch.setattr(masked_lm.np, "argsort", lambda x, **how: kinds.append(x.dtype) or sort(x, **how))
+    masked_lm.train_block(flat, c, t, 0.5)
+    assert kinds == [np.uint16]
+
+
 def test_gradient_learns_and_probabilities_sum_to_one():
     rng = np.random.default_rng(1)
     ids = np.tile([1, 2, 3, 4, 5, 6], 300).astype(np.int32)

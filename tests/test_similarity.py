@@ -196,6 +196,29 @@ def test_threshold_pairs_against_brute_force(spark, monkeypatch, threshold, rows
     assert got == want and len(want) > 0
 
 
+@pytest.mark.parametrize("rows,seed", [(64, 4), (1 << 14, 5)])
+def test_threshold_pairs_send_a_vector_once_a_chunk(spark, monkeypatch, rows, seed):
+    """Many small balls that all meet: a vector is sent as often as there are chunks, not balls; nulls and equal ids pair with
+    nothing, and a ball of more rows than a chunk is dealt to several."""
+    monkeypatch.setattr(topk, "_BALL_ROWS", 10)
+    monkeypatch.setattr(topk, "_MET_ROWS", rows)
+    vecs = np.random.default_rng(seed).normal(0, 1, (500, 6))
+    vecs[:150] = vecs[0]
+    units = vecs / np.linalg.norm(vecs, axis=1)[:, None]
+    lines = [(i, v.tolist()) for i, v in enumerate(units)]
+    df = spark.createDataFrame([*lines, lines[7], (None, lines[7][1])], "item long, vec array<double>")
+    table = np.round(units @ units.T, 9)
+    want = {(i, j) for i, j in zip(*np.nonzero(np.triu(table >= 0.2, 1)))}
+    sent, plain = [], type(df).sortWithinPartitions
+    monkeypatch.setattr(type(df), "sortWithinPartitions", lambda self, *by: sent.append(self) or plain(self, *by))
+    found = topk.close_pairs(df, 0.2)
+    got = [(r["i"], r["j"]) for r in found.collect()]
+    assert set(got) == want and len(got) == len(want) + sum(7 in p for p in want)  # item 7 is there twice
+    assert sent[0].count() <= 501 * max(-(-501 // 64) * 2, 20)
+    balls = sent[0].select("ball").distinct().count()
+    assert balls > 30 and sent[0].count() < 501 * balls / 2
+
+
 def test_far_balls_never_meet(spark, monkeypatch):
     monkeypatch.setattr(topk, "_BALL_ROWS", 20)
     vecs = clustered(600, 15)

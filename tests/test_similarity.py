@@ -130,6 +130,24 @@ def test_pairs_over_many_chunks(spark, monkeypatch):
     assert got == pytest.approx({(i, j): round(float(vecs[i] @ vecs[j]), 9) for i in range(30) for j in range(i + 1, 30)}, abs=2e-9)
 
 
+def test_pairs_of_skewed_ids_come_in_bounded_chunks_and_in_a_row(spark, monkeypatch):
+    """Ids of one remainder are dealt to several chunks; pairs of a vector follow each other, in both directions."""
+    monkeypatch.setattr(topk, "_PAIR_ROWS", 16)
+    ids = [64 * k - 640 for k in range(100)] + [5, 7]
+    vecs = np.random.default_rng(3).normal(size=(len(ids), 2))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, vecs)], "item bigint, vec array<double>")
+    found = topk.pair_scores(table)
+    at = dict(zip(ids, vecs))
+    want = {(i, j): round(float(at[i] @ at[j]), 9) for i in ids for j in ids if i < j}
+    assert triples(found) == pytest.approx(want, abs=2e-9)
+    assert max(r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()) < 40 * 40
+    both = si.symmetric_similarity(found)
+    assert triples(both) == pytest.approx({**want, **{(j, i): s for (i, j), s in want.items()}}, abs=2e-9)
+    lines = both.collect()
+    turns = sum(a["i"] != b["i"] and a["j"] != b["j"] for a, b in zip(lines, lines[1:]))
+    assert turns < len(lines) / 4
+
+
 def test_top_k_beyond_the_pruned_rank(spark):
     df = spark.range(5000).selectExpr("id % 2 as g", "id", "cast(id % 7 as double) as s")
     order = [F.desc("s"), F.asc("id")]

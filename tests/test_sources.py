@@ -8,7 +8,7 @@ from factorloom import FMParams, schema
 from factorloom.operators import cells as cx
 from factorloom.operators import predict as pr
 from factorloom.operators import similarity
-from factorloom.plans import pipeline
+from factorloom.plans import pipeline, runtime
 from factorloom.sources import stores, tables
 from factorloom.streaming import jobs
 
@@ -193,6 +193,20 @@ def test_a_column_is_read_from_one_folder_of_each_copy(spark, tmp_path):
     assert len(str(stores.load_similarity(spark, path, start=0, end=10 ** 9)._jdf.queryExecution())) < 20_000
 
 
+def test_all_pairs_are_stored_once_and_as_they_come(spark, tmp_path):
+    """Tiles of all pairs are written without a shuffle of the pairs and without a second copy; other pairs are dealt once."""
+    factors = spark.range(200).selectExpr("id AS col", "array(cos(id * 1.0D), sin(id * 1.0D)) AS m")
+    sim = similarity.column_similarities(factors)
+    assert runtime.is_tiled(sim) and not runtime.is_tiled(sim.filter("score > 0.5"))
+    path = stores.save_similarity(sim, str(tmp_path), "tiny", 1)
+    assert [p.name for p in (tmp_path / "matrix" / "tiny").iterdir()] == ["1"]
+    assert spark.read.parquet(path).count() == 200 * 199 // 2
+    assert rows(stores.load_similarity(spark, path)) == rows(sim)
+    assert stores.load_similarity(spark, path, [7, 64]).count() == 2 * 199
+    dealt = stores.save_similarity(sim.filter("score > 0.5"), str(tmp_path), "some", 1)
+    assert rows(stores.load_similarity(spark, dealt)) == rows(sim.filter("score > 0.5"))
+
+
 def test_records_sent_again_are_stored_once(spark, tmp_path, cells):
     arrivals, target = str(tmp_path / "arrivals"), str(tmp_path / "target")
     at = cells.withColumn("sent", F.timestamp_seconds(F.col("row_id") * 60))

@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -138,3 +139,34 @@ def test_similar_groups_start_from_the_fingerprints(frame, monkeypatch):
     got = {r["num"]: r["root"] for r in simhash.similar_groups(df).collect()}
     assert asked == ["num"] and met[0] == [(0, 3), (0, 4)] and met[1] == []
     assert got == {0: 0, 1: 0, 2: 0, 3: 3, 4: 0}
+
+
+def test_only_texts_of_possible_pairs_are_sent(frame, monkeypatch):
+    """Texts around one passage meet in its lists; by the parities of their shingles most are known to be too far apart."""
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    shared = [word() for _ in range(40)]
+    texts = [" ".join(shared + [word() for _ in range(60)]) for _ in range(30)]
+    texts += [texts[4] + " x y", texts[9] + " z", "", texts[0].upper()]
+    sent, compared = simhash.similarity_of, []
+    monkeypatch.setattr(simhash, "_often", lambda *a: np.empty(0, np.int64))
+    plain = simhash._possible
+    monkeypatch.setattr(simhash, "_possible", lambda p, *a: (lambda q: compared.append((p.count(), q.count())) or q)(plain(p, *a)))
+    df = frame(list(enumerate(texts))).selectExpr("doc_id AS num", "text")
+    got = {r["num"]: r["root"] for r in simhash.similar_groups(df).collect()}
+    nodes = range(len(texts))
+    assert got == groups([(a, b) for a, b in itertools.combinations(nodes, 2) if sent(texts[a], texts[b]) >= 0.8], nodes)
+    assert sum(met for met, _ in compared) > 30 and sum(left for _, left in compared) <= 6
+
+
+def test_parities_lose_no_similar_pair():
+    rng = random.Random(9)
+    for _ in range(300):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(1, 3000))]
+        other = [w if rng.random() > 0.02 else f"e{rng.randrange(10**6)}" for w in words]
+        a, b = " ".join(words), " ".join(other)
+        x, y = simhash._hashes(a, 5), simhash._hashes(b, 5)
+        cut = x[:rng.randrange(len(x) + 1)]
+        for near in (y, cut):
+            apart = len(set(x.tolist()) ^ set(near.tolist()))
+            assert simhash._bits_apart(simhash._parity(x), simhash._parity(near)) <= apart

@@ -501,6 +501,17 @@ def test_numbers_beyond_exp_are_held_back_and_steps_sort_short_ids(monkeypatch):
     assert kinds == [np.uint16]
 
 
+def test_steep_numbers_count_whole():
+    """No number of a class is cut: log probabilities far below -40 are those of the full numbers."""
+    rng = np.random.default_rng(2)
+    c, t = rng.integers(0, 5, (100, 4)).astype(np.int32), rng.integers(0, 3, 100)
+    steep = masked_lm.Network(*(a * 400 for a in masked_lm.Network.start(6, 3).arrays()))
+    z = (steep.hidden(c)[1] @ steep.w2 + steep.b2).astype(np.float64)
+    whole = z - z.max(1, keepdims=True)
+    whole = (whole - np.log(np.exp(whole).sum(1, keepdims=True)))[np.arange(100), t]
+    assert whole.min() < -100 and np.allclose(steep.log_classes(c, t), whole, rtol=1e-4, atol=1e-3)
+
+
 def test_gradient_learns_and_probabilities_sum_to_one():
     rng = np.random.default_rng(1)
     ids = np.tile([1, 2, 3, 4, 5, 6], 300).astype(np.int32)

@@ -1,9 +1,10 @@
+import dataclasses
 import math
 
 import numpy as np
 import pandas as pd
 import pytest
-from conftest import M, V
+from conftest import M, V, tiny_lines
 from pyspark.sql import functions as F
 
 from factorloom import FMParams, Model, schema
@@ -301,6 +302,37 @@ def test_without_any_broadcast_by_size(spark, cells, model, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+@pytest.mark.parametrize("null_id", [False, True])
+def test_psgd_weights_beyond_a_broadcast_are_merged_without_a_hash_table(spark, model, null_id, monkeypatch):
+    """Cells stay where they are and as they are sorted; a column's weights come with its first cell of a part."""
+    lines = [line for r in range(12) for line in tiny_lines() if line[0] == 1 + r % 3 for line in [(r, *line[1:])]]
+    lines += [(None, 0, "user", 1.0), (None, 3, "item", 0.5), (None, 5, "label", 2.0)] if null_id else []
+    cells = spark.createDataFrame(lines, schema.CELLS)
+    params = dataclasses.replace(PARAMS, num_partitions=3, num_iter=2)
+    want = tr.train_psgd(cells, params, model)
+    plans, weighted, run = [], [], type(cells).mapInPandas
+
+    def seen(df, *args, **kw):
+        plans.append(df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].split("InMemoryRelation")[0])
+        weighted.append(df.groupBy("part", "col").agg(F.count("v").alias("n")).filter("n <> 1").count())
+        return run(df, *args, **kw)
+
+    monkeypatch.setattr(type(cells), "mapInPandas", seen)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = tr.train_psgd(cells, params, model)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    (v, m) = weights(want)
+    assert_weights(got, want.c, v, *m)
+    assert weighted == [0, 0] and len(plans) == 2
+    for plan in plans:
+        assert "ShuffledHashJoin" not in plan and "SortMergeJoin" in plan
+        tail = plan[plan.index("SortMergeJoin"):]
+        assert null_id or plan[:plan.index("SortMergeJoin")].count("Sort [") == 0 and tail.split("TableCacheQueryStage")[0].split("InMemoryTableScan")[0].count("Sort [") == 0, plan
+
+
 @pytest.mark.parametrize("batch", [1, 2, 3, 5])
 def test_rows_that_span_arrow_batches(spark, cells, model, batch):
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
@@ -334,6 +366,26 @@ def test_a_task_of_psgd_keeps_little_per_column():
     assert peak < 110 * n, peak / n  # 24 bytes of weights, 4 of its number, the batches and what leaves at a time
 
 
+def test_weights_of_a_task_of_psgd_lie_in_a_file_beyond_a_size(monkeypatch):
+    from factorloom.operators import sgd_tasks
+
+    cfg = {"k": 2, "dim": 500, "lr": 0.05, "reg_c": 0.1, "reg_v": 0.2, "reg_m": 0.2, "k0": True, "k1": True, "rows": 400}
+    rng = np.random.default_rng(4)
+    cols = np.array([[*np.sort(rng.choice(500, 3, replace=False)), 500] for _ in range(400)])
+    rows = pd.DataFrame({"part": 0, "row_id": np.repeat(np.arange(400), 4), "col": cols.ravel(), "val": 0.5, "v": 0.1, "m0": 0.2, "m1": 0.3})
+
+    def learnt(most):
+        monkeypatch.setattr(sgd_tasks, "_MAPPED_BYTES", most)
+        task = sgd_tasks.PartitionSGD(0, cfg)
+        for low in range(0, 1600, 80):
+            task.learn(rows.iloc[low:low + 80])
+        return task, pd.concat(task.changes())
+
+    (held, want), (mapped, got) = learnt(1 << 30), learnt(1000)
+    assert held.file is None and mapped.file is not None and not mapped.scaled.flags.owndata
+    pd.testing.assert_frame_equal(got, want)
+
+
 def test_psgd_on_a_set_prepared_for_other_parts(cells, model):
     data = gr.prepare(cells, 5)
     assert data.width != PARAMS.num_partitions

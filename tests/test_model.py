@@ -470,6 +470,37 @@ def planted(spark, n=1500, users=20, items=15, k=2):
     return spark.createDataFrame(lines, schema.CELLS).cache()
 
 
+@pytest.mark.parametrize("solver, k0, k1", [("adamW", True, True), ("gd", False, True), ("adamW", True, False)])
+def test_ml_on_tables_gives_what_spark_ml_gives(spark, solver, k0, k1, monkeypatch):
+    """A model beyond a broadcast is not held by the driver; start, steps and result are those of FMRegressor."""
+    cells = planted(spark)
+    p = FMParams("p", 0.0, 0.3, 2, None, 3, 4, 0.1, k0, k1, 0.0, 0.0, 0.05)
+    want = tr.train_ml(cells, p, solver=solver, seed=7)
+    monkeypatch.setattr(tr.FMRegressor, "fit", lambda *a: pytest.fail("the driver holds the model"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = tr.train_ml(cells, p, solver=solver, seed=7)
+        with pytest.raises(ValueError, match="Labels"):
+            tr.train_ml(cells.withColumn("val", F.when(F.col("cat") == "label", float("nan")).otherwise(F.col("val"))), p)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert (got.num_attribute, got.num_factor) == (want.num_attribute, want.num_factor)
+    assert got.c == pytest.approx(want.c, abs=1e-7)
+    assert all(np.allclose(a, b, atol=1e-7) for a, b in zip(weights(got), weights(want)))
+
+
+@pytest.mark.parametrize("draws", [8, 1 << 16])
+def test_gaussians_of_java_in_blocks(spark, draws, monkeypatch):
+    from factorloom.functions import random
+
+    monkeypatch.setattr(random, "_DRAWS", draws)
+    java = spark._jvm.java.util.Random(5)
+    want = [[java.nextGaussian() for _ in range(3)] for _ in range(50)]
+    rows = random.java_gaussians(spark, 50, ["a", "b", "c"], 5).orderBy("id").collect()
+    assert [r["id"] for r in rows] == list(range(50)) and np.allclose([r[1:] for r in rows], want, atol=1e-13)
+
+
 def test_trainers_learn_planted_factors(spark):
     cells = planted(spark)
     base = dict(name="p", init_mean=0.0, init_stdev=0.3, num_partitions=2, num_attribute=None, num_factor=2,
